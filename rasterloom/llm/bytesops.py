@@ -143,9 +143,10 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[n
     padded = np.concatenate([words, np.zeros(width, dtype=_U)])
     for j in range(width):
         out += padded[at + j] * odd[j]
+    out[out_bounds[short]] = 0
     for d in short.tolist():
         own = words[bounds[d] : bounds[d + 1]]
-        out[out_bounds[d]] = (own * odd[: len(own)]).sum(dtype=_U) + _U(len(own)) * odd[-1]
+        out[out_bounds[d] : out_bounds[d] + 1] += (own * odd[: len(own)]).sum(dtype=_U, keepdims=True) + odd[-1:] * _U(len(own))
     return mix(out), out_bounds
 
 

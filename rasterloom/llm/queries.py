@@ -6,14 +6,31 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, secrets, warc
+from . import bpe, decontaminate, langid, quality, secrets, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _fold(n: int):
+    """crc32 of doc_id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(_fold(5) != 0))
+    return toxicity.score(docs.withColumn("held_out", _fold(5) == 0), model, keep=("doc_id", "held_out"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
@@ -32,11 +49,20 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), vocab, public_tokenizers.PATTERN)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    filters = langid.fit(docs.filter(_fold(4) != 2).select("doc_id", "text", "lang"))
+    return langid.predict(docs.withColumn("held_out", _fold(4) == 2), filters, keep=("doc_id", "held_out"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_toxicity": op2_toxicity,
     "op4_secret_scan": op4_secret_scan,
     "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_language_id": op8_language_id,
 }
 
 _OP5 = """
