@@ -152,7 +152,8 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[n
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of values within each [bounds[i], bounds[i + 1])."""
-    total = np.concatenate([[0], np.cumsum(values)])
+    total = np.cumsum(values)
+    total = np.concatenate([np.zeros(1, total.dtype), total])
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
