@@ -177,9 +177,15 @@ def with_roles(pages: DataFrame, min_bytes: int) -> DataFrame:
 
 def write_archives(
     pages: DataFrame, base: str | None = None, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z",
-    sample_bytes: int = 768 << 10, shard_bytes: int = 256 << 20, level: int = 3,
+    sample_bytes: int = 768 << 10, shard_bytes: int = 256 << 20, level: int = 3, task_bytes: int = 8 << 20,
 ) -> DataFrame:
-    """Write one record per row; returns the manifest (path, records, bytes), itself a written table."""
+    """Write one record per row; returns the manifest (path, records, bytes), itself a written table.
+
+    A task takes at least about `task_bytes` of payload, so that small inputs
+    don't end in many tiny archives.
+    """
+    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    tasks = max(1, -(-size // task_bytes))
     base = base or new_path(pages.sparkSession, "warc")
     if "://" not in base and not base.startswith("/"):
         base = base.removeprefix("file:")
@@ -193,7 +199,7 @@ def write_archives(
         writer.close()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*writer.done, strict=True) if writer.done else ((), (), ()), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["path", "records", "bytes"])
 
-    return materialise(with_roles(pages, min_bytes).mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
+    return materialise(with_roles(pages, min_bytes).coalesce(tasks).mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, check_digest: bool = True) -> DataFrame:
@@ -230,4 +236,4 @@ def read_archives(manifest: DataFrame, check_digest: bool = True) -> DataFrame:
             yield batch_of(rows)
 
     shards = max(1, min(manifest.count(), 10_000))
-    return manifest.select("path").repartition(shards, "path").mapInArrow(run, schema)
+    return manifest.select("path").repartition(shards).mapInArrow(run, schema)
