@@ -123,7 +123,7 @@ def fit(docs: DataFrame, sample_rows: int = 1500, least_rate: float = 2e-5) -> L
 
     names = sorted(r.lang for r in few)
     hash_at = {x: i for i, x in enumerate(names)}
-    counts = materialise(picked.mapInArrow(run, "l int, gram long, n long").groupBy("l", "gram").agg(F.sum("n").alias("n")), "language-ngrams")
+    counts = materialise(picked.mapInArrow(run, "l int, gram long, n long").groupBy("l", "gram").agg(F.sum("n").alias("n")), "language-ngrams", "fewer")
     totals = counts.groupBy("l").agg(F.sum("n").alias("total"))
     common = counts.join(F.broadcast(totals), "l").filter(F.col("n") >= F.greatest(F.lit(2), F.col("total") * least_rate))
     grams = {x: [] for x in names}

@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, label: str
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)).cast("int")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
-    data = materialise(_features(rows.select("label", fold.alias("fold"), "text")), "quality-sample")
+    data = materialise(_features(rows.select("label", fold.alias("fold"), "text")), "quality-sample", "few")
     seen = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count("*").alias("n")).collect()}
     zero = np.zeros(3 * SLOTS)
     if len(seen) < 2:

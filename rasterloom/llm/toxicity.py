@@ -201,14 +201,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, prior: fl
     fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
     # a text that was copied counts once, so that copies of one text don't make its words telling
-    rows = materialise(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", fold, "text"), "toxicity-sample")
+    rows = materialise(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", fold, "text"), "toxicity-sample", "few")
     shares = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_rows = sum(shares.values())
     share = shares.get(1, 0) / n_rows if n_rows else 0.0
     model = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), DRIFT, 1.0, 1.0, (0.0, 0.0), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     if len(shares) < 2:
         return model
-    counts = materialise(_counts(rows), "toxicity-counts")
+    counts = materialise(_counts(rows), "toxicity-counts", "fewer")
     blank = lambda c: ToxicityModel(*_scoring_tokens(c, prior, confidence), DRIFT, 1.0, 1.0, (0.0, 0.0), 0.0)
     model, others = blank(counts), [blank(counts.filter(F.col("fold") != k)) for k in range(FOLDS)]
     bins = {r.bin: r.n for r in _histogram(rows.filter("toxic = 0"), others).collect()}
@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, prior: fl
     for m in (model, *others):
         m.k = k
     data = statistics(rows, others).select(F.col("toxic").cast("double").alias("label"), array_to_vector(F.array("evidence", "total")).alias("features"))
-    data = materialise(data, "toxicity-calibration")
+    data = materialise(data, "toxicity-calibration", "few")
     fitted = LogisticRegression(maxIter=60, regParam=1e-4, lowerBoundsOnCoefficients=Matrices.dense(1, 2, [0.0, 0.0])).fit(data)
     model.coefficients, model.intercept = tuple(map(float, fitted.coefficients)), fitted.intercept
     return model
