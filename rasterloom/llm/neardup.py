@@ -9,15 +9,17 @@ components.
 1. Equal sets are one class from here on (128-bit keys of the sets).
 2. Each class gets a MinHash signature; `rows` hashes form a band, as many
    bands as keep the chance that a link shares no band under `miss`.
-3. In each band bucket every class is compared with the bucket's smallest one.
-   A comparison reads the signatures in batches and stops as soon as the
+3. In each band bucket every class is compared with the bucket's best connected
+   one (most classes over all its buckets): among many copies of a text that is
+   the text itself.  A comparison reads the signatures in batches and stops as soon as the
    posterior probability that the pair reaches the threshold falls under
    `miss`; survivors are confirmed on the texts' full sets.
-4. Only classes of one bucket that are still in different components can add
-   to a component.  Round by round a bounded number of them per bucket
-   (`pivots`) is compared with the bucket's members of other components, until
-   every such pair has been compared.  A bucket of n classes costs n rows a
-   round, never n * n at once, and nothing is capped or dropped.
+4. Only classes of one bucket that are then in different components can add to
+   a component.  Among all of these an exact prefix filter finds the partners:
+   two sets at the threshold share one of each one's rarest shingles (all but
+   the `percent` % that must be shared, and one more).  A shingle that only one
+   of them has rules out nothing else but itself, so a text whose edits are its
+   own needs no comparison, however many copies surround it.
 
 Edge cases: null, empty or word-free texts have the empty set, are linked with
 nothing and kept; equal texts are linked; rows with null doc_id take part (a
@@ -41,8 +43,8 @@ from .storage import materialise
 _U = np.uint64
 _ROLLER = B.Roller(41)
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
-BATCH = 30
-SIGNATURE = 180
+BATCH = 44
+SIGNATURE = 352
 
 
 def plan(percent: int, miss: float) -> tuple[int, int]:
@@ -171,13 +173,13 @@ def components(links: DataFrame) -> DataFrame:
     with very many links only ever meets them through partial aggregation or a
     join that can be split.
     """
-    both = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
+    both = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links", "fewer")
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels", "fewer")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         step = labels.join(near, "node").select("node", "comp", F.least("comp", "m").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("next"))
-        new = materialise(step.join(jump, "low", "left").select("node", F.least("low", "next").alias("comp"), (F.least("low", "next") != F.col("comp")).alias("moved")), "labels")
+        new = materialise(step.join(jump, "low", "left").select("node", F.least("low", "next").alias("comp"), (F.least("low", "next") != F.col("comp")).alias("moved")), "labels", "fewer")
         labels = new.select("node", "comp")
         if not new.filter("moved").limit(1).count():
             return labels
@@ -193,11 +195,11 @@ class _Search:
         """Signatures and texts of the classes that share a bucket with another: one row a class."""
         some = members.select("k1").distinct()
         rows = self.table.join(some, "k1", "left_semi")
-        self.classes = materialise(rows.groupBy("k1", "k2").agg(F.min_by(F.struct("doc_id", "th", "sig"), F.struct("doc_id", "th")).alias("r")).select("k1", "r.*"), "classes")
+        self.classes = materialise(rows.groupBy("k1", "k2").agg(F.min_by(F.struct("doc_id", "th", "sig"), F.struct("doc_id", "th")).alias("r")).select("k1", "r.*"), "classes", "fewer")
         self.texts: DataFrame | None = None
 
-    def text_of(self, pairs: DataFrame) -> DataFrame:
-        """(k1, text) of the classes in the pairs.
+    def text_of(self, need: DataFrame) -> DataFrame:
+        """(k1, text) of the classes `need` (k1).
 
         The documents are shuffled once, to fetch the text of each class that
         shares a bucket from its one chosen row.
@@ -206,59 +208,87 @@ class _Search:
             want = self.classes.select("k1", F.col("doc_id").alias("w_doc"), F.col("th").alias("w_th"))
             rows = self.docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
             same = (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_doc"))
-            self.texts = materialise(rows.join(want.hint("shuffle_hash"), same).select("k1", "text"), "class-texts")
-        need = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
+            self.texts = materialise(rows.join(want.hint("shuffle_hash"), same).select("k1", "text"), "class-texts", "fewer")
         return self.texts.join(need, "k1", "left_semi").dropDuplicates(["k1"])
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """The links among candidate pairs (a, b)."""
         sig = self.classes.select("k1", "sig")
         left = pairs.join(sig.select(F.col("k1").alias("a"), F.col("sig").alias("sig_a")), "a")
-        found = materialise(_promising(left.join(sig.select(F.col("k1").alias("b"), F.col("sig").alias("sig_b")), "b"), self.limits), "promising")
+        found = materialise(_promising(left.join(sig.select(F.col("k1").alias("b"), F.col("sig").alias("sig_b")), "b"), self.limits), "promising", "fewer")
         if not found.limit(1).count():
             return found
-        text = self.text_of(found)
+        text = self.text_of(found.select(F.col("a").alias("k1")).union(found.select("b")).distinct())
         left = found.join(text.select(F.col("k1").alias("a"), F.col("text").alias("text_a")), "a")
         both = left.join(text.select(F.col("k1").alias("b"), F.col("text").alias("text_b")), "b")
-        return materialise(_exact(both, self.width, self.percent), "links")
+        return materialise(_exact(both, self.width, self.percent), "links", "fewer")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = 1e-6, pivots: int = 128) -> DataFrame:
+def _star(members: DataFrame, fits) -> DataFrame:
+    """(a, b): every class of a bucket with the bucket's best connected class."""
+    sizes = materialise(members.groupBy("bucket").agg(F.count("*").alias("m")), "bucket-sizes", "fewer")
+    degree = materialise(members.join(sizes, "bucket").groupBy("k1").agg(F.sum("m").alias("degree")), "degrees", "fewer")
+    best = members.join(degree, "k1").groupBy("bucket").agg(F.max(F.struct("degree", "k1", "n")).alias("p"))
+    best = materialise(best.select("bucket", F.col("p.k1").alias("b"), F.col("p.n").alias("nb")), "best-connected", "fewer")
+    pairs = members.join(best, "bucket").filter((F.col("k1") != F.col("b")) & fits(F.col("n"), F.col("nb")))
+    return pairs.select(F.col("k1").alias("a"), "b").distinct()
+
+
+def _rare_partners(texts: DataFrame, width: int, percent: int, fits) -> DataFrame:
+    """(a, b): classes of different components (k1, text, n, comp) that share a shingle of both their prefixes."""
+
+    def run(batches):
+        for part in B.pieces(batches, "text", 512 << 10):
+            sets, bounds = shingle_sets(part.column(1), width)
+            take = pa.array(np.repeat(np.arange(part.num_rows), np.diff(bounds)))
+            yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), *(part.column(i).take(take) for i in (0, 2, 3))], names=["token", "k1", "n", "comp"])
+
+    tokens = materialise(texts.select("k1", "text", "n", "comp").mapInArrow(run, "token long, k1 long, n long, comp long"), "tokens")
+    often = materialise(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared-tokens", "fewer")
+    # of each class its shared shingles, rarest first; those of its own come before them and fill the prefix first
+    own = tokens.join(often, "token").groupBy("k1", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
+    prefix = own.filter(length > 0).select("k1", "n", "comp", F.size("shared").alias("m"), F.posexplode(F.slice("shared", F.lit(1), length.cast("int"))).alias("i", "t"))
+    prefix = prefix.select("k1", "n", "comp", "t.token", (F.col("n") - F.col("m") + F.col("i")).alias("before"))
+    prefix = materialise(prefix, "prefixes", "fewer")
+    # the largest component among a shingle's classes only meets the others
+    sizes = prefix.groupBy("token", "comp").agg(F.count("*").alias("m"))
+    most = sizes.groupBy("token").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all")).filter(F.col("all") > F.col("top.m"))
+    most = materialise(most.select("token", F.col("top.comp").alias("main")), "split-tokens", "fewer")
+    prefix = materialise(prefix.join(most, "token"), "meeting", "fewer")
+    few = prefix.filter("comp <> main").select("token", F.col("k1").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("before").alias("bb"))
+    # of the first shingle that both have, none of those before it is shared, and the rest must be enough
+    need = F.floor((percent * (F.col("n") + F.col("nb")) + 99 + percent) / (100 + percent))
+    enough = (F.col("n") - F.col("before") >= need) & (F.col("nb") - F.col("bb") >= need)
+    once = (F.col("comp") == F.col("main")) | (F.col("k1") < F.col("b"))
+    pairs = prefix.join(few, "token").filter((F.col("comp") != F.col("cb")) & once & enough & fits(F.col("n"), F.col("nb")))
+    return pairs.select(F.col("k1").alias("a"), "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """Per row: doc_id, th (hash of the text), n_shingles, component_id, kept (it has the component's id)."""
     bands, rows = plan(percent, miss)
     table = materialise(_fingerprints(docs, width, bands, rows), "fingerprints")
-    # buckets in which at least two classes meet, and their smallest class
+    # buckets in which at least two classes meet
     each = table.filter("n > 0").select("k1", "n", F.explode("bands").alias("bucket"))
-    shared = each.groupBy("bucket").agg(F.min(F.struct("k1", "n")).alias("lo"), F.max("k1").alias("hi")).filter("lo.k1 < hi")
-    members = each.join(shared.select("bucket", F.col("lo.k1").alias("p"), F.col("lo.n").alias("pn")), "bucket").groupBy("bucket", "k1", "n", "p", "pn").agg(F.lit(1).alias("x")).drop("x")
-    members = materialise(members, "buckets")
+    shared = each.groupBy("bucket").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo < hi").select("bucket")
+    members = materialise(each.join(materialise(shared, "shared-buckets", "fewer"), "bucket", "left_semi").distinct(), "buckets", "fewer")
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  (sizes allow the threshold)
     labels = None
     if members.limit(1).count():
         search = _Search(docs, table, width, percent, miss)
         search.load(members)
-        star = members.filter((F.col("k1") != F.col("p")) & fits(F.col("n"), F.col("pn"))).groupBy(F.col("k1").alias("a"), F.col("p").alias("b")).agg(F.lit(1).alias("x")).drop("x")
-        links = search.compare(star)
-        open_ = members.select("bucket", "k1", "n")
-        while True:
-            labels = components(links)
-            now = open_.join(labels.withColumnRenamed("node", "k1"), "k1", "left").select("bucket", "k1", "n", F.coalesce("comp", "k1").alias("comp"))
-            split = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-            now = materialise(now.join(split, "bucket"), "open-buckets")
-            if not now.limit(1).count():
-                break
-            # the largest component of a bucket waits; of the others' members, about `pivots` a bucket are compared
-            sizes = now.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
-            most = sizes.groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all")).select("bucket", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.m")).alias("rest"))
-            deal = F.pmod(F.xxhash64("k1", "bucket"), F.ceil(F.col("rest") / F.lit(float(pivots)))) == 0
-            chosen = materialise(now.join(most, "bucket").filter((F.col("comp") != F.col("main")) & deal).select("bucket", F.col("k1").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")), "pivots")
-            tried = chosen.select("bucket", F.col("b").alias("k1"), F.lit(True).alias("tried"))
-            marked = now.join(tried, ["bucket", "k1"], "left")
-            pairs = marked.join(chosen, "bucket").filter((F.col("comp") != F.col("cb")) & fits(F.col("n"), F.col("nb")) & (F.col("tried").isNull() | (F.col("k1") < F.col("b"))))
-            pairs = pairs.groupBy(F.col("k1").alias("a"), "b").agg(F.lit(1).alias("x")).drop("x")
-            more = search.compare(pairs)
-            links = materialise(links.union(more), "links")
-            open_ = materialise(marked.filter("tried is null").select("bucket", "k1", "n"), "open-buckets")
+        links = search.compare(_star(members, fits))
+        labels = components(links)
+        # classes that share a bucket and are in different components may still be linked
+        now = members.join(labels.withColumnRenamed("node", "k1"), "k1", "left").select("bucket", "k1", "n", F.coalesce("comp", "k1").alias("comp"))
+        now = materialise(now, "labelled-buckets", "fewer")
+        split = materialise(now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket"), "split-buckets", "fewer")
+        rest = materialise(now.join(split, "bucket", "left_semi").select("k1", "n", "comp").distinct(), "unsettled", "fewer")
+        if rest.limit(1).count():
+            more = search.compare(_rare_partners(search.text_of(rest.select("k1")).join(rest, "k1"), width, percent, fits))
+            if more.limit(1).count():
+                labels = components(materialise(links.union(more), "links", "fewer"))
     return _result(table, labels)
 
 
