@@ -99,8 +99,12 @@ def _anchor_rows(base: DataFrame, threshold: int, gram: int) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, *key: str) -> DataFrame:
-    """The rows whose key occurs in several rows."""
-    often = rows.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    """The rows whose key occurs in several rows.
+
+    The keys are written first, so that the join deals both sides anew and
+    Spark can split a key that very many rows have.
+    """
+    often = materialise(rows.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "often", "fewer")
     return rows.join(often, list(key), "left_semi")
 
 
@@ -109,7 +113,7 @@ def _pass(rows: DataFrame, digit: str, depth: str) -> tuple[DataFrame, DataFrame
 
     `rows` have digits that occur more than once.
     """
-    kinds = materialise(rows.groupBy(digit, depth).agg(F.count("*").alias("n"), F.min(F.struct("d1", "d2", "at")).alias("r")), "kinds")
+    kinds = materialise(rows.groupBy(digit, depth).agg(F.count("*").alias("n"), F.min(F.struct("d1", "d2", "at")).alias("r")), "kinds", "fewer")
     equal = rows.join(kinds.filter("n > 1").select(digit, depth), [digit, depth], "left_semi").select("d1", "d2", "at").distinct()
     several = kinds.groupBy(digit).agg(F.count("*").alias("m")).filter("m > 1").select(digit)
     return equal, kinds.join(several, digit, "left_semi").select("r.*", digit)
@@ -198,9 +202,9 @@ def repeated_passages(docs: DataFrame, threshold: int = 200, gram: int = 64) ->
         raise ValueError("threshold must lie between gram + 8 and gram + 255")
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"), F.octet_length(text).cast("long").alias("n_bytes"))
-    copies = materialise(base.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one")), "copies")
+    copies = materialise(base.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one")), "copies", "fewer")
 
-    found = materialise(_repeated(_anchor_rows(base, threshold, gram), "g"), "anchors")
+    found = materialise(_repeated(_anchor_rows(base, threshold, gram), "g"), "anchors", "fewer")
     equal, open_ = _pass(found, "g", "s")
     # anchors' windows in the form of blocks': first window and number
     far, near = F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
@@ -211,13 +215,13 @@ def repeated_passages(docs: DataFrame, threshold: int = 200, gram: int = 64) ->
     windows = windows.join(copies.filter("copies = 1"), list(_DIGEST), "left_semi").groupBy("d1", "d2").agg(F.collect_list("at").alias("w"))
     wanted = open_.join(windows, list(_DIGEST), "full").join(copies, list(_DIGEST)).select(F.col("d1").alias("w1"), F.col("d2").alias("w2"), "one", "copies", "found", "w")
     same = (F.col("d1") == F.col("w1")) & (F.col("d2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("one"))
-    texts = materialise(base.join(wanted.hint("shuffle_hash"), same).select("d1", "d2", "copies", "text", "found", "w"), "texts")
+    texts = materialise(base.join(wanted.hint("shuffle_hash"), same).select("d1", "d2", "copies", "text", "found", "w"), "texts", "fewer")
 
-    blocks = materialise(_repeated(_blocks(texts.filter("found is not null"), threshold), "g"), "blocks")
+    blocks = materialise(_repeated(_blocks(texts.filter("found is not null"), threshold), "g"), "blocks", "fewer")
     equal, open_ = _pass(blocks, "g", "s")
     open_ = open_.groupBy("d1", "d2").agg(F.collect_list(F.struct("at")).alias("found"))
     singles = _windows(texts.select("d1", "d2", "text").dropDuplicates(["d1", "d2"]).join(open_, list(_DIGEST)), threshold)
-    singles = _repeated(materialise(singles, "windows"), "g", "s").select("d1", "d2", "at")
+    singles = _repeated(materialise(singles, "windows", "fewer"), "g", "s").select("d1", "d2", "at")
 
     more = equal.union(singles).groupBy("d1", "d2").agg(F.collect_list("at").alias("more"))
     both = F.concat(F.coalesce("w", F.array().cast("array<long>")), F.coalesce("more", F.array().cast("array<long>")))

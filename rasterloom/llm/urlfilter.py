@@ -55,7 +55,7 @@ def _templates(paths: DataFrame, levels: int, siblings: int, rare: int, z: float
     """host, path, n, labelled, bad with each path's template; one row a host and path."""
     now = paths.withColumn("segments", F.split(F.regexp_replace("path", "^/", ""), "/")).withColumn("template", F.lit(""))
     for level in range(1, levels + 1):
-        now = materialise(now, "templates")
+        now = materialise(now, "templates", "fewer")
         seg = F.try_element_at("segments", F.lit(level))
         deep = now.filter(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
         nodes = deep.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.count("*").alias("k"), F.sum("labelled").alias("all_l"), F.sum("bad").alias("all_b"))
@@ -68,7 +68,7 @@ def _templates(paths: DataFrame, levels: int, siblings: int, rare: int, z: float
         grown = now.withColumn("seg", seg).join(signs, ["host", "template", "seg"], "left")
         now = grown.withColumn("template", F.concat("template", F.when(F.col("sign").isNull(), "").otherwise(F.concat(F.lit("/"), "sign")))).drop("seg", "sign")
     tail = F.when(F.size("segments") > levels, "/**").otherwise("")
-    return materialise(now.select("host", "path", "n", "labelled", "bad", F.concat("template", tail).alias("template")), "templates")
+    return materialise(now.select("host", "path", "n", "labelled", "bad", F.concat("template", tail).alias("template")), "templates", "fewer")
 
 
 def judge(
