@@ -2,7 +2,8 @@
 
 Tokens are runs of ASCII letters and non-ASCII characters, A-Z lower-cased;
 longer ones also stand for their stems, the first 4, 6 and 8 bytes.  Log-odds
-of words and stems between toxic and clean labelled texts, under an
+of words and stems between toxic and clean labelled texts (each counted once a
+text, so that what one text repeats isn't telling), under an
 informative Dirichlet prior (the pooled frequencies, with `prior` times as
 many pseudo-tokens as tokens), count with their lower confidence bound; a token has the best score of its
 word and stems, and costs `drift` if none is positive.  A linear-time
@@ -116,7 +117,7 @@ def _tokens(texts: pa.Array):
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """Occurrences of each token in toxic and clean rows (toxic int, fold int, text string), by fold."""
+    """Toxic and clean rows (toxic int, fold int, text string) with each token, by fold."""
 
     def run(batches):
         for part in B.pieces(batches, "text"):
@@ -124,11 +125,14 @@ def _counts(rows: DataFrame) -> DataFrame:
             toxic, fold = np.asarray(part.column(0)), np.asarray(part.column(1))
             for k in range(FOLDS):
                 own = np.repeat(fold == k, np.diff(bounds))
-                bad = np.tile(np.repeat(toxic, np.diff(bounds))[own] == 1, len(forms))
+                text = np.tile(np.repeat(np.arange(part.num_rows), np.diff(bounds))[own], len(forms))
                 tokens = np.concatenate([f[own] for f in forms])
-                bad, tokens = bad[tokens != 0], tokens[tokens != 0]
-                kinds, inv = np.unique(tokens, return_inverse=True)
-                n_bad = np.bincount(inv, weights=bad, minlength=len(kinds)).astype(np.int64)
+                order = np.lexsort((text, tokens))
+                text, tokens = text[order], tokens[order]
+                first = tokens != 0
+                first[1:] &= (tokens[1:] != tokens[:-1]) | (text[1:] != text[:-1])
+                kinds, inv = np.unique(tokens[first], return_inverse=True)
+                n_bad = np.bincount(inv, weights=toxic[text[first]] == 1, minlength=len(kinds)).astype(np.int64)
                 n_all = np.bincount(inv, minlength=len(kinds))
                 yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(np.full(len(kinds), k, np.int32)), pa.array(n_bad), pa.array(n_all - n_bad)], names=["token", "fold", "bad", "good"])
 
@@ -189,12 +193,13 @@ def _scan(part: pa.RecordBatch, model: ToxicityModel):
 
 
 def _evidence(model: ToxicityModel, n: int, found: list) -> tuple[float, float]:
-    each = sorted((model.evidence(s, n) for *_, s in found), reverse=True)
-    best = each[0] if each else model.evidence(0.0, n)
-    return float(np.clip(best, -20, 60)), float(min(sum(max(e, 0.0) for e in each), 120.0))
+    """-ln of the chance that a clean text has as good a best segment (0 without segments), and the sum over significant ones."""
+    each = [model.evidence(s, n) for *_, s in found]
+    best = -np.log(-np.expm1(-np.exp(-np.clip(max(each), -5, 30)))) if each else 0.0
+    return float(best), float(min(sum(max(e, 0.0) for e in each), 120.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, prior: float = 0.01, confidence: float = 2.5, label: str = "toxic") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, prior: float = 0.01, confidence: float = 2.0, label: str = "toxic") -> ToxicityModel:
     """Learn from `labels` (doc_id, toxic 0/1) and the texts of those documents."""
     some = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("toxic"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
