@@ -20,9 +20,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from . import bytesops as B
 from .storage import materialise
@@ -60,6 +62,9 @@ def _families(buf: np.ndarray, off: np.ndarray, words: np.ndarray, bounds: np.nd
 
 
 _ROLLER = B.Roller(11)
+#: How a vector column is stored: read back under that type, no second Python worker has to build the vectors.
+_SPARSE = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+_SAMPLE = StructType([StructField("label", DoubleType()), StructField("fold", IntegerType()), StructField("features", VectorUDT())])
 
 
 def base_counts(buf: np.ndarray, off: np.ndarray, raw: list[bytes]):
@@ -97,17 +102,16 @@ def _features(rows: DataFrame) -> DataFrame:
             buf, off = B.text_buffer(part.column(2))
             starts, ends, bounds = B.word_spans(buf, off)
             words = _ROLLER.spans(_ROLLER.prefix(buf), starts, ends)
-            index, value = [[] for _ in range(part.num_rows)], [[] for _ in range(part.num_rows)]
+            rows = [([], []) for _ in range(part.num_rows)]
             for slots, b in _families(buf, off, words, bounds):
-                for d in range(part.num_rows):
-                    if b[d + 1] > b[d]:
-                        s, c = np.unique(slots[b[d] : b[d + 1]], return_counts=True)
-                        index[d] += s.tolist()
-                        value[d] += (c / (b[d + 1] - b[d])).tolist()
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float64()))], names=["label", "fold", "i", "v"])
+                for d, (index, value) in enumerate(rows):
+                    s, c = np.unique(slots[b[d] : b[d + 1]], return_counts=True)
+                    index += s.tolist()
+                    value += (c / max(1, b[d + 1] - b[d])).tolist()
+            sparse = [{"type": 0, "size": 3 * SLOTS, "indices": i, "values": v} for i, v in rows]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sparse, _SPARSE)], names=["label", "fold", "features"])
 
-    sparse = F.udf(lambda i, v: Vectors.sparse(3 * SLOTS, i, v), VectorUDT())
-    return rows.mapInArrow(run, "label double, fold int, i array<int>, v array<double>").select("label", "fold", sparse("i", "v").alias("features"))
+    return rows.mapInArrow(run, "label double, fold int, features struct<type: tinyint, size: int, indices: array<int>, values: array<double>>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, label: str = "quality") -> QualityModel:
@@ -115,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, label: str
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)).cast("int")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
-    data = materialise(_features(rows.select("label", fold.alias("fold"), "text")), "quality-sample", "few")
+    data = materialise(_features(rows.select("label", fold.alias("fold"), "text")), "quality-sample", "few", _SAMPLE)
     seen = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count("*").alias("n")).collect()}
     zero = np.zeros(3 * SLOTS)
     if len(seen) < 2:
@@ -126,9 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, label: str
         train = data
     m = classifier.fit(train)
     model = QualityModel(m.coefficients.toArray(), m.intercept, 1.0, 0.0)
-    aside = m.transform(data.filter("fold = 0")).select("label", "rawPrediction")
-    margin = F.udf(lambda v: Vectors.dense([float(v[1])]), VectorUDT())
-    aside = aside.select("label", margin("rawPrediction").alias("features"))
+    margin = vector_to_array("rawPrediction")[1]
+    aside = m.transform(data.filter("fold = 0")).select("label", array_to_vector(F.array(margin)).alias("features"))
     if aside.select("label").distinct().count() == 2:
         platt = LogisticRegression(maxIter=30, regParam=1e-3, standardization=False).fit(aside)
         model.slope, model.shift = float(platt.coefficients[0]), platt.intercept

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,18 +25,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/rasterloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, files: str = "as is") -> DataFrame:
+def materialise(df: DataFrame, name: str, files: str = "as is", schema: StructType | None = None) -> DataFrame:
     """Write once to the shared folder and read back: lineage ends there.
 
     A lost executor costs a reread, not a recomputation, and several consumers
     share the one computation.  `files` keeps the number of files (each costs
     several calls to the file system) in line with the data: "few" for tables
     of bounded size, "fewer" for what a shuffle has dealt out (a quarter of
-    the shuffle's partitions), "as is" for what follows a scan.
+    the shuffle's partitions), "as is" for what follows a scan.  `schema` is
+    what to read it as, if not as it was.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     if files != "as is":
         df = df.coalesce(8 if files == "few" else max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
