@@ -199,7 +199,7 @@ def _evidence(model: ToxicityModel, n: int, found: list) -> tuple[float, float]:
     return float(best), float(min(sum(max(e, 0.0) for e in each), 120.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, prior: float = 0.01, confidence: float = 2.0, label: str = "toxic") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, prior: float = 0.1, confidence: float = 2.0, label: str = "toxic") -> ToxicityModel:
     """Learn from `labels` (doc_id, toxic 0/1) and the texts of those documents."""
     some = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("toxic"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)

@@ -69,7 +69,7 @@ def test_toxicity_held_out_and_odd_rows(spark):
     docs = _docs(spark, ODD)
     none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs, none).filter("score between 0 and 1 and predicted = 0").count() == len(ODD)
-    train = [(i, f"calm word{i % 7} text " * 9 + ("é awful vile" if i % 3 == 0 else "fine"), int(i % 3 == 0)) for i in range(300)]
+    train = [(i, f"calm word{i} text " * 9 + ("é awful vile" if i % 3 == 0 else "fine"), int(i % 3 == 0)) for i in range(300)]
     rows = spark.createDataFrame(train, "doc_id long, text string, toxic int")
     m = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
     out = toxicity.score(_docs(spark, ["ü calm text, awful vile.", "calm text"] + ODD), m, passages=True).collect()
