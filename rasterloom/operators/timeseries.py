@@ -61,8 +61,11 @@ def step_variability(x: Column, step: int = 1, absolute: bool = False, drops_onl
     return F.coalesce(F.abs(d) if absolute else d, F.lit(FILL))
 
 
-def _day_lags(x: Column) -> list[Column]:
-    return [F.lag(x, k).over(by_day()) if k > 0 else F.lead(x, -k).over(by_day()) for k in (1, 2, -1, -2)]
+_NEAR, _WIDE = (1, 2, -1, -2), (1, 2, 3, -1, -2, -3)
+
+
+def _day_lags(x: Column, lags: tuple[int, ...] = _NEAR) -> list[Column]:
+    return [F.lag(x, k).over(by_day()) if k > 0 else F.lead(x, -k).over(by_day()) for k in lags]
 
 
 def positive_variability(x: Column) -> Column:
@@ -75,8 +78,8 @@ def negative_variability(x: Column) -> Column:
     return F.greatest(F.lit(0.0), *(y - x for y in _day_lags(x)))
 
 
-def _in_range(first_day: int, last_day: int) -> list[Column]:
-    return [(F.col("dfb") - k).between(first_day, last_day) for k in (1, 2, -1, -2)]
+def _in_range(first_day: int, last_day: int, lags: tuple[int, ...] = _NEAR) -> list[Column]:
+    return [(F.col("dfb") - k).between(first_day, last_day) for k in lags]
 
 
 def lasting_rise(x: Column, first_day: int, last_day: int) -> Column:
@@ -86,9 +89,14 @@ def lasting_rise(x: Column, first_day: int, last_day: int) -> Column:
 
 
 def total_variability(x: Column, first_day: int, last_day: int) -> Column:
-    """Smallest absolute difference to the days in range; FILL if any is missing."""
-    each = [F.when(ok, F.coalesce(F.abs(x - y), F.lit(FILL))) for y, ok in zip(_day_lags(x), _in_range(first_day, last_day), strict=True)]
-    return F.coalesce(F.least(*each), F.lit(FILL))
+    """Smallest absolute difference to the days in range one or two away, from six days on also three away
+    for all but the first and last two days; FILL if any is missing, and for the inner days of four."""
+    day, days = F.col("dfb") - first_day, last_day - first_day + 1
+    inner = day.between(2, days - 3) if days >= 6 else F.lit(False)
+    used = [ok & inner if abs(k) == 3 else ok for k, ok in zip(_WIDE, _in_range(first_day, last_day, _WIDE), strict=True)]
+    each = [F.when(ok, F.coalesce(F.abs(x - y), F.lit(FILL))) for y, ok in zip(_day_lags(x, _WIDE), used, strict=True)]
+    least = F.coalesce(F.least(*each), F.lit(FILL))
+    return F.when(day.between(1, 2), F.lit(FILL)).otherwise(least) if days == 4 else least
 
 
 def rolling_mean(x: Column, window: int) -> Column:

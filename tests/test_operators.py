@@ -37,6 +37,22 @@ def test_one_missing_day(spark):
     assert column(got, "all") == [-10.0, -10.0, -10.0, -10.0, 2.0]
 
 
+@pytest.mark.parametrize("days", range(1, 10))
+def test_total_variability_rule(spark, days):
+    """Against the rule of SURVEY V3: three days away counts from six days on, for days 2 to n - 3."""
+    x = [float(v) if v is not None else None for v in (0, 10, 20, 1, 30, 40, None, 55, 21.5)][:days]
+
+    def want(i):
+        if days < 2 or (days == 4 and i in (1, 2)):
+            return -10.0
+        lags = (1, 2, 3) if days >= 6 and 2 <= i <= days - 3 else (1, 2)
+        near = [j for k in lags for j in (i - k, i + k) if 0 <= j < days]
+        return min(-10.0 if x[i] is None or x[j] is None else abs(x[i] - x[j]) for j in near)
+
+    got = series(spark, x).withColumn("all", timeseries.total_variability(F.col("vis"), 0, days - 1))
+    assert column(got, "all") == [want(i) for i in range(days)]
+
+
 def test_gaps(spark):
     x = [None, 1.0, None, 3.0, None, None, 6.0, None, None, None, 10.0, None, None, None, None, 15.0, None]
     got = timeseries.interpolate_gaps(series(spark, x), "vis")
