@@ -49,23 +49,41 @@ def with_tests(cube: DataFrame, exhaustive: bool = True) -> DataFrame:
     return cube.withColumn("is_cloud", F.col("dawn_day") & cloudy).withColumn("is_snow", snowy)
 
 
-def classify(cube: DataFrame, p: Profile = Profile(), exhaustive: bool = True) -> DataFrame:
-    """t, lat_i, lon_i, cls: 0 clear, 1 snow, 2 cloud, 3 suspect snow, 4 cloud seen late, 5 undefined."""
+def _early(cube: DataFrame, exhaustive: bool) -> DataFrame:
+    """Adds `early`, the class before the late tests, `suspect`, `background` and `late`."""
     cube = with_tests(with_indexes(cube), exhaustive)
     invalid = F.col("vis").isNull() | F.col("sir").isNull() | F.col("mir").isNull() | F.col("lir").isNull()
     ndsi = F.col("ndsi")
     change = F.abs(timeseries.step_variability(ndsi))
     suspect = F.col("is_snow") & P.test((timeseries.positive_variability(ndsi) > 0.2) | (timeseries.negative_variability(ndsi) > 0.2) | ((change > 0.05) & (change < 10)))
     early = F.when(F.col("is_cloud"), 2).when(invalid | ~F.col("dawn_day"), 5).when(F.col("is_snow"), 1).otherwise(0)
-    cube = cube.withColumn("suspect", suspect).withColumn("early", early)
-    late = (F.col("early") == 0) & F.col("is_land") & late_cloud(F.col("vis"), F.col("early") == 0)
-    cls = F.when(late, 4).when(F.col("suspect") & (F.col("early") == 1), 3).otherwise(F.col("early"))
-    return cube.select("t", "dfb", "slot", "lat_i", "lon_i", cls.cast("int").alias("cls"), "vis", "cosz", "is_land")
+    cube = late_background(cube.withColumn("suspect", suspect).withColumn("early", early).withColumn("free", F.col("early") == 0), "vis", "free")
+    return cube.withColumn("late", F.col("is_land") & late_cloud(F.col("vis"), F.col("free"), F.col("background")))
+
+
+def classify(cube: DataFrame, p: Profile = Profile(), exhaustive: bool = True) -> DataFrame:
+    """t, lat_i, lon_i, cls: 0 clear, 1 snow, 2 cloud, 3 suspect snow, 4 cloud seen late, 5 undefined."""
+    cls = F.when(F.col("late"), 4).when(F.col("suspect") & (F.col("early") == 1), 3).otherwise(F.col("early"))
+    return _early(cube, exhaustive).select("t", "dfb", "slot", "lat_i", "lon_i", cls.cast("int").alias("cls"), "vis", "cosz", "is_land")
+
+
+def unstable_albedo(cube: DataFrame) -> DataFrame:
+    """t, lat_i, lon_i, background, unstable: cloud-free land brighter than its background."""
+    return _early(cube, True).select("t", "lat_i", "lon_i", "background", F.col("late").alias("unstable"))
+
+
+def late_background(cube: DataFrame, vis: str, free: str) -> DataFrame:
+    """Adds `background`: the least trailing mean over 5 slots of the same slot and cell, in which a view counts
+    if the cell is cloud-free there and one and two slots before and after (past the ends: not free), else as 100."""
+    long = F.col(free)
+    for k in (1, 2):
+        long = long & F.coalesce(F.lag(free, k).over(timeseries.by_time()), F.lit(False)) & F.coalesce(F.lead(free, k).over(timeseries.by_time()), F.lit(False))
+    cube = cube.withColumn("steady", F.when(long, F.col(vis)).otherwise(100.0)).withColumn("smooth", timeseries.rolling_mean(F.col("steady"), 5))
+    return cube.withColumn("background", F.min("smooth").over(Window.partitionBy("lat_i", "lon_i", "slot"))).drop("steady", "smooth")
 
 
-def late_cloud(vis: Column, free: Column, limit: float = TH.land_visible) -> Column:
-    """Brighter than the darkest cloud-free view of the same slot and cell."""
-    background = F.min(F.when(free, vis)).over(Window.partitionBy("lat_i", "lon_i", "slot"))
+def late_cloud(vis: Column, free: Column, background: Column, limit: float = TH.land_visible) -> Column:
+    """Cloud-free and brighter than the background of late_background."""
     return P.test(free & (vis - background > limit))
 
 

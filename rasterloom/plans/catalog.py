@@ -310,6 +310,16 @@ def static_classifier(spark, sf_dir):
     return _classes(spark, sf_dir).select("t", "dfb", "slot", "lat_i", "lon_i", "cls")
 
 
+@query(f"""WITH {_INDEXED}, n AS (
+  SELECT *, early = 0 AS free, {" AND ".join(f"coalesce({f}(early = 0, {k}) OVER ({_PX}), false)" for f in ("lag", "lead") for k in (1, 2))} AS around FROM early
+), s AS (SELECT *, CASE WHEN free AND around THEN vis ELSE 100.0 END AS steady FROM n),
+m AS (SELECT *, CASE WHEN row_number() OVER ({_PX}) >= 5 THEN avg(steady) OVER ({_PX} ROWS 4 PRECEDING) ELSE steady END AS smooth FROM s),
+b AS (SELECT *, min(smooth) OVER (PARTITION BY lat_i, lon_i, slot) AS background FROM m)
+SELECT t, lat_i, lon_i, round(background, 6) AS background, free AND is_land AND {_test("vis - background > 0.1")} AS unstable FROM b""")
+def unstable_albedo(spark, sf_dir):
+    return classify.unstable_albedo(_cube(spark, sf_dir)).select(*KEY, F.round("background", 6).alias("background"), "unstable")
+
+
 @query(f"""WITH {_INDEXED}, u AS (
   SELECT *, median(CASE WHEN cls IN (0, 1) THEN vis END) OVER (PARTITION BY lat_i, lon_i, slot) AS usual FROM classes
 ) SELECT t, lat_i, lon_i, {_test("cls IN (0, 1) AND usual - vis > 0.2 * cosz")} AS shade FROM u""")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from rasterloom.config import Profile
 from rasterloom.functions import physics
-from rasterloom.operators import models, navigation, neighbourhood, segment, stats, timeseries
+from rasterloom.operators import classify, models, navigation, neighbourhood, segment, stats, timeseries
 from rasterloom.streaming import live_cube
 
 SCHEMA = "t int, dfb int, slot int, lat_i int, lon_i int, vis double"
@@ -53,6 +53,16 @@ def test_total_variability_rule(spark, days):
     assert column(got, "all") == [want(i) for i in range(days)]
 
 
+def test_late_cloud_needs_a_steady_background(spark):
+    """A dark free view beside a cloud is no background; a view far brighter than the steady ones is class 4."""
+    vis = {14: 0.05, 20: 0.4}
+    rows = [(t, t // 4, t % 4, 0, 1, 290.0, 250.0 if t == 15 else 290.0, 292.0, vis.get(t, 0.2), vis.get(t, 0.2), 0.9, 0.45, 290.0, True) for t in range(24)]
+    cube = spark.createDataFrame(rows, "t int, dfb int, slot int, lat_i int, lon_i int, fir double, lir double, mir double, sir double, vis double, cosz double, zen double, t2m double, is_land boolean")
+    assert column(classify.classify(cube), "cls") == [{15: 2, 20: 4}.get(t, 0) for t in range(24)]
+    got = column(classify.unstable_albedo(cube), "background")
+    assert all(math.isclose(b, 0.2) for b in got)
+
+
 def test_gaps(spark):
     x = [None, 1.0, None, 3.0, None, None, 6.0, None, None, None, 10.0, None, None, None, None, 15.0, None]
     got = timeseries.interpolate_gaps(series(spark, x), "vis")
