@@ -63,6 +63,16 @@ def test_late_cloud_needs_a_steady_background(spark):
     assert all(math.isclose(b, 0.2) for b in got)
 
 
+def test_low_cut_is_a_butterworth(spark):
+    """The power gain of its impulse response is 1 / (1 + (tan(c pi / 2) / tan(w / 2)) ** 16); a missing value gives 0."""
+    y = column(timeseries.low_cut(series(spark, [1.0] + [0.0] * 399), "vis", 0.1), "filtered")
+    for f in (0.03, 0.07, 0.1, 0.13, 0.5, 0.9):
+        w = f * math.pi
+        gain = sum(v * math.cos(w * i) for i, v in enumerate(y)) ** 2 + sum(v * math.sin(w * i) for i, v in enumerate(y)) ** 2
+        assert math.isclose(gain, 1 / (1 + (math.tan(0.05 * math.pi) / math.tan(w / 2)) ** 16), rel_tol=1e-6, abs_tol=1e-8)
+    assert column(timeseries.low_cut(series(spark, [1.0, None, 0.0]), "vis", 0.1), "filtered") == [y[0], 0.0, y[2]]
+
+
 def test_gaps(spark):
     x = [None, 1.0, None, 3.0, None, None, 6.0, None, None, None, 10.0, None, None, None, None, 15.0, None]
     got = timeseries.interpolate_gaps(series(spark, x), "vis")
