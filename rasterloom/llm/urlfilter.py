@@ -2,13 +2,18 @@
 
 Every host has a tree of path segments.  Level by level, segments that vary
 become the wildcard `*` (numbers, also with an extension, and rare values
-among many siblings), and branches whose share of blocked pages does not
-differ from their parent's (a two-sided test at 1.96 standard errors) merge
-into `~`; other segments stay literal (`=segment`).  A template is rejected if
-its purity, the share of allowed pages among labelled ones smoothed by
-`strength` pseudo-pages of even odds, is under `least_purity`.  Labels are the
-rules' verdicts: pages that a rule decides teach the templates that pages
-without a rule are judged by.
+among many siblings).  The other siblings, labelled or not, are put in order
+of the shape of what follows them (the share of pages whose next segment is a
+number, then of those that have one) and each is compared with the one before
+it: they merge into one branch (`~1`, `~2`, ...) unless a homogeneity test of
+two smoothed shares (Agresti's, at `z` standard errors) tells their shapes
+apart, or the shares of blocked pages among their labelled ones (of a sibling
+without labels: of the nearest labelled one before it).  A branch of its own
+stays literal (`=segment`).  A template is rejected if its purity, the share
+of allowed pages among labelled ones smoothed by `strength` pseudo-pages of
+even odds, is under `least_purity`.  Labels are the rules' verdicts: pages
+that a rule decides teach the templates that pages without a rule are judged
+by, in the branch itself and in those that merge with it.
 
 Host: from the first `://` to `/`, `?`, `#` or the end, A-Z lower-cased; path:
 from there to `?`, `#` or the end.  A rule `host/path` fits its host and all
@@ -17,13 +22,15 @@ subdomains where the path starts with the rule's; the longest rule wins.
 Edge cases: a null url, or one without `://`, has an empty host and path and
 is allowed unless its template is rejected; segments below `levels` are one
 tail `**`; repeated rows are judged alike; empty tables give no rows.  Other
-columns are ignored.  Distinct paths are counted before anything is joined,
-and joins on a hot host can be split.
+columns are ignored.  Distinct paths are counted before anything is joined;
+what a join takes from an aggregate is written first, so that Spark deals both
+sides anew and can split a hot host.  One task orders the siblings of a node
+that do not vary (under a quarter of its distinct segments, with no page rows).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialise
@@ -51,24 +58,48 @@ def rule_of(rules: dict[str, str]) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def _apart(x1: Column, n1: Column, x2: Column, n2: Column, z: float) -> Column:
+    """Do two shares, each smoothed by a success and a failure, differ by more than `z` standard errors?"""
+    pooled = (x1 + x2 + 1) / (n1 + n2 + 2)
+    return F.abs((x1 + 1) / (n1 + 2) - (x2 + 1) / (n2 + 2)) > z * F.sqrt(pooled * (1 - pooled) * (F.lit(1.0) / (n1 + 2) + F.lit(1.0) / (n2 + 2)))
+
+
+def _signs(deep: DataFrame, siblings: int, rare: int, z: float) -> DataFrame:
+    """host, template, seg and its sign: `*`, `~` and the number of a merged branch, or `=seg`."""
+    node = ["host", "template"]
+    nodes = materialise(deep.groupBy(*node).agg(F.sum("n").alias("all_n"), F.count("*").alias("k")), "url-nodes")
+    varies = F.col("seg").rlike(_NUMBER) | ((F.col("k") >= siblings) & (F.col("n") * F.col("k") <= rare * F.col("all_n")))
+    deep = deep.join(nodes, node).withColumn("varies", varies).drop("all_n", "k")
+    order = Window.partitionBy(*node).orderBy(F.col("numbered") / F.col("n"), F.col("deeper") / F.col("n"), "seg")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    last = {c: F.lag(c).over(order) for c in ("n", "numbered", "deeper")}
+    known = {c: F.last(F.when(F.col("labelled") > 0, F.col(c)), True).over(before) for c in ("labelled", "bad")}
+    shape = [_apart(F.col(c), F.col("n"), last[c], last["n"], z) for c in ("numbered", "deeper")]
+    label = (F.col("labelled") > 0) & _apart(F.col("bad"), F.col("labelled"), known["bad"], known["labelled"], z)
+    breaks = F.coalesce((shape[0] | shape[1] | F.coalesce(label, F.lit(False))).cast("int"), F.lit(1))
+    chain = deep.filter("not varies").withColumn("breaks", breaks).withColumn("branch", F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = F.when(F.count("*").over(Window.partitionBy(*node, "branch")) > 1, F.concat(F.lit("~"), F.col("branch").cast("string"))).otherwise(F.concat(F.lit("="), F.col("seg")))
+    literal = chain.select(*node, "seg", merged.alias("sign"))
+    return materialise(literal.union(deep.filter("varies").select(*node, "seg", F.lit("*"))), "url-signs")
+
+
 def _templates(paths: DataFrame, levels: int, siblings: int, rare: int, z: float) -> DataFrame:
     """host, path, n, labelled, bad with each path's template; one row a host and path."""
     now = paths.withColumn("segments", F.split(F.regexp_replace("path", "^/", ""), "/")).withColumn("template", F.lit(""))
     for level in range(1, levels + 1):
-        now = materialise(now, "templates", "fewer")
-        seg = F.try_element_at("segments", F.lit(level))
-        deep = now.filter(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
-        nodes = deep.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.count("*").alias("k"), F.sum("labelled").alias("all_l"), F.sum("bad").alias("all_b"))
-        rate = F.col("all_b") / F.greatest("all_l", F.lit(1))
-        own = F.col("bad") / F.greatest("labelled", F.lit(1))
-        varies = F.col("seg").rlike(_NUMBER) | ((F.col("k") >= siblings) & (F.col("n") * F.col("k") <= rare * F.col("all_n")))
-        alike = (F.col("labelled") > 0) & (F.abs(own - rate) <= z * F.sqrt(rate * (1 - rate) / F.greatest("labelled", F.lit(1))))
-        sign = F.when(varies, "*").when(alike, "~").otherwise(F.concat(F.lit("="), F.col("seg")))
-        signs = deep.join(nodes, ["host", "template"]).select("host", "template", "seg", sign.alias("sign"))
+        now = materialise(now, "url-templates")
+        seg, below = (F.try_element_at("segments", F.lit(k)) for k in (level, level + 1))
+        sums = {"n": F.col("n"), "labelled": F.col("labelled"), "bad": F.col("bad")}
+        sums |= {"deeper": F.when(below.isNotNull(), F.col("n")).otherwise(0), "numbered": F.when(below.rlike(_NUMBER), F.col("n")).otherwise(0)}
+        deep = now.filter(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(*(F.sum(c).alias(k) for k, c in sums.items()))
+        deep = materialise(deep, "url-segments")
+        if deep.isEmpty():
+            break
+        signs = _signs(deep, siblings, rare, z)
         grown = now.withColumn("seg", seg).join(signs, ["host", "template", "seg"], "left")
         now = grown.withColumn("template", F.concat("template", F.when(F.col("sign").isNull(), "").otherwise(F.concat(F.lit("/"), "sign")))).drop("seg", "sign")
     tail = F.when(F.size("segments") > levels, "/**").otherwise("")
-    return materialise(now.select("host", "path", "n", "labelled", "bad", F.concat("template", tail).alias("template")), "templates", "fewer")
+    return materialise(now.select("host", "path", "n", "labelled", "bad", F.concat("template", tail).alias("template")), "url-templates")
 
 
 def judge(
@@ -82,7 +113,7 @@ def judge(
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(label[0]).alias("labelled"), F.coalesce(F.sum(label[1]), F.lit(0)).alias("bad"))
     known = _templates(paths, levels, siblings, rare, z)
     purity = (F.sum("labelled") - F.sum("bad") + strength / 2) / (F.sum("labelled") + strength)
-    verdicts = known.groupBy("host", "template").agg(F.when(purity < least_purity, "block").otherwise("allow").alias("learned"))
+    verdicts = materialise(known.groupBy("host", "template").agg(F.when(purity < least_purity, "block").otherwise("allow").alias("learned")), "url-verdicts")
     decided = known.select("host", "path", "template").join(verdicts, ["host", "template"])
     return rows.join(decided, ["host", "path"]).select("page_id", "host", "path", "rule", F.coalesce("said", "learned").alias("verdict"), "template")
 
@@ -94,19 +125,31 @@ def oracle(rules: dict[str, str] = RULES) -> str:
         host, slash, path = r.partition("/")
         fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash + path}')"
         rule, said = f"CASE WHEN {fits} THEN '{r}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{rules[r]}' ELSE {said} END"
-    levels = []
+    def apart(x1: str, n1: str, x2: str, n2: str) -> str:
+        pooled = f"(({x1} + {x2} + 1)::DOUBLE / ({n1} + {n2} + 2))"
+        return f"abs(({x1} + 1)::DOUBLE / ({n1} + 2) - ({x2} + 1)::DOUBLE / ({n2} + 2)) > {Z} * sqrt({pooled} * (1 - {pooled}) * (1.0::DOUBLE / ({n1} + 2) + 1.0::DOUBLE / ({n2} + 2)))"
+
+    levels, order = [], "PARTITION BY host, template ORDER BY numbered::DOUBLE / n, deeper::DOUBLE / n, seg"
     for d in range(1, LEVELS + 1):
         levels.append(f"""deep{d} AS (
-  SELECT host, template, segments[{d}] AS seg, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad
+  SELECT host, template, segments[{d}] AS seg, sum(n)::BIGINT AS n, sum(labelled)::BIGINT AS labelled, sum(bad)::BIGINT AS bad,
+    sum(CASE WHEN len(segments) > {d} THEN n ELSE 0 END)::BIGINT AS deeper, sum(CASE WHEN regexp_matches(segments[{d + 1}], '{_NUMBER}') THEN n ELSE 0 END)::BIGINT AS numbered
   FROM t{d - 1} WHERE len(segments) >= {d} GROUP BY ALL
-), node{d} AS (
-  SELECT host, template, sum(n) AS all_n, count(*) AS k, sum(bad)::DOUBLE / greatest(sum(labelled), 1) AS rate FROM deep{d} GROUP BY ALL
+), branch{d} AS (
+  SELECT *, regexp_matches(seg, '{_NUMBER}') OR (count(*) OVER w >= {SIBLINGS} AND n * count(*) OVER w <= {RARE} * sum(n) OVER w) AS varies
+  FROM deep{d} WINDOW w AS (PARTITION BY host, template)
+), near{d} AS (
+  SELECT *, lag(n) OVER w AS n0, lag(numbered) OVER w AS numbered0, lag(deeper) OVER w AS deeper0,
+    last_value(CASE WHEN labelled > 0 THEN labelled END IGNORE NULLS) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS labelled0,
+    last_value(CASE WHEN labelled > 0 THEN bad END IGNORE NULLS) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bad0
+  FROM branch{d} WHERE NOT varies WINDOW w AS ({order})
+), chain{d} AS (
+  SELECT host, template, seg, sum(CASE WHEN n0 IS NULL OR {apart("numbered", "n", "numbered0", "n0")} OR {apart("deeper", "n", "deeper0", "n0")}
+    OR (labelled > 0 AND labelled0 IS NOT NULL AND {apart("bad", "labelled", "bad0", "labelled0")}) THEN 1 ELSE 0 END) OVER ({order} ROWS UNBOUNDED PRECEDING)::BIGINT AS branch
+  FROM near{d}
 ), sign{d} AS (
-  SELECT host, template, seg, CASE
-    WHEN regexp_matches(seg, '{_NUMBER}') OR (k >= {SIBLINGS} AND n * k <= {RARE} * all_n) THEN '*'
-    WHEN labelled > 0 AND abs(bad::DOUBLE / greatest(labelled, 1) - rate) <= {Z} * sqrt(rate * (1 - rate) / greatest(labelled, 1)) THEN '~'
-    ELSE '=' || seg END AS sign
-  FROM deep{d} JOIN node{d} USING (host, template)
+  SELECT host, template, seg, CASE WHEN count(*) OVER (PARTITION BY host, template, branch) > 1 THEN '~' || branch ELSE '=' || seg END AS sign FROM chain{d}
+  UNION ALL SELECT host, template, seg, '*' FROM branch{d} WHERE varies
 ), t{d} AS (
   SELECT t.host, t.path, t.n, t.labelled, t.bad, t.segments, t.template || CASE WHEN sign IS NULL THEN '' ELSE '/' || sign END AS template
   FROM t{d - 1} t LEFT JOIN sign{d} s ON t.host = s.host AND t.template = s.template AND t.segments[{d}] = s.seg

@@ -134,12 +134,24 @@ def test_url_parts_rules_and_sql(spark):
 
 
 def test_learned_templates_reject(spark):
-    """Pages without a rule are judged by their template's labelled ones."""
-    urls = [f"http://h.example.com/de/{i}" for i in range(30)] + [f"http://h.example.com/en/{i}" for i in range(30)]
+    """Pages without a rule are judged by their template's labelled ones, in their own branch and in those of equal shape."""
+    urls = [f"http://h.example.com/{lang}/{i:03d}" for lang in ("de", "en") for i in range(30)] + [f"http://h.example.com/about/{c}/x" for c in "abcdefgh" * 4]
+    urls += [f"http://g.example.com/{lang}/{i:03d}" for lang in ("de", "en") for i in range(30)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    known = {f"h.example.com/de/{i}": "block" for i in range(12)}
-    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(pages, rules=known).collect()}
-    assert got[5][1] == "block" and got[20] == (None, "block") and got[50] == (None, "allow")
+    known = {f"h.example.com/de/{i:03d}": "block" for i in range(12)} | {f"g.example.com/de/{i:03d}": "allow" for i in range(12)} | {f"g.example.com/en/{i:03d}": "block" for i in range(12)}
+    got = {r.page_id: (r.rule, r.verdict, r.template) for r in urlfilter.judge(pages, rules=known).collect()}
+    assert got[5][:2] == ("h.example.com/de/005", "block") and got[20][:2] == (None, "block")
+    assert got[50][:2] == (None, "block") and got[50][2] == got[20][2]  # of equal shape: merged
+    assert got[70][:2] == (None, "allow")  # of another shape: not merged
+    at = 60 + 32
+    assert got[at + 20][:2] == (None, "allow") and got[at + 50][:2] == (None, "block")  # of equal shape, but labelled differently
+
+
+def test_production_rules_teach(spark):
+    """With the production rules, pages without a rule are rejected in hosts whose labelled branches are all blocked."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = urlfilter.judge(pages).filter("rule is null").groupBy("verdict").count().collect()
+    assert all(r["count"] > 0 for r in got) and {r.verdict for r in got} == {"allow", "block"}
 
 
 SF = "/root/testdata/sf0.001"
