@@ -6,7 +6,8 @@ fewer words, but not none, is one shingle).  Two documents are linked if
 100 * |intersection| >= `percent` * |union|; links join documents to
 components.
 
-1. Equal sets are one class from here on (128-bit keys of the sets).
+1. Equal sets are one class from here on (128-bit keys of the sets); every
+   class gets a number of its own.
 2. Each class gets a MinHash signature; `rows` hashes form a band, as many
    bands as keep the chance that a link shares no band under `miss`.
 3. In each band bucket every class is compared with the bucket's best connected
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .storage import materialise
+from .storage import drop, materialise
 
 _U = np.uint64
 _ROLLER = B.Roller(41)
@@ -179,127 +180,139 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         step = labels.join(near, "node").select("node", "comp", F.least("comp", "m").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("next"))
-        new = materialise(step.join(jump, "low", "left").select("node", F.least("low", "next").alias("comp"), (F.least("low", "next") != F.col("comp")).alias("moved")), "labels", "fewer")
+        new = materialise(step.join(jump, "low", "left").select("node", F.least("low", "next").alias("comp"), (F.least("low", "next") != F.col("comp")).alias("moved")), "labels")
+        drop(labels)
         labels = new.select("node", "comp")
-        if not new.filter("moved").limit(1).count():
+        labels._rl_path = new._rl_path
+        if new.filter("moved").isEmpty():
             return labels
 
 
 class _Search:
-    def __init__(self, docs: DataFrame, table: DataFrame, width: int, percent: int, miss: float):
-        self.docs, self.table, self.width, self.percent = docs, table, width, percent
-        self.limits = least_matches(percent, miss)
-        self.links: list[DataFrame] = []
+    """Signatures and texts of the classes that share a bucket with another: one row a class."""
 
-    def load(self, members: DataFrame) -> None:
-        """Signatures and texts of the classes that share a bucket with another: one row a class."""
-        some = members.select("k1").distinct()
-        rows = self.table.join(some, "k1", "left_semi")
-        self.classes = materialise(rows.groupBy("k1", "k2").agg(F.min_by(F.struct("doc_id", "th", "sig"), F.struct("doc_id", "th")).alias("r")).select("k1", "r.*"), "classes", "fewer")
+    def __init__(self, docs: DataFrame, classes: DataFrame, members: DataFrame, width: int, percent: int, miss: float):
+        self.docs, self.width, self.percent = docs, width, percent
+        self.limits = least_matches(percent, miss)
+        some = members.select("cid").distinct()
+        self.classes = materialise(classes.select("cid", "doc_id", "th", "sig").join(some, "cid", "left_semi"), "bucket-classes")
         self.texts: DataFrame | None = None
 
     def text_of(self, need: DataFrame) -> DataFrame:
-        """(k1, text) of the classes `need` (k1).
+        """(cid, text) of the classes `need` (cid), written, so that a join with it can be split.
 
         The documents are shuffled once, to fetch the text of each class that
         shares a bucket from its one chosen row.
         """
         if self.texts is None:
-            want = self.classes.select("k1", F.col("doc_id").alias("w_doc"), F.col("th").alias("w_th"))
+            want = self.classes.select("cid", F.col("doc_id").alias("w_doc"), F.col("th").alias("w_th"))
             rows = self.docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
             same = (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_doc"))
-            self.texts = materialise(rows.join(want.hint("shuffle_hash"), same).select("k1", "text"), "class-texts", "fewer")
-        return self.texts.join(need, "k1", "left_semi").dropDuplicates(["k1"])
+            found = rows.join(want.hint("shuffle_hash"), same).dropDuplicates(["th", "doc_id", "cid"])
+            self.texts = materialise(found.select("cid", "text"), "class-texts")
+        return materialise(self.texts.join(need, "cid", "left_semi"), "needed-texts")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """The links among candidate pairs (a, b)."""
-        sig = self.classes.select("k1", "sig")
-        left = pairs.join(sig.select(F.col("k1").alias("a"), F.col("sig").alias("sig_a")), "a")
-        found = materialise(_promising(left.join(sig.select(F.col("k1").alias("b"), F.col("sig").alias("sig_b")), "b"), self.limits), "promising", "fewer")
-        if not found.limit(1).count():
+        sig = self.classes.select("cid", "sig")
+        left = pairs.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a")
+        found = materialise(_promising(left.join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b"), self.limits), "promising")
+        if found.isEmpty():
             return found
-        text = self.text_of(found.select(F.col("a").alias("k1")).union(found.select("b")).distinct())
-        left = found.join(text.select(F.col("k1").alias("a"), F.col("text").alias("text_a")), "a")
-        both = left.join(text.select(F.col("k1").alias("b"), F.col("text").alias("text_b")), "b")
-        return materialise(_exact(both, self.width, self.percent), "links", "fewer")
+        text = self.text_of(found.select(F.col("a").alias("cid")).union(found.select("b")).distinct())
+        left = found.join(text.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
+        both = left.join(text.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
+        links = materialise(_exact(both, self.width, self.percent), "links")
+        drop(text, found)
+        return links
 
 
 def _star(members: DataFrame, fits) -> DataFrame:
     """(a, b): every class of a bucket with the bucket's best connected class."""
     sizes = materialise(members.groupBy("bucket").agg(F.count("*").alias("m")), "bucket-sizes", "fewer")
-    degree = materialise(members.join(sizes, "bucket").groupBy("k1").agg(F.sum("m").alias("degree")), "degrees", "fewer")
-    best = members.join(degree, "k1").groupBy("bucket").agg(F.max(F.struct("degree", "k1", "n")).alias("p"))
-    best = materialise(best.select("bucket", F.col("p.k1").alias("b"), F.col("p.n").alias("nb")), "best-connected", "fewer")
-    pairs = members.join(best, "bucket").filter((F.col("k1") != F.col("b")) & fits(F.col("n"), F.col("nb")))
-    return pairs.select(F.col("k1").alias("a"), "b").distinct()
+    degree = materialise(members.join(sizes, "bucket").groupBy("cid").agg(F.sum("m").alias("degree")), "degrees", "fewer")
+    best = members.join(degree, "cid").groupBy("bucket").agg(F.max(F.struct("degree", "cid", "n")).alias("p"))
+    best = materialise(best.select("bucket", F.col("p.cid").alias("b"), F.col("p.n").alias("nb")), "best-connected", "fewer")
+    pairs = members.join(best, "bucket").filter((F.col("cid") != F.col("b")) & fits(F.col("n"), F.col("nb")))
+    return pairs.select(F.col("cid").alias("a"), "b").distinct()
 
 
 def _rare_partners(texts: DataFrame, width: int, percent: int, fits) -> DataFrame:
-    """(a, b): classes of different components (k1, text, n, comp) that share a shingle of both their prefixes."""
+    """(a, b): classes of different components (cid, text, n, comp) that share a shingle of both their prefixes."""
 
     def run(batches):
         for part in B.pieces(batches, "text", 512 << 10):
             sets, bounds = shingle_sets(part.column(1), width)
             take = pa.array(np.repeat(np.arange(part.num_rows), np.diff(bounds)))
-            yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), *(part.column(i).take(take) for i in (0, 2, 3))], names=["token", "k1", "n", "comp"])
+            yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), *(part.column(i).take(take) for i in (0, 2, 3))], names=["token", "cid", "n", "comp"])
 
-    tokens = materialise(texts.select("k1", "text", "n", "comp").mapInArrow(run, "token long, k1 long, n long, comp long"), "tokens")
+    tokens = materialise(texts.select("cid", "text", "n", "comp").mapInArrow(run, "token long, cid long, n long, comp long"), "tokens")
     often = materialise(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared-tokens", "fewer")
     # of each class its shared shingles, rarest first; those of its own come before them and fill the prefix first
-    own = tokens.join(often, "token").groupBy("k1", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    own = tokens.join(often, "token").groupBy("cid", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
-    prefix = own.filter(length > 0).select("k1", "n", "comp", F.size("shared").alias("m"), F.posexplode(F.slice("shared", F.lit(1), length.cast("int"))).alias("i", "t"))
-    prefix = prefix.select("k1", "n", "comp", "t.token", (F.col("n") - F.col("m") + F.col("i")).alias("before"))
-    prefix = materialise(prefix, "prefixes", "fewer")
+    prefix = own.filter(length > 0).select("cid", "n", "comp", F.size("shared").alias("m"), F.posexplode(F.slice("shared", F.lit(1), length.cast("int"))).alias("i", "t"))
+    prefix = prefix.select("cid", "n", "comp", "t.token", (F.col("n") - F.col("m") + F.col("i")).alias("before"))
+    prefix = materialise(prefix, "prefixes")
     # the largest component among a shingle's classes only meets the others
     sizes = prefix.groupBy("token", "comp").agg(F.count("*").alias("m"))
     most = sizes.groupBy("token").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all")).filter(F.col("all") > F.col("top.m"))
     most = materialise(most.select("token", F.col("top.comp").alias("main")), "split-tokens", "fewer")
-    prefix = materialise(prefix.join(most, "token"), "meeting", "fewer")
-    few = prefix.filter("comp <> main").select("token", F.col("k1").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("before").alias("bb"))
+    prefix = materialise(prefix.join(most, "token"), "meeting")
+    few = prefix.filter("comp <> main").select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("before").alias("bb"))
     # of the first shingle that both have, none of those before it is shared, and the rest must be enough
     need = F.floor((percent * (F.col("n") + F.col("nb")) + 99 + percent) / (100 + percent))
     enough = (F.col("n") - F.col("before") >= need) & (F.col("nb") - F.col("bb") >= need)
-    once = (F.col("comp") == F.col("main")) | (F.col("k1") < F.col("b"))
+    once = (F.col("comp") == F.col("main")) | (F.col("cid") < F.col("b"))
     pairs = prefix.join(few, "token").filter((F.col("comp") != F.col("cb")) & once & enough & fits(F.col("n"), F.col("nb")))
-    return pairs.select(F.col("k1").alias("a"), "b").distinct()
+    return pairs.select(F.col("cid").alias("a"), "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
-    """Per row: doc_id, th (hash of the text), n_shingles, component_id, kept (it has the component's id)."""
+    """Per row: doc_id, th (hash of the text), n_shingles, component_id, component, kept (it has the component's id).
+
+    `component` numbers the components, also those whose ids are all null; it is null for the empty set.
+    """
     bands, rows = plan(percent, miss)
     table = materialise(_fingerprints(docs, width, bands, rows), "fingerprints")
+    first = F.min_by(F.struct("doc_id", "th", "n", "bands", "sig"), F.struct("doc_id", "th")).alias("r")
+    # numbers are unique, and fixed once written
+    classes = table.filter("n > 0").groupBy("k1", "k2").agg(first, F.min("doc_id").alias("first"))
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "first", "r.*"), "classes", "fewer")
     # buckets in which at least two classes meet
-    each = table.filter("n > 0").select("k1", "n", F.explode("bands").alias("bucket"))
-    shared = each.groupBy("bucket").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo < hi").select("bucket")
-    members = materialise(each.join(materialise(shared, "shared-buckets", "fewer"), "bucket", "left_semi").distinct(), "buckets", "fewer")
+    each = classes.select("cid", "n", F.explode("bands").alias("bucket"))
+    shared = each.groupBy("bucket").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo < hi").select("bucket")
+    shared = materialise(shared, "shared-buckets", "fewer")
+    members = materialise(each.join(shared, "bucket", "left_semi").distinct(), "buckets")
+    drop(shared)
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  (sizes allow the threshold)
     labels = None
-    if members.limit(1).count():
-        search = _Search(docs, table, width, percent, miss)
-        search.load(members)
+    if not members.isEmpty():
+        search = _Search(docs, classes, members, width, percent, miss)
         links = search.compare(_star(members, fits))
         labels = components(links)
         # classes that share a bucket and are in different components may still be linked
-        now = members.join(labels.withColumnRenamed("node", "k1"), "k1", "left").select("bucket", "k1", "n", F.coalesce("comp", "k1").alias("comp"))
-        now = materialise(now, "labelled-buckets", "fewer")
+        now = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
+        now = materialise(now, "labelled-buckets")
         split = materialise(now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket"), "split-buckets", "fewer")
-        rest = materialise(now.join(split, "bucket", "left_semi").select("k1", "n", "comp").distinct(), "unsettled", "fewer")
-        if rest.limit(1).count():
-            more = search.compare(_rare_partners(search.text_of(rest.select("k1")).join(rest, "k1"), width, percent, fits))
-            if more.limit(1).count():
-                labels = components(materialise(links.union(more), "links", "fewer"))
-    return _result(table, labels)
+        rest = materialise(now.join(split, "bucket", "left_semi").select("cid", "n", "comp").distinct(), "unsettled")
+        drop(members, now, split)
+        if not rest.isEmpty():
+            more = search.compare(_rare_partners(search.text_of(rest.select("cid")).join(rest, "cid"), width, percent, fits))
+            if not more.isEmpty():
+                labels = components(materialise(links.union(more), "links"))
+    return _result(table, classes, labels)
 
 
-def _result(table: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _result(table: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
     rows = table.select("doc_id", "th", F.col("n").alias("n_shingles"), "k1", "k2")
-    classes = rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
+    classes = classes.select("cid", "k1", "k2", "first")
     if labels is not None:
-        classes = classes.join(labels.withColumnRenamed("node", "k1"), "k1", "left")
-        firsts = classes.filter("comp is not null").groupBy("comp").agg(F.min("first").alias("low"))
-        classes = classes.join(firsts, "comp", "left").select("k1", "k2", F.coalesce("low", "first").alias("component_id"))
+        classes = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+        firsts = materialise(classes.filter("comp is not null").groupBy("comp").agg(F.min("first").alias("low")), "component-firsts", "fewer")
+        classes = classes.join(firsts, "comp", "left").select("k1", "k2", F.coalesce("low", "first").alias("component_id"), F.coalesce("comp", "cid").alias("component"))
     else:
-        classes = classes.withColumnRenamed("first", "component_id")
+        classes = classes.select("k1", "k2", F.col("first").alias("component_id"), F.col("cid").alias("component"))
+    classes = materialise(classes, "class-components")
     out = rows.join(classes, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "th", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "th", "n_shingles", "component_id", "component", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

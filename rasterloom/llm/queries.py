@@ -16,8 +16,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _fold(n: int):
-    """crc32 of doc_id as text, modulo n."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+    """crc32 of doc_id as text, modulo n; a null doc_id has the remainder -1, so it is in no fold and never held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n)), F.lit(-1))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=85).drop("th")
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=85).drop("th", "component")
 
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
