@@ -24,10 +24,19 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at a similarity of 0.8 or more (five-word shingles), keep the document with the smallest id."""
-    kept = neardup.near_duplicates(docs, width=5, percent=80).filter("kept").select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_th"))
-    return docs.select(*COLUMNS).join(kept.hint("shuffle_hash"), same, "left_semi")
+    """Of each group linked at a similarity of 0.8 or more (five-word shingles), keep the document with the smallest id.
+
+    One row stays, also where rows repeat (equal id and text) or all ids of a
+    group are null; documents without words are in no group and all stay.
+    """
+    found = neardup.near_duplicates(docs, width=5, percent=80)
+    best = found.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("k_null"), F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"))).alias("k"))
+    keep = best.select("k.*").union(found.filter("component is null").select(F.col("doc_id").isNull(), "doc_id", "th").distinct())
+    keep = keep.select("k_null", F.coalesce("k_id", F.lit(0)).alias("k_id"), "k_th")
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("k_th"), F.col("doc_id").isNull().alias("k_null"), F.coalesce("doc_id", F.lit(0)).alias("k_id"))
+    rows = rows.withColumn("k_row", F.when(F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False)), 0).otherwise(F.monotonically_increasing_id()))
+    key = ["k_th", "k_null", "k_id"]
+    return rows.join(keep.hint("shuffle_hash"), key, "left_semi").dropDuplicates([*key, "k_row"]).select(*COLUMNS)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
