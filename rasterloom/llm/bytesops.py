@@ -155,12 +155,3 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.cumsum(values)
     total = np.concatenate([np.zeros(1, total.dtype), total])
     return total[bounds[1:]] - total[bounds[:-1]]
-
-
-def char_counts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Code points per document."""
-    return sums((buf & 0xC0) != 0x80, off)
-
-
-def frame(schema: str | pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(columns, schema=schema)

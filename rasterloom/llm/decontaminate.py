@@ -8,9 +8,12 @@ from each of many lanes at once: a shift table says how far a lane may jump,
 a block that ends some pattern's prefix opens its suffix-hash bucket, and a
 direct comparison of bytes confirms the occurrence.
 
-The pattern set is loaded in blocks of bounded size (`block_bytes`); every
-document meets every block, so any number of items is searched in bounded
-memory.
+Patterns and their items are made and grouped by Spark and written once.  A
+set of up to `block_bytes` is broadcast; a larger one is dealt into blocks of
+about that size by hash, and every document meets every block: a worker reads
+a group of texts (`group_bytes`), then searches it with one block after the
+other, so any number of items is searched in bounded memory, and a block is
+loaded once for a group (one that is still loaded is not loaded again).
 
 Edge cases: null or word-free texts have no words and no hits; null or
 word-free items have no windows; repeated items count once per item_id;
@@ -22,18 +25,18 @@ Columns other than the named ones are ignored, so their names cannot clash.
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .storage import new_path
+from .storage import materialise, open_path
 
 WINDOW = 10
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -113,88 +116,98 @@ class Block:
         self.automata = [WuManber(ps) for ps in classes.values()]
 
 
-def _open(path: str):
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("/") else (fs.LocalFileSystem(), path)
+def _patterns(benchmark: DataFrame, window: int, item: str, text: str) -> DataFrame:
+    """pattern, items: every window once, with the ids of the items that have it."""
+    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).cast("string").alias("text"))
+
+    def run(batches):
+        for part in B.pieces(batches, "text"):
+            found = [sorted(patterns_of(t, window)) for t in B.byte_rows(part.column(1))]
+            take = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([p for f in found for p in f], pa.binary()), part.column(0).take(take)], names=["pattern", "item"])
+
+    return rows.mapInArrow(run, "pattern binary, item string").groupBy("pattern").agg(F.collect_set("item").alias("items"))
+
+
+def _block(table: pa.Table) -> Block:
+    return Block(dict(zip(table.column("pattern").to_pylist(), table.column("items").to_pylist(), strict=True)))
 
 
 def pattern_blocks(spark, benchmark: DataFrame, window: int, block_bytes: int, item: str, text: str) -> list:
-    """The items' patterns as one broadcast, or as files in the shared folder if they exceed a block.
+    """The items' patterns as one broadcast, or as folders of the written table if they exceed a block."""
+    found = materialise(_patterns(benchmark, window, item, text), "patterns", "few")
+    size = found.agg(F.sum(F.length("pattern") + F.lit(120) + F.size("items") * 40)).first()[0]
+    if not size:
+        return []
+    if size <= block_bytes:
+        return [spark.sparkContext.broadcast(_block(found.toArrow()))]
+    n = -(-size // block_bytes)
+    path = f"{found._rl_path}-blocks"
+    number = F.pmod(F.xxhash64("pattern"), F.lit(n)).alias("block")
+    found.select("pattern", "items", number).repartition(min(n, 2000), "block").write.partitionBy("block").parquet(path)
+    return [f"{path}/block={i}" for i in range(n)]
 
-    Items stream through the driver one partition at a time; it holds one block.
-    """
-    path, blocks, size, owners = new_path(spark, "patterns"), [], 0, {}
-
-    def put(as_file: bool):
-        if as_file:
-            where, name = _open(f"{path}-{len(blocks)}")
-            where.create_dir(name.rpartition("/")[0], recursive=True)
-            with where.open_output_stream(name) as out:
-                out.write(pickle.dumps(Block(owners)))
-            blocks.append(f"{path}-{len(blocks)}")
-        else:
-            blocks.append(spark.sparkContext.broadcast(Block(owners)))
-
-    rows = benchmark.select(F.col(item).cast("string"), F.col(text).cast("string"))
-    for key, body in rows.toLocalIterator():
-        for p in patterns_of((body or "").encode(), window):
-            own = owners.setdefault(p, [])
-            if (key or "") not in own:
-                own.append(key or "")
-                size += len(p) + 120
-        if size >= block_bytes:
-            put(True)
-            size, owners = 0, {}
-    if owners:
-        put(bool(blocks))
-    return blocks
+
+_LOADED: dict[str, Block | None] = {}  # the block that a worker has loaded last
+
+
+def _load(path: str) -> Block | None:
+    if path not in _LOADED:
+        where, name = open_path(path)
+        files = [f.path for f in where.get_file_info(fs.FileSelector(name, allow_not_found=True)) if f.path.endswith(".parquet")]
+        _LOADED.clear()
+        _LOADED[path] = _block(pa.concat_tables([pq.ParquetFile(where.open_input_file(f)).read() for f in files])) if files else None
+    return _LOADED[path]
 
 
 def _blocks(blocks: list) -> Iterator[Block]:
-    for b in blocks:
-        if isinstance(b, str):
-            where, name = _open(b)
-            with where.open_input_stream(name) as f:
-                yield pickle.loads(f.read())
-        else:
-            yield b.value
-
-
-def _hits(texts: list[bytes], blocks: list) -> Iterator[tuple[int, np.ndarray, set[str]]]:
-    """Per text: number of words, which of them are hit, items with occurrences."""
-    norm, base, counts = [], [0], []
-    for t in texts:
-        words = words_of(t)
-        counts.append(len(words))
-        norm.append(b" " + b" ".join(words) + b" \n")
-        base.append(base[-1] + len(norm[-1]))
-    raw, starts = b"".join(norm), np.array(base)
-    found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    items: dict[int, set[str]] = defaultdict(set)
+    # one that is loaded comes first
+    for b in sorted(blocks, key=lambda b: not (isinstance(b, str) and b in _LOADED)):
+        block = _load(b) if isinstance(b, str) else b.value
+        if block is not None:
+            yield block
+
+
+def _hits(groups: list[list[bytes]], blocks: list) -> Iterator[list[tuple[int, np.ndarray, set[str]]]]:
+    """For each group, per text: number of words, which of them are hit, items with occurrences.
+
+    Every block searches all groups before the next one is loaded.
+    """
+    ready = []
+    for texts in groups:
+        norm, base, counts = [], [0], []
+        for t in texts:
+            words = words_of(t)
+            counts.append(len(words))
+            norm.append(b" " + b" ".join(words) + b" \n")
+            base.append(base[-1] + len(norm[-1]))
+        ready.append((b"".join(norm), np.array(base), counts, defaultdict(list), defaultdict(set)))
     for block in _blocks(blocks):
-        for automaton in block.automata:
-            hits = list(automaton.search(raw))
-            docs = np.searchsorted(starts, [h[0] for h in hits], side="right") - 1
-            for (at, p), d in zip(hits, docs.tolist(), strict=True):
-                found[d].append((at - base[d], len(p)))
-                items[d].update(block.owners[p])
-    for d, n in enumerate(counts):
-        hit = np.zeros(n, dtype=bool)
-        if d in found:
-            gaps = np.flatnonzero(np.frombuffer(norm[d], dtype=np.uint8) == 32)
-            at = np.array(found[d])
-            lo, hi = np.searchsorted(gaps, at[:, 0]), np.searchsorted(gaps, at[:, 0] + at[:, 1] - 1)
-            step = np.zeros(n + 1, dtype=np.int64)
-            np.add.at(step, lo, 1)
-            np.add.at(step, hi, -1)
-            hit = np.cumsum(step)[:n] > 0
-        yield n, hit, items.get(d, set())
-
-
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+        for raw, base, _, found, items in ready:
+            for automaton in block.automata:
+                hits = list(automaton.search(raw))
+                docs = np.searchsorted(base, [h[0] for h in hits], side="right") - 1
+                for (at, p), d in zip(hits, docs.tolist(), strict=True):
+                    found[d].append((at - base[d], len(p)))
+                    items[d].update(block.owners[p])
+    for raw, base, counts, found, items in ready:
+        out = []
+        for d, n in enumerate(counts):
+            hit = np.zeros(n, dtype=bool)
+            if d in found:
+                gaps = np.flatnonzero(np.frombuffer(raw[base[d] : base[d + 1]], dtype=np.uint8) == 32)
+                at = np.array(found[d])
+                lo, hi = np.searchsorted(gaps, at[:, 0]), np.searchsorted(gaps, at[:, 0] + at[:, 1] - 1)
+                step = np.zeros(n + 1, dtype=np.int64)
+                np.add.at(step, lo, 1)
+                np.add.at(step, hi, -1)
+                hit = np.cumsum(step)[:n] > 0
+            out.append((n, hit, items.get(d, set())))
+        yield out
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 64 << 20, keep: tuple[str, ...] = ("doc_id",)
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 64 << 20, group_bytes: int = 24 << 20, keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
     """Per document row: the columns `keep`, words, hit words, items found, `contaminated`.
 
@@ -206,10 +219,11 @@ def decontaminate(
     extra = "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean"
     schema = ", ".join([*(f"`{n}` {t}" for n, t in kept.drop("_rl_text").dtypes), extra])
 
-    def run(batches):
-        for part in B.pieces(batches, "_rl_text"):
+    def judged(parts):
+        found = _hits([B.byte_rows(p.column(p.num_columns - 1)) for p in parts], blocks)
+        for part, rows in zip(parts, found, strict=True):
             out = defaultdict(list)
-            for n, hit, items in _hits(B.byte_rows(part.column(part.num_columns - 1)), blocks):
+            for n, hit, items in rows:
                 names = sorted(items)
                 out["n_words"].append(n)
                 out["n_hit"].append(int(hit.sum()))
@@ -222,4 +236,14 @@ def decontaminate(
                 names=[*part.schema.names[:-1], *out],
             )
 
+    def run(batches):
+        held, size = [], 0
+        for part in B.pieces(batches, "_rl_text"):
+            held.append(part)
+            size += B.text_buffer(part.column(part.num_columns - 1))[0].nbytes
+            if len(blocks) < 2 or size >= group_bytes:  # one block needs no waiting
+                yield from judged(held)
+                held, size = [], 0
+        yield from judged(held)
+
     return kept.mapInArrow(run, schema)

@@ -8,8 +8,10 @@ false-positive rate, decide.
 
 An n-gram enters a language's filter if it makes up at least `least_rate` of
 that language's n-grams in the sample, so a language holds at most
-1 / least_rate of them and the filter's size is bounded.  Learning reads about
-`sample_rows` documents of each language (picked by hash of doc_id).
+1 / least_rate of them; filters of all languages together take at most
+`filter_bytes` (smaller ones give more false positives, which the correction
+takes off).  Learning reads about `sample_rows` documents of each language
+(picked by hash of doc_id; rows with a null doc_id are not learned from).
 
 Edge cases: `und` with score 0 for null texts and texts without a letter; with
 nothing learned every text is `und`; null lang is not learned from; ties go to
@@ -47,10 +49,11 @@ class LanguageFilters:
     false_rate: np.ndarray
 
     @classmethod
-    def build(cls, grams: dict[str, np.ndarray]) -> LanguageFilters:
+    def build(cls, grams: dict[str, np.ndarray], filter_bytes: int = 256 << 20) -> LanguageFilters:
         languages = sorted(grams)
         most = max([len(g) for g in grams.values()] + [1])
-        bits = min(24, max(12, int(most * 12).bit_length()))
+        fits = int(filter_bytes // (8 * max(1, -(-len(languages) // 64)))).bit_length() - 1
+        bits = max(12, min(24, int(most * 12).bit_length(), fits))
         slices, rates = [], []
         for lo in range(0, len(languages), 64):
             part = languages[lo : lo + 64]
@@ -98,16 +101,13 @@ def ngrams(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return grams[inside], kept[np.minimum(np.concatenate([[0], end]), len(grams))]
 
 
-def fit(docs: DataFrame, sample_rows: int = 1500, least_rate: float = 2e-5) -> LanguageFilters:
+def fit(docs: DataFrame, sample_rows: int = 1500, least_rate: float = 2e-5, filter_bytes: int = 256 << 20) -> LanguageFilters:
     """Learn from the rows of `docs` (doc_id, text, lang) that have a lang."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     sizes = rows.groupBy("lang").count()
     share = F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.col("count")).alias("share")
     hashed = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 20)) / float(1 << 20)
-    # one row per language; languages of a corpus are few, and more than 10,000 are refused
-    few = sizes.select("lang", share).limit(10_001).collect()
-    if len(few) > 10_000:
-        raise ValueError("more than 10,000 languages")
+    few = sizes.select("lang", share).collect()  # one row per language
     if not few:
         return LanguageFilters([], [], 12, np.zeros(0))
     limits = docs.sparkSession.createDataFrame([tuple(r) for r in few], "lang string, share double")
@@ -126,10 +126,11 @@ def fit(docs: DataFrame, sample_rows: int = 1500, least_rate: float = 2e-5) -> L
     counts = materialise(picked.mapInArrow(run, "l int, gram long, n long").groupBy("l", "gram").agg(F.sum("n").alias("n")), "language-ngrams", "fewer")
     totals = counts.groupBy("l").agg(F.sum("n").alias("total"))
     common = counts.join(F.broadcast(totals), "l").filter(F.col("n") >= F.greatest(F.lit(2), F.col("total") * least_rate))
-    grams = {x: [] for x in names}
-    for row in common.select("l", "gram").toLocalIterator():  # at most 1 / least_rate a language
-        grams[names[row.l]].append(row.gram)
-    return LanguageFilters.build({x: np.array(g, dtype=np.uint32) for x, g in grams.items()})
+    found = common.select("l", "gram").toArrow()  # at most 1 / least_rate a language
+    owner, gram = (np.asarray(found.column(c).combine_chunks()) for c in ("l", "gram"))
+    order = np.argsort(owner, kind="stable")
+    parts = np.split(gram[order].astype(np.uint32), np.searchsorted(owner[order], np.arange(1, len(names))))
+    return LanguageFilters.build(dict(zip(names, parts, strict=True)), filter_bytes)
 
 
 def predict(docs: DataFrame, filters: LanguageFilters, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -1,6 +1,6 @@
 """Quality rules: base counts, then hashed n-gram logistic regression.
 
-The model sees hashed word n-grams (one and two words) and byte 3-grams as
+The model sees hashed word n-grams (one and two words) and character 3-grams (code points) as
 relative frequencies, is fitted by Spark ML on at most `sample_rows` labelled
 rows (those with the smallest hash of doc_id), and its margin is turned into a
 probability by logistic calibration on a quarter of them kept out of the fit.
@@ -8,7 +8,8 @@ Documents are scored in Arrow batches against the fixed threshold `accept`.
 
 Edge cases: null text has no words; rows without a label, with a label whose
 document is missing, or with repeated doc_ids are ignored or used once in
-training; with labels of one class only, or none, the probability is that
+training (of conflicting labels the larger counts; of several texts of one
+doc_id the one with the smallest hash); with labels of one class only, or none, the probability is that
 class's (or 1); repeated rows are judged again; empty tables give no rows.
 Other columns are ignored.
 """
@@ -44,19 +45,33 @@ class QualityModel:
     shift: float
 
 
+def _characters(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of each code point as one number, and each document's range."""
+    at = np.flatnonzero((buf & 0xC0) != 0x80)
+    if len(at) == len(buf):
+        return buf.astype(np.uint32), off
+    size, padded = np.diff(np.append(at, len(buf))), np.concatenate([buf, np.zeros(3, np.uint8)])
+    out = padded[at].astype(np.uint32)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        out[more] |= padded[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    return out, np.searchsorted(at, off)
+
+
 def _families(buf: np.ndarray, off: np.ndarray, words: np.ndarray, bounds: np.ndarray):
-    """(slots, bounds) of word unigrams, word bigrams and byte 3-grams."""
+    """(slots, bounds) of word unigrams, word bigrams and character 3-grams."""
     down = _U(64 - BITS)
     yield (words >> down).astype(np.int64), bounds
     pairs, pb = B.shingle_hashes(words, bounds, 2)
     yield (pairs >> down).astype(np.int64) + SLOTS, pb
-    n = len(buf)
-    tri = buf[: n - 2].astype(np.uint32) | buf[1 : n - 1].astype(np.uint32) << 8 | buf[2:].astype(np.uint32) << 16 if n > 2 else np.zeros(0, np.uint32)
+    char, off = _characters(buf, off)
+    n = len(char)
+    tri = char[: n - 2] * np.uint32(0x9E3779B1) + char[1 : n - 1] * np.uint32(0x85EBCA77) + char[2:] * np.uint32(0xC2B2AE3D) if n > 2 else np.zeros(0, np.uint32)
     inside = np.ones(len(tri), dtype=bool)
     for back in (1, 2):  # starts whose 3-gram would cross into the next document
         edge = off[1:-1] - back
         inside[edge[(edge >= 0) & (edge < len(tri))]] = False
-    slots = ((tri[inside] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64) + 2 * SLOTS
+    slots = ((tri[inside] * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS)).astype(np.int64) + 2 * SLOTS
     kept = np.concatenate([[0], np.cumsum(inside)])
     yield slots, kept[np.minimum(off, len(tri))]
 
@@ -118,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, label: str
     some = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)).cast("int")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("label", "text"), F.struct(F.xxhash64("text"), F.length("text"))).alias("r")).select("doc_id", "r.*")
     data = materialise(_features(rows.select("label", fold.alias("fold"), "text")), "quality-sample", "few", _SAMPLE)
     seen = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count("*").alias("n")).collect()}
     zero = np.zeros(3 * SLOTS)

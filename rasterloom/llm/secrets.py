@@ -2,13 +2,14 @@
 
 Base kinds are patterns: assign, access, hex.  The method adds kinds that are
 reported only if their structure holds: `key` (base64 or hex text, also as a
-PEM body, that decodes to a key encoding whose nested DER lengths add up, or
-to an OpenSSH key) and `jwt` (three base64url parts whose header is a JSON
+PEM body, that decodes to a private key: RSA, DSA, SEC1, PKCS#8 or encrypted
+PKCS#8 whose nested DER lengths add up, or an OpenSSH key whose length-prefixed
+fields do; or a PEM body encrypted as its headers say) and `jwt` (three base64url parts whose header is a JSON
 object with an algorithm and whose payload is a JSON object).
 
 Whole batches are first screened by vectorised byte tests that cannot miss a
 match (a run of enough characters of a class, a keyword); only documents that
-pass are searched by pattern.
+pass are searched by pattern.  Public keys are no secrets and not reported.
 
 Edge cases: a null text is empty; offsets are code points, end exclusive;
 matches of one kind do not overlap, of different kinds may; repeated rows are
@@ -36,7 +37,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run of 24 or more
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _BIGHEX = re.compile(r"[0-9a-fA-F]{48,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)KEY-----([A-Za-z0-9+/=\s]++)-----END \1KEY-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)KEY-----((?:\s*+[A-Za-z][A-Za-z0-9-]*+:[^\n]*+\n)*+)([A-Za-z0-9+/=\s]++)-----END \1KEY-----")
+_DEK = re.compile(r"^DEK-Info: *([A-Z0-9-]+),([0-9A-F]+)\s*$", re.M)
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.([A-Za-z0-9_-]++)\.[A-Za-z0-9_-]*+")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 
@@ -62,8 +64,8 @@ def _long_runs(mask: np.ndarray, off: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def _der(raw: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int, int]] | None:
-    """(tag, body length) of the elements in raw[at:end] if all nested lengths add up, else None."""
+def _der(raw: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int, int, int]] | None:
+    """(tag, first and past-last byte of the body) of the elements in raw[at:end] if all nested lengths add up, else None."""
     found = []
     while at < end:
         if end - at < 2:
@@ -82,28 +84,70 @@ def _der(raw: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int, int]]
             return None
         if tag & 0x20 and _der(raw, at, at + size, depth + 1) is None:
             return None
-        found.append((tag, size))
+        found.append((tag, at, at + size))
         at += size
     return found
 
 
+_OPENSSH = b"openssh-key-v1\x00"
+
+
+def _is_openssh(raw: bytes) -> bool:
+    """Cipher, derivation and its options, number of keys, public keys and the private part, to the last byte."""
+    at = len(_OPENSSH)
+
+    def field() -> bytes | None:
+        nonlocal at
+        size = int.from_bytes(raw[at : at + 4], "big")
+        if len(raw) - at < 4 + size:
+            return None
+        at += 4 + size
+        return raw[at - size : at]
+
+    cipher, derivation, options = field(), field(), field()
+    if not cipher or not derivation or options is None or not (cipher + derivation).isascii() or (cipher == b"none") != (derivation == b"none"):
+        return False
+    keys, at = int.from_bytes(raw[at : at + 4], "big"), at + 4
+    if not 1 <= keys <= 16:
+        return False
+    for _ in range(keys):
+        public = field()
+        if public is None or not public[4 : 4 + int.from_bytes(public[:4], "big")].startswith((b"ssh-", b"ecdsa-", b"sk-")):
+            return False
+    private = field()
+    if not private or len(private) < 8 or at != len(raw):
+        return False
+    return cipher != b"none" or private[:4] == private[4:8]  # unencrypted: both check numbers agree
+
+
 def is_key(raw: bytes) -> bool:
-    """True for PKCS#1, PKCS#8, SEC1 or public-key DER whose lengths add up, or an OpenSSH key."""
-    if raw.startswith(b"openssh-key-v1\x00"):
-        return True
+    """True for a private key: PKCS#1, DSA, SEC1 or PKCS#8 (also encrypted) DER whose lengths add up, or an OpenSSH key."""
+    if raw.startswith(_OPENSSH):
+        return _is_openssh(raw)
     if len(raw) < 24 or raw[0] != 0x30:
         return False
     outer = _der(raw, 0, len(raw))
     if outer is None or len(outer) != 1:
         return False
-    head = len(raw) - outer[0][1]
-    tags = [t for t, _ in _der(raw, head, len(raw)) or ()]
-    return (
-        len(tags) in (2, 9) and set(tags) == {0x02}  # RSA public, RSA private
-        or tags[:3] == [0x02, 0x30, 0x04]  # PKCS#8
-        or tags[:2] == [0x02, 0x04]  # SEC1
-        or tags == [0x30, 0x03]  # SubjectPublicKeyInfo
-    )
+    parts = _der(raw, *outer[0][1:]) or []
+    tags = [t for t, *_ in parts]
+    first = raw[parts[0][1] : parts[0][2]] if parts else b""
+    if tags == [0x30, 0x04]:  # encrypted PKCS#8: an algorithm (object identifier and parameters), then octets
+        return [t for t, *_ in _der(raw, *parts[0][1:]) or []] in ([0x06], [0x06, 0x30], [0x06, 0x05])
+    if set(tags) == {0x02}:
+        return len(tags) == 9 and first in (b"\x00", b"\x01") or len(tags) == 6 and first == b"\x00"  # RSA, DSA
+    if tags[:3] == [0x02, 0x30, 0x04]:  # PKCS#8
+        return first in (b"\x00", b"\x01")
+    return tags[:2] == [0x02, 0x04] and first == b"\x01"  # SEC1
+
+
+def _is_pem(headers: str, body: str) -> bool:
+    raw = _b64("".join(body.split())) or b""
+    dek = _DEK.search(headers)
+    if dek and "ENCRYPTED" in headers:  # whole cipher blocks, and an initial vector of one block
+        block = 8 if dek[1].startswith("DES") else 16
+        return len(dek[2]) == 2 * block and len(raw) >= 24 and len(raw) % block == 0
+    return is_key(raw)
 
 
 def _b64(text: str) -> bytes | None:
@@ -129,7 +173,7 @@ def find(text: str) -> list[tuple[int, int, int]]:
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     keys = []
     for m in _PEM.finditer(text):
-        if is_key(_b64("".join(m[2].split())) or b""):
+        if _is_pem(m[2], m[3]):
             keys.append((m.start(), 3, m.end()))
     for m in _B64.finditer(text):
         if not any(a < m.end() and m.start() < b for a, _, b in keys) and is_key(_b64(m[0]) or b""):

@@ -3,23 +3,26 @@
 Tokens are runs of ASCII letters and non-ASCII characters, A-Z lower-cased;
 longer ones also stand for their stems, the first 4, 6 and 8 bytes.  Log-odds
 of words and stems between toxic and clean labelled texts (each counted once a
-text, so that what one text repeats isn't telling), under an
-informative Dirichlet prior (the pooled frequencies, with `prior` times as
-many pseudo-tokens as tokens), count with their lower confidence bound; a token has the best score of its
-word and stems, and costs `drift` if none is positive.  A linear-time
-scan (Ruzzo and Tompa) finds all maximal scoring segments; extreme-value
-statistics (Karlin and Altschul: lambda from the clean score distribution, K
-from clean texts) say how unlikely a segment's score is in a clean text of
-that length.  A text's evidence, its best segment's and the sum over all
-significant ones, becomes a probability by logistic calibration: each labelled
-row is scored by counts of the other folds only.
+text, so that what one text repeats isn't telling), under an informative
+Dirichlet prior (the pooled frequencies, with `prior` times as many
+pseudo-tokens as tokens), are drawn towards 0 by `confidence` standard errors
+and bounded below by -`floor`; both signs count.  A token has the best score
+of its word and stems; one that was not seen, or too seldom to tell its sign,
+costs `DRIFT`.  A linear-time scan (Ruzzo and Tompa) over all tokens finds all
+maximal scoring segments; extreme-value statistics (Karlin and Altschul:
+lambda from the clean score distribution, K from clean texts) say how unlikely
+a segment's score is in a clean text of that length.  A text's evidence, its
+best segment's and the sum over all significant ones, becomes a probability by
+logistic calibration: each labelled row is scored by counts of the other folds
+only.  `tune` compares settings in the same way, on rows to learn from alone.
 
 Learning uses at most `sample_rows` labelled rows (the smallest hashes of
 doc_id).  Edge cases: a null text is empty and gets the probability of a text
 without evidence; without labels of both classes no token scores and every
 probability is the share of toxic labels (0 without labels); conflicting or
-repeated labels of an id count as toxic, once; repeated rows are scored
-again; empty tables give no rows.  Other columns are ignored.
+repeated labels of an id count as toxic, once; rows with a null doc_id are
+scored but not learned from; repeated rows are scored again; empty tables give
+no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Matrices
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +45,7 @@ _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np
 _U = np.uint64
 _ROLLER = B.Roller(23)
 DRIFT = 0.1
+PRIOR, CONFIDENCE, FLOOR = 0.5, 2.0, 0.3  # the best of eleven settings by log loss on folds of the rows to learn from (`tune`)
 LEAST_COUNT = 4
 FOLDS = 3
 STEMS = (4, 6, 8)
@@ -50,7 +54,7 @@ BINS_PER_UNIT = 10
 
 @dataclass
 class ToxicityModel:
-    tokens: np.ndarray  # sorted hashes of the tokens with a positive score
+    tokens: np.ndarray  # sorted hashes of the tokens with a score
     scores: np.ndarray
     drift: float
     lam: float
@@ -59,37 +63,34 @@ class ToxicityModel:
     intercept: float
 
     def __post_init__(self):
-        self.screen = np.zeros(1 << 16, dtype=bool)
-        self.screen[(self.tokens >> _U(48)).astype(np.int64)] = True
+        self.screen = np.zeros(1 << 20, dtype=bool)
+        self.screen[(self.tokens >> _U(44)).astype(np.int64)] = True
 
-    def hits(self, forms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and scores of the scoring tokens, given each token's word and stems."""
-        score = np.zeros(len(forms[0]))
+    def score(self, forms: list[np.ndarray]) -> np.ndarray:
+        """Each token's score, given its word and stems."""
+        score = np.full(len(forms[0]), -np.inf)
         for tokens in forms:
-            at = np.flatnonzero(self.screen[(tokens >> _U(48)).astype(np.int64)])
+            at = np.flatnonzero(self.screen[(tokens >> _U(44)).astype(np.int64)])
             if len(at):
                 where = np.minimum(np.searchsorted(self.tokens, tokens[at]), len(self.tokens) - 1)
                 same = self.tokens[where] == tokens[at]
                 score[at[same]] = np.maximum(score[at[same]], self.scores[where[same]])
-        at = np.flatnonzero(score)
-        return at, score[at]
+        return np.where(np.isinf(score), -self.drift, score)
 
     def evidence(self, score: float, n_tokens: int) -> float:
         """-ln of the expected number of such segments in a clean text: above 0, unlikely."""
         return self.lam * score - np.log(max(self.k * max(n_tokens, 1), 1e-12))
 
 
-def segments(at: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
+def maximal(at: list[int], before: list[float], after: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, past-last token, score), in linear time.
 
-    `at` are the positions of the scoring tokens; all others cost `drift`.
+    `at` are the positions of the tokens with a positive score, `before` and
+    `after` the sums of all scores up to each of them, without and with it.
     """
     found: list[list] = []  # [first, past last, sum before, sum after, index of the nearest earlier one with a smaller sum before]
-    total, last = 0.0, 0
-    for p, s in zip(at, scores, strict=True):
-        before = total - drift * (p - last)
-        total, last = before + s, p + 1
-        new = [p, p + 1, before, total, -1]
+    for p, b, a in zip(at, before, after, strict=True):
+        new = [p, p + 1, b, a, -1]
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= new[2]:
@@ -103,6 +104,13 @@ def segments(at: list[int], scores: list[float], drift: float) -> list[tuple[int
     return [(a, b, r - l) for a, b, l, r, _ in found]
 
 
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments of a sequence of token scores of both signs."""
+    total = np.cumsum(scores)
+    at = np.flatnonzero(scores > 0)
+    return maximal(at.tolist(), (total[at] - scores[at]).tolist(), total[at].tolist())
+
+
 def _tokens(texts: pa.Array):
     buf, off = B.text_buffer(texts)
     buf = _LOWER[buf]
@@ -139,20 +147,22 @@ def _counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "token long, fold int, bad long, good long").groupBy("token", "fold").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def _scoring_tokens(counts: DataFrame, prior: float, confidence: float) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens with a positive score, by the counts given; at most n_bad / LEAST_COUNT, n_bad bounded by the sample."""
+def _scoring_tokens(counts: DataFrame, prior: float, confidence: float, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens whose sign is told, by the counts given; at most those seen LEAST_COUNT times, n_all / LEAST_COUNT of the bounded sample."""
     counts = counts.groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     n_bad, n_good = counts.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
     if not n_bad or not n_good:
         return np.zeros(0, np.uint64), np.zeros(0)
     pooled, pseudo = (F.col("bad") + F.col("good")) * prior, float(n_bad + n_good) * prior
     odds = lambda y, n: F.log((F.col(y) + F.col("a")) / (float(n) + pseudo - F.col(y) - F.col("a")))
-    error = F.sqrt(1 / (F.col("bad") + F.col("a")) + 1 / (F.col("good") + F.col("a")))
-    scored = counts.filter(F.col("bad") >= LEAST_COUNT).withColumn("a", pooled).withColumn("score", odds("bad", n_bad) - odds("good", n_good) - confidence * error)
-    picked = scored.filter("score > 0.5").select("token", "score").collect()
-    tokens = np.array([r.token for r in picked], dtype=np.int64).view(np.uint64)
+    error = confidence * F.sqrt(1 / (F.col("bad") + F.col("a")) + 1 / (F.col("good") + F.col("a")))
+    rated = counts.withColumn("a", pooled).withColumn("z", odds("bad", n_bad) - odds("good", n_good)).withColumn("e", error)
+    up, down = (F.col("bad") >= LEAST_COUNT) & (F.col("z") > F.col("e")), (F.col("good") >= LEAST_COUNT) & (F.col("z") < -F.col("e"))
+    score = F.when(up, F.col("z") - F.col("e")).when(down, F.greatest(F.col("z") + F.col("e"), F.lit(-floor)))
+    picked = rated.select("token", score.alias("score")).filter("score is not null").toArrow()
+    tokens = np.asarray(picked.column("token").combine_chunks()).view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], np.array([r.score for r in picked], dtype=float)[order]
+    return tokens[order], np.asarray(picked.column("score").combine_chunks())[order]
 
 
 def _by_fold(part: pa.RecordBatch, models: list[ToxicityModel]):
@@ -165,16 +175,14 @@ def _by_fold(part: pa.RecordBatch, models: list[ToxicityModel]):
 
 
 def _histogram(rows: DataFrame, models: list[ToxicityModel]) -> DataFrame:
-    """How often tokens of the rows (toxic, fold, text) have a score, by bin; bin 0: no score."""
+    """How often tokens of the rows (toxic, fold, text) have a score, by bin."""
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
         for piece in B.pieces(batches, "text"):
             for m, part in _by_fold(piece, shared.value):
                 *_, forms = _tokens(part.column(2))
-                at, score = m.hits(forms)
-                bins, n = np.unique(np.concatenate([[0], np.ceil(score * BINS_PER_UNIT)]).astype(np.int32), return_counts=True)
-                n[0] = len(forms[0]) - len(at)
+                bins, n = np.unique(np.ceil(m.score(forms) * BINS_PER_UNIT).astype(np.int32), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n)], names=["bin", "n"])
 
     return rows.mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
@@ -183,12 +191,13 @@ def _histogram(rows: DataFrame, models: list[ToxicityModel]) -> DataFrame:
 def _scan(part: pa.RecordBatch, model: ToxicityModel):
     """Per text: tokens, starts and ends in bytes, segments."""
     buf, off, starts, ends, bounds, forms = _tokens(part.column(part.num_columns - 1))
-    at, score = model.hits(forms)
+    score = model.score(forms)
+    total, at = np.cumsum(score), np.flatnonzero(score > 0)
     lo = np.searchsorted(at, bounds)
     for d in range(part.num_rows):
-        a, b = lo[d], lo[d + 1]
+        own = at[lo[d] : lo[d + 1]]
         n = int(bounds[d + 1] - bounds[d])
-        found = segments((at[a:b] - bounds[d]).tolist(), score[a:b].tolist(), model.drift) if b > a else []
+        found = maximal((own - bounds[d]).tolist(), (total[own] - score[own]).tolist(), total[own].tolist())
         yield n, found, buf, off[d], starts[bounds[d] : bounds[d + 1]], ends[bounds[d] : bounds[d + 1]]
 
 
@@ -199,26 +208,23 @@ def _evidence(model: ToxicityModel, n: int, found: list) -> tuple[float, float]:
     return float(best), float(min(sum(max(e, 0.0) for e in each), 120.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, prior: float = 0.1, confidence: float = 2.0, label: str = "toxic") -> ToxicityModel:
-    """Learn from `labels` (doc_id, toxic 0/1) and the texts of those documents."""
+def _sample(docs: DataFrame, labels: DataFrame, sample_rows: int, label: str) -> DataFrame:
+    """toxic, fold, text of the labelled rows to learn from, written."""
     some = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("toxic"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
     # a text that was copied counts once, so that copies of one text don't make its words telling
-    rows = materialise(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", fold, "text"), "toxicity-sample", "few")
-    shares = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n_rows = sum(shares.values())
-    share = shares.get(1, 0) / n_rows if n_rows else 0.0
-    model = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), DRIFT, 1.0, 1.0, (0.0, 0.0), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    if len(shares) < 2:
-        return model
-    counts = materialise(_counts(rows), "toxicity-counts", "fewer")
-    blank = lambda c: ToxicityModel(*_scoring_tokens(c, prior, confidence), DRIFT, 1.0, 1.0, (0.0, 0.0), 0.0)
+    return materialise(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", fold, "text"), "toxicity-sample", "few")
+
+
+def _calibrated(rows: DataFrame, counts: DataFrame, prior: float, confidence: float, floor: float) -> tuple[ToxicityModel, DataFrame, object]:
+    """(the model, evidence of the rows by the other folds' models, the calibration)."""
+    blank = lambda c: ToxicityModel(*_scoring_tokens(c, prior, confidence, floor), DRIFT, 1.0, 1.0, (0.0, 0.0), 0.0)
     model, others = blank(counts), [blank(counts.filter(F.col("fold") != k)) for k in range(FOLDS)]
     bins = {r.bin: r.n for r in _histogram(rows.filter("toxic = 0"), others).collect()}
-    rates = np.array([n for b, n in bins.items() if b], dtype=float) / max(sum(bins.values()), 1)
-    lam = _lambda(np.array([b for b in bins if b]) / BINS_PER_UNIT, rates, DRIFT)
+    rates = np.array(list(bins.values()), dtype=float) / max(sum(bins.values()), 1)
+    lam = _lambda(np.array(list(bins)) / BINS_PER_UNIT, rates)
     for m in (model, *others):
         m.lam = lam
     # K: so that clean texts have the expected number of segments at the score that one in ten of them reaches
@@ -228,17 +234,41 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, prior: fl
         m.k = k
     data = statistics(rows, others).select(F.col("toxic").cast("double").alias("label"), array_to_vector(F.array("evidence", "total")).alias("features"))
     data = materialise(data, "toxicity-calibration", "few")
-    fitted = LogisticRegression(maxIter=60, regParam=1e-4, lowerBoundsOnCoefficients=Matrices.dense(1, 2, [0.0, 0.0])).fit(data)
+    return model, data, LogisticRegression(maxIter=60, regParam=1e-4, lowerBoundsOnCoefficients=Matrices.dense(1, 2, [0.0, 0.0])).fit(data)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, prior: float = PRIOR, confidence: float = CONFIDENCE, floor: float = FLOOR, label: str = "toxic") -> ToxicityModel:
+    """Learn from `labels` (doc_id, toxic 0/1) and the texts of those documents."""
+    rows = _sample(docs, labels, sample_rows, label)
+    shares = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_rows = sum(shares.values())
+    share = shares.get(1, 0) / n_rows if n_rows else 0.0
+    if len(shares) < 2:
+        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), DRIFT, 1.0, 1.0, (0.0, 0.0), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
+    counts = materialise(_counts(rows), "toxicity-counts", "fewer")
+    model, _, fitted = _calibrated(rows, counts, prior, confidence, floor)
     model.coefficients, model.intercept = tuple(map(float, fitted.coefficients)), fitted.intercept
     return model
 
 
-def _lambda(scores: np.ndarray, rates: np.ndarray, drift: float) -> float:
+def tune(docs: DataFrame, labels: DataFrame, settings: list[tuple[float, float, float]], sample_rows: int = 16_000, label: str = "toxic") -> list[tuple]:
+    """For each (prior, confidence, floor): log loss, share of toxic rows found, of clean rows rejected, each row by the other folds' model."""
+    rows = _sample(docs, labels, sample_rows, label)
+    counts, out = materialise(_counts(rows), "toxicity-counts", "fewer"), []
+    for setting in settings:
+        _, data, fitted = _calibrated(rows, counts, *setting)
+        p = vector_to_array("probability")[1]
+        truth = F.col("label") == 1
+        loss = -F.avg(F.log(F.greatest(F.when(truth, p).otherwise(1 - p), F.lit(1e-9))))
+        out.append((setting, *fitted.transform(data).agg(loss, F.avg(F.when(truth, (p >= 0.5).cast("double"))), F.avg(F.when(~truth, (p >= 0.5).cast("double")))).first()))
+    return out
+
+
+def _lambda(scores: np.ndarray, rates: np.ndarray) -> float:
     """The positive root of sum p e^(lambda s) = 1 over a clean text's token scores."""
-    rest = max(1.0 - rates.sum(), 1e-9)
-    if not len(scores) or (rates * scores).sum() >= rest * drift:
+    if not len(scores) or (rates * scores).sum() >= 0:
         return 0.05
-    f = lambda x: (rates * np.exp(x * scores)).sum() + rest * np.exp(-x * drift) - 1
+    f = lambda x: (rates * np.exp(x * scores)).sum() - 1
     lo, hi = 1e-6, 1e-3
     while f(hi) < 0 and hi < 50:
         hi *= 2

@@ -27,11 +27,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard as zstd
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise, new_path
+from .storage import materialise, new_path, open_path
 
 SKIPPABLE = 0x184D2A5D
 DICT_MAGIC = b"\x37\xa4\x30\xec"
@@ -85,10 +84,6 @@ def _dictionary(raw: bytes) -> zstd.ZstdCompressionDict:
     return zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_FULLDICT if raw.startswith(DICT_MAGIC) else zstd.DICT_TYPE_RAWCONTENT)
 
 
-def _where(path: str):
-    return fs.FileSystem.from_uri(path)
-
-
 class ShardWriter:
     def __init__(self, base: str, sample_bytes: int, shard_bytes: int, level: int):
         self.base, self.sample_bytes, self.shard_bytes, self.level = base, sample_bytes, shard_bytes, level
@@ -109,7 +104,7 @@ class ShardWriter:
     def _open(self) -> None:
         words = build_dictionary(self.waiting)
         self.path = f"{self.base}/{uuid.uuid4().hex}.warc.zst"
-        where, name = _where(self.path)
+        where, name = open_path(self.path)
         where.create_dir(name.rpartition("/")[0], recursive=True)
         self.out = where.open_output_stream(name)
         packed = zstd.ZstdCompressor(level=self.level).compress(words)
@@ -139,7 +134,7 @@ class ShardWriter:
 
 def read_records(path: str, chunk: int = 64 << 10) -> Iterator[bytes]:
     """The records of a shard, streamed frame by frame."""
-    where, name = _where(path)
+    where, name = open_path(path)
     with where.open_input_stream(name) as f:
         magic, size = struct.unpack("<II", f.read(8))
         if magic != SKIPPABLE:
@@ -159,20 +154,23 @@ def read_records(path: str, chunk: int = 64 << 10) -> Iterator[bytes]:
             yield b"".join(parts)
 
 
-def with_roles(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """page_id, url, payload, is_revisit, refers_to.
+def with_roles(pages: DataFrame, min_bytes: int) -> tuple[DataFrame, int]:
+    """(page_id, url, payload, is_revisit, refers_to; all payloads' bytes).
 
-    Only digests and ids are grouped; pages with their html are shuffled once,
-    on (page id, digest), so a payload shared by many pages makes no hot key.
+    Only digests and ids are grouped, from a table of them that is written
+    once; so is the aggregate that they are joined to, so that Spark can split
+    a digest that very many pages share.  Pages with their html are shuffled
+    once, on (page id, digest).
     """
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
-    ids = rows.select("page_id", "digest", F.length("payload").alias("n"))
+    ids = materialise(rows.select("page_id", "digest", F.length("payload").alias("n")), "warc-digests")
     shared = ids.filter(F.col("n") >= min_bytes).groupBy("digest").agg(F.count("*").alias("copies"), F.max("page_id").alias("refers_to")).filter("copies > 1 and refers_to is not null").drop("copies")
-    revisits = (
-        ids.join(shared, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "refers_to").distinct()
-    )
+    shared = materialise(shared, "warc-shared", "fewer")
+    again = ids.join(shared, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    revisits = materialise(again.select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "refers_to").distinct(), "warc-revisits")
     same = F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("digest") == F.col("r_digest"))
-    return rows.join(revisits.hint("shuffle_hash"), same, "left").select("page_id", "url", "payload", F.col("r_digest").isNotNull().alias("is_revisit"), "refers_to")
+    out = rows.join(revisits.hint("shuffle_hash"), same, "left").select("page_id", "url", "payload", F.col("r_digest").isNotNull().alias("is_revisit"), "refers_to")
+    return out, ids.agg(F.sum("n")).first()[0] or 0
 
 
 def write_archives(
@@ -184,11 +182,9 @@ def write_archives(
     A task takes at least about `task_bytes` of payload, so that small inputs
     don't end in many tiny archives.
     """
-    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    rows, size = with_roles(pages, min_bytes)
     tasks = max(1, -(-size // task_bytes))
     base = base or new_path(pages.sparkSession, "warc")
-    if "://" not in base and not base.startswith("/"):
-        base = base.removeprefix("file:")
 
     def run(batches):
         writer = ShardWriter(base, sample_bytes, shard_bytes, level)
@@ -199,7 +195,7 @@ def write_archives(
         writer.close()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*writer.done, strict=True) if writer.done else ((), (), ()), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["path", "records", "bytes"])
 
-    return materialise(with_roles(pages, min_bytes).coalesce(tasks).mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
+    return materialise(rows.coalesce(tasks).mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, check_digest: bool = True) -> DataFrame:

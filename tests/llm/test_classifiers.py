@@ -56,9 +56,8 @@ def test_maximal_segments():
     rng = np.random.default_rng(3)
     for _ in range(300):
         n = int(rng.integers(1, 24))
-        s = [float(rng.choice([1.37, 2.11, 3.73])) * (1 + 0.01 * rng.random()) if rng.random() < 0.3 else -1.0 for _ in range(n)]
-        at = [i for i, x in enumerate(s) if x > 0]
-        got = [(a, b) for a, b, _ in toxicity.segments(at, [s[i] for i in at], 1.0)]
+        s = [float(rng.choice([1.37, 2.11, 3.73])) * (1 + 0.01 * rng.random()) if rng.random() < 0.3 else -float(rng.choice([0.11, 1.0, 1.7])) for _ in range(n)]
+        got = [(a, b) for a, b, _ in toxicity.segments(np.array(s))]
         assert got == _plain_segments(s)
 
 
@@ -78,6 +77,89 @@ def test_toxicity_held_out_and_odd_rows(spark):
     assert toxicity.score(_docs(spark, []), m).count() == 0
 
 
+def test_language_filters_against_plain_sets():
+    """No n-gram of a language is missed, counts are the Bloom filters' own, and the correction brings them near the true ones."""
+    rng = np.random.default_rng(1)
+    grams = {f"l{i:02d}": rng.choice(1 << 31, 3000, replace=False).astype(np.uint32) for i in range(70)}
+    f = langid.LanguageFilters.build(grams)
+    assert len(f.slices) == 2 and f.languages == sorted(grams)
+    small = langid.LanguageFilters.build(grams, filter_bytes=2 * 8 << 13)
+    assert small.bits == 13 and small.false_rate.mean() > f.false_rate.mean()
+    text = np.concatenate([grams["l03"][:400], grams["l66"][:100], rng.choice(1 << 31, 500).astype(np.uint32)])
+    for g in (f, small):
+        bits = [np.zeros(1 << g.bits, bool) for _ in g.languages]
+        for j, lang in enumerate(g.languages):
+            for x in grams[lang].tolist():
+                for m in langid._MULT:
+                    bits[j][((x * m) & 0xFFFFFFFF) >> (32 - g.bits)] = True
+        slots = [[((x * m) & 0xFFFFFFFF) >> (32 - g.bits) for m in langid._MULT] for x in text.tolist()]
+        seen = np.array([sum(all(b[s] for s in ss) for ss in slots) for b in bits], float)
+        rate = np.array([b.mean() ** langid.PROBES for b in bits])
+        got = g.counts(text, np.array([0, 0, len(text)]))
+        assert (got[0] == 0).all() and np.allclose(got[1], np.maximum(seen - len(text) * rate, 0) / (1 - rate))
+        assert abs(got[1][3] - 400) < 40 and abs(got[1][66] - 100) < 40 and got[1].argmax() == 3
+
+
+def test_quality_scores_against_plain_features(spark):
+    """Margin and verdict from features counted character by character, with random weights."""
+    rng = np.random.default_rng(2)
+    texts = ODD + _real(30) + ["été 你好 ab"]
+    model = quality.QualityModel(rng.normal(size=3 * quality.SLOTS), 0.1, 1.3, -0.2)
+    got = {r.doc_id: r for r in quality.judge(_docs(spark, texts), model, accept=0.4).collect()}
+    number = lambda c: int.from_bytes(c.encode(), "little")
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        words = SPACES.findall(t or "")
+        slots = [[], [], []]
+        for k in (1, 2):
+            for j in range(len(words) - k + 1 if len(words) >= k else int(k == 2 and len(words) == 1)):
+                part = " ".join(words[j : j + k]).encode()
+                buf, off = np.frombuffer(part, np.uint8), np.array([0, len(part)])
+                own = list(quality._families(buf, off, *_words(buf, off)))[k - 1]
+                slots[k - 1] += own[0].tolist()
+        for j in range(len(t or "") - 2):
+            a, b, c = (number(x) for x in t[j : j + 3])
+            h = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) * 0x27D4EB2F & 0xFFFFFFFF
+            slots[2].append((h >> (32 - quality.BITS)) + 2 * quality.SLOTS)
+        margin = 0.1 + sum(model.weights[s].sum() / max(len(s), 1) for s in slots)
+        p = 1 / (1 + np.exp(-np.clip(1.3 * margin - 0.2, -50, 50)))
+        assert abs(got[i].quality - p) < 1e-9 and got[i].kept == (not got[i].base_failed and got[i].quality >= 0.4), raw[:40]
+
+
+def _words(buf, off):
+    starts, ends, bounds = quality.B.word_spans(buf, off)
+    return quality._ROLLER.spans(quality._ROLLER.prefix(buf), starts, ends), bounds
+
+
+def test_toxicity_scores_against_plain_log_odds(spark):
+    """Token scores of both signs, lambda and evidence against the formulas."""
+    rows = [("vile word text", 1, i % 3) for i in range(9)] + [("calm word text", 0, i % 3) for i in range(40)] + [("vile calm", 0, 0)]
+    counts = toxicity._counts(spark.createDataFrame([(t, f, x) for x, t, f in rows], "toxic int, fold int, text string"))
+    prior, confidence, floor = 0.3, 1.5, 0.8
+    tokens, scores = toxicity._scoring_tokens(counts, prior, confidence, floor)
+    words = {w: [sum(y == s and w in t.split() for t, y, _ in rows) for s in (1, 0)] for w in ("vile", "word", "text", "calm")}
+    n = [sum(c[s] for c in words.values()) for s in (0, 1)]
+    want = {}
+    for w, (bad, good) in words.items():
+        a, pseudo = (bad + good) * prior, sum(n) * prior
+        z = np.log((bad + a) / (n[0] + pseudo - bad - a)) - np.log((good + a) / (n[1] + pseudo - good - a))
+        e = confidence * np.sqrt(1 / (bad + a) + 1 / (good + a))
+        if bad >= toxicity.LEAST_COUNT and z > e:
+            want[w] = z - e
+        elif good >= toxicity.LEAST_COUNT and z < -e:
+            want[w] = max(z + e, -floor)
+    assert want["vile"] > 0 > want["calm"]
+    m = toxicity.ToxicityModel(tokens, scores, toxicity.DRIFT, 0.7, 0.2, (1.0, 0.0), 0.0)
+    import pyarrow as pa
+
+    *_, forms = toxicity._tokens(pa.array(["vile unseen calm word"]))
+    assert np.allclose(m.score(forms), [want.get(w, -toxicity.DRIFT) for w in ("vile", "unseen", "calm", "word")])
+    s, p = np.array([1.5, -0.5, -0.1]), np.array([0.05, 0.45, 0.5])
+    lam = toxicity._lambda(s, p)
+    assert abs((p * np.exp(lam * s)).sum() - 1) < 1e-9 and lam > 0
+    assert abs(m.evidence(3.0, 50) - (0.7 * 3.0 - np.log(0.2 * 50))) < 1e-12
+
+
 def test_language_held_out_and_odd_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = queries.op8_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")

@@ -8,7 +8,7 @@ import re
 
 import public_tokenizers as P
 import tiktoken
-from rasterloom.llm import bpe, decontaminate, secrets, warc
+from rasterloom.llm import bpe, decontaminate, secrets, storage, warc
 
 DOCS = "doc_id long, text string, extra string"
 ODD = ["", None, " ", "a", "A" * 5000, "été ΑΒΓ 你好　x\x1cy\x85z \x0b\x0c'll <|endoftext|>", "\n\n  \n", "x" * 70 + " y", "0" * 64]
@@ -85,6 +85,44 @@ def test_secret_spans(spark):
     assert got[1].redacted is None and secrets.scan(_docs(spark, [])).count() == 0
 
 
+def _string(x):
+    return len(x).to_bytes(4, "big") + x
+
+
+def _vectors():
+    """Fixed key encodings: (name, bytes or PEM text, is it a private key)."""
+    number = lambda k, seed=7: _der(2, bytes([1]) + bytes((seed * i * i + 3 * i + 1) % 256 for i in range(k)))
+    zero, one = _der(2, b"\0"), _der(2, b"\1")
+    rsa, dsa = _der(0x30, zero + b"".join(number(64, s) for s in range(8))), _der(0x30, zero + b"".join(number(40, s) for s in range(5)))
+    sec1 = _der(0x30, one + _der(4, bytes(range(32))) + _der(0xA0, _der(6, b"\x2a\x86\x48\xce")))
+    algorithm = _der(0x30, _der(6, b"\x2a\x86\x48\x86") + _der(0x30, _der(4, b"saltsalt") + _der(2, b"\x08")))
+    public = _string(b"ssh-ed25519") + _string(bytes(32))
+    openssh = b"openssh-key-v1\0" + _string(b"none") + _string(b"none") + _string(b"") + (1).to_bytes(4, "big") + _string(public) + _string(b"abcdabcd" + public + _string(bytes(64)))
+    locked = b"openssh-key-v1\0" + _string(b"aes256-ctr") + _string(b"bcrypt") + _string(b"salt") + (1).to_bytes(4, "big") + _string(public) + _string(bytes(range(64)))
+    yield from [("rsa", rsa, True), ("dsa", dsa, True), ("sec1", sec1, True), ("pkcs8", _der(0x30, zero + _der(0x30, _der(6, b"\x2a\x86\x48")) + _der(4, rsa)), True)]
+    yield from [("encrypted", _der(0x30, algorithm + _der(4, bytes(range(96)))), True), ("openssh", openssh, True), ("openssh locked", locked, True)]
+    yield from [("rsa public", _der(0x30, number(64) + _der(2, b"\1\0\1")), False), ("public", _der(0x30, _der(0x30, _der(6, b"\x2a\x86\x48")) + _der(3, b"\0" + bytes(40))), False)]
+    yield from [("openssh junk", b"openssh-key-v1\0" + b"some prose that is no key at all, " * 3, False), ("openssh longer", openssh + b"\0", False), ("openssh checks", openssh.replace(b"abcdabcd", b"abcdabce"), False)]
+    yield from [("rsa cut", rsa[:-1], False), ("five numbers", _der(0x30, zero + b"".join(number(40, s) for s in range(4))), False)]
+
+
+def test_key_encodings(spark):
+    cases = list(_vectors())
+    for name, raw, want in cases:
+        assert secrets.is_key(raw) == want, name
+    texts = [f"see {base64.b64encode(raw).decode()} here" for _, raw, _ in cases] + [f"see {raw.hex()} here" for _, raw, _ in cases]
+    got = {r.doc_id: r.spans for r in secrets.scan(_docs(spark, texts)).collect()}
+    for i in range(2 * len(cases)):
+        name, _, want = cases[i % len(cases)]
+        assert ("key:4:" in got[i]) == want, name
+    lines = lambda raw: "\n".join(base64.b64encode(raw).decode()[i : i + 64] for i in range(0, 4 * len(raw) // 3 + 4, 64))
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{}\n\n"
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n{}{}\n-----END RSA PRIVATE KEY-----"
+    block = bytes(range(160))
+    said = [secrets.find(pem.format(h, lines(b))) for h, b in ((head.format("0" * 32), block), (head.format("0" * 8), block), (head.format("0" * 32), block[:-1]), ("Comment: x\n\n", cases[0][1]), ("", block))]
+    assert [any(k == 3 and a == 0 for a, k, _ in x) for x in said] == [True, False, False, True, False]
+
+
 def _plain_hits(text, items):
     words = decontaminate.words_of((text or "").encode())
     hit, found = set(), set()
@@ -99,7 +137,7 @@ def _plain_hits(text, items):
     return len(words), len(hit), sorted(found)
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, tmp_path, monkeypatch):
     long = " ".join(f"w{i}" for i in range(40))
     items = [(1, long), (2, "Solo"), (3, None), (4, "..."), (5, "w5 w6 w7"), (5, "w5 w6 w7"), (6, " ".join(["aa"] * 12)), (10, long.upper())]
     texts = ODD + [f"x {long}, y", "W5--w6;w7", "solo", "solos", "aa " * 11, "aa " * 9, " ".join(f"w{i}" for i in range(9)), "é" + long, long + " " + long] * 2
@@ -110,6 +148,10 @@ def test_decontamination(spark):
             n, h, found = _plain_hits(t, items)
             assert (got[i].n_words, got[i].n_hit, got[i]["items"], got[i].n_items) == (n, h, found, len(found)), repr(t)[:60]
             assert got[i].contaminated == (h > 0)
+    monkeypatch.setattr(storage, "_home", lambda spark: f"file:{tmp_path}")  # as Spark writes it
+    many = {r.doc_id: r.n_hit for r in decontaminate.decontaminate(_docs(spark, texts), bench, block_bytes=500, group_bytes=2000).collect()}
+    monkeypatch.undo()
+    assert many == {i: r.n_hit for i, r in got.items()}
     none = decontaminate.decontaminate(_docs(spark, texts), bench.limit(0)).filter("n_hit > 0 or contaminated")
     assert none.count() == 0 and decontaminate.decontaminate(_docs(spark, []), bench).count() == 0
 
