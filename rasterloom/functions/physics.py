@@ -124,3 +124,37 @@ def sea_coast_cloud(zen: Column, is_land: Column, near_land: Column, vis: Column
 def sun_glint_low_cloud(cosz: Column, vis: Column, mir: Column, lir: Column) -> Column:
     diff = mir - lir
     return test(gate(F.acos(cosz), "day") & (mir < 320) & (vis > 0.6) & (diff > 0) & (vis > diff / 0.15))
+
+
+def lir_fir(lir: Column, fir: Column) -> Column:
+    """Small epsilon index of the pair, and cold."""
+    k = PLANCK * LIGHT / (BOLTZMANN * 2.0e-6)
+    return test((F.exp(-k * (F.try_divide(F.lit(1.0), fir) - F.try_divide(F.lit(1.0), lir))) < 0.2) & (lir < 303.15))
+
+
+def stable(x: Column, past: Column, limit: float) -> Column:
+    return test(F.abs(x - past) < limit)
+
+
+def seeds_visible(vis: Column, mean: Column) -> Column:
+    return test(vis > 1.05 * mean)
+
+
+def seeds_infrared(lir: Column, mean: Column) -> Column:
+    return test((lir > mean - 5) & (lir < mean + 0.5))
+
+
+def tricky_index(x: Column, gamma: float, s: float) -> Column:
+    """exp(-gamma |x - s|) less its value at 0, over its largest value (at s)."""
+    low = math.exp(-gamma * s)
+    return (F.exp(-gamma * F.abs(x - s)) - low) / (1 - low)
+
+
+def snow_composite(vis: Column, sir: Column, mir: Column) -> list[Column]:
+    """Red, green and blue, 0 where negative."""
+    return [F.greatest(255 * c, F.lit(0.0)) for c in (vis, sir, (mir - 250) / 100)]
+
+
+def night_like(*features: Column) -> Column:
+    """All features are -1."""
+    return test(F.forall(F.array(*features), lambda x: x == -1))

@@ -26,7 +26,7 @@ def with_indexes(cube: DataFrame) -> DataFrame:
 
 
 def with_tests(cube: DataFrame, exhaustive: bool = True) -> DataFrame:
-    """Adds the single tests and the cloud and snow decisions (`is_cloud`, `is_snow`)."""
+    """Adds the single tests and the cloud and snow decisions (`is_cloud`, `is_snow`; of the other variant `is_cloud_partial`, `is_snow_partial`)."""
     lir, fir, vis, land = F.col("lir"), F.col("fir"), F.col("vis"), F.col("is_land")
     cube = neighbourhood.dilate(cube, "is_land", "near_land")
     cube = cube.withColumns({
@@ -40,13 +40,14 @@ def with_tests(cube: DataFrame, exhaustive: bool = True) -> DataFrame:
         "bright": P.test(vis > TH.vis_snow),
     })
     snowy = F.col("dawn_day") & land & P.ndsi_test(F.col("ndsi")) & P.test(F.col("cli_mu") < TH.cli_snow) & F.col("bright")
-    if exhaustive:
-        cloudy = F.col("opaque") | F.col("transparent") | F.col("sea_coast") | F.col("gross") | F.col("cirrus")
-        snowy = snowy & P.gross_snow(lir, F.col("lir_fc")) & P.broad_cirrus_snow(F.col("cli_eps"))
-    else:
-        unstable = P.test((F.col("cli_mu") > TH.cli_cloud) & (F.col("variability") > TH.stability))
-        cloudy = unstable | F.col("sea_coast") | F.col("gross")
-    return cube.withColumn("is_cloud", F.col("dawn_day") & cloudy).withColumn("is_snow", snowy)
+    whole = F.col("opaque") | F.col("transparent") | F.col("sea_coast") | F.col("gross") | F.col("cirrus")
+    unstable = P.test((F.col("cli_mu") > TH.cli_cloud) & (F.col("variability") > TH.stability))
+    both = {
+        "": (F.col("dawn_day") & whole, snowy & P.gross_snow(lir, F.col("lir_fc")) & P.broad_cirrus_snow(F.col("cli_eps"))),
+        "_partial": (F.col("dawn_day") & (unstable | F.col("sea_coast") | F.col("gross")), snowy),
+    }
+    cube = cube.withColumns({f"is_{k}{v}": both[v][i] for v in both for i, k in enumerate(("cloud", "snow"))})
+    return cube if exhaustive else cube.withColumns({f"is_{k}": F.col(f"is_{k}_partial") for k in ("cloud", "snow")})
 
 
 def _early(cube: DataFrame, exhaustive: bool) -> DataFrame:
@@ -61,10 +62,19 @@ def _early(cube: DataFrame, exhaustive: bool) -> DataFrame:
     return cube.withColumn("late", F.col("is_land") & late_cloud(F.col("vis"), F.col("free"), F.col("background")))
 
 
+def _with_class(cube: DataFrame, exhaustive: bool) -> DataFrame:
+    cls = F.when(F.col("late"), 4).when(F.col("suspect") & (F.col("early") == 1), 3).otherwise(F.col("early"))
+    return _early(cube, exhaustive).withColumn("cls", cls.cast("int"))
+
+
 def classify(cube: DataFrame, p: Profile = Profile(), exhaustive: bool = True) -> DataFrame:
     """t, lat_i, lon_i, cls: 0 clear, 1 snow, 2 cloud, 3 suspect snow, 4 cloud seen late, 5 undefined."""
-    cls = F.when(F.col("late"), 4).when(F.col("suspect") & (F.col("early") == 1), 3).otherwise(F.col("early"))
-    return _early(cube, exhaustive).select("t", "dfb", "slot", "lat_i", "lon_i", cls.cast("int").alias("cls"), "vis", "cosz", "is_land")
+    return _with_class(cube, exhaustive).select("t", "dfb", "slot", "lat_i", "lon_i", "cls", "vis", "cosz", "is_land")
+
+
+def decisions(cube: DataFrame) -> DataFrame:
+    """t, lat_i, lon_i, vis, cls and both variants' cloud decisions, from one pass over the cube."""
+    return _with_class(cube, True).select("t", "lat_i", "lon_i", "vis", "cls", "is_cloud", "is_cloud_partial")
 
 
 def unstable_albedo(cube: DataFrame) -> DataFrame:
@@ -87,6 +97,44 @@ def late_cloud(vis: Column, free: Column, background: Column, limit: float = TH.
     return P.test(free & (vis - background > limit))
 
 
+def thick_cloud(cube: DataFrame, quick: bool = False) -> DataFrame:
+    """Adds `thick`: opaque cloud; unless `quick`, also an uneven brightness temperature (3x3 deviation over TH.texture)
+    that rises (deviation's largest rise over near days above 0.2) or is opaque, and opaque only where bright (vis > 0.5).
+    Needs cli_mu and cli_eps of with_indexes."""
+    opaque = P.opaque_cloud(F.col("cli_mu"), F.col("cli_eps"))
+    if quick:
+        return cube.withColumn("thick", opaque)
+    cube = neighbourhood.local_std(cube.withColumn("_x", F.coalesce("lir", F.lit(0.0))), "_x", "texture").withColumn("texture", F.round("texture", 4))
+    cube = cube.withColumn("_rise", timeseries.positive_variability(F.col("texture")))
+    uneven = F.col("texture") > TH.texture
+    return cube.withColumn("thick", (uneven & (F.col("_rise") > 0.2)) | (uneven & opaque) | (opaque & P.test(F.col("vis") > 0.5))).drop("_x", "_rise")
+
+
+def broad_snow(cube: DataFrame) -> DataFrame:
+    """Adds `broad`: day or dawn, land, bright by the broad limit, and snow index over the broad limit or the plain test."""
+    ndsi = F.col("ndsi")
+    wide = P.test(ndsi > TH.broad_ndsi) | P.ndsi_test(ndsi)
+    return cube.withColumn("broad", P.gate(F.col("zen"), "dawn_day") & F.col("is_land") & wide & P.test(F.col("vis") > TH.broad_vis_snow))
+
+
+def features(cube: DataFrame, kind: str, level: str) -> DataFrame:
+    """The features of a kind (infrared or visible) at a level (channel, cli, ndsi, abstract); other names are refused."""
+    key = ["t", "lat_i", "lon_i"]
+    channels = {"infrared": ("fir", "lir", "mir"), "visible": ("sir", "vis")}
+    if kind not in channels or level not in ("channel", "abstract", {"infrared": "cli", "visible": "ndsi"}[kind]):
+        raise ValueError(f"no {level} features of kind {kind}")
+    if level == "channel":
+        return cube.select(*key, *channels[kind])
+    cube = with_indexes(cube)
+    if level in ("cli", "ndsi"):
+        return cube.select(*key, level)
+    if kind == "visible":
+        return cube.select(*key, "ndsi", timeseries.positive_variability(F.col("ndsi")).alias("ndsi_variability"), "vis", timeseries.positive_variability(F.col("vis")).alias("vis_variability"))
+    lit = P.gate(F.col("zen"), "dawn_day")
+    cold = (lit & P.cold(F.col("lir"), F.col("t2m"))).cast("int")
+    return cube.select(*key, "cli_eps", timeseries.positive_variability(F.col("cli")).alias("cli_variability"), F.col("cli").alias("difference"), cold.alias("cold"))
+
+
 def cloud_shade(classes: DataFrame, limit: float = 0.2) -> DataFrame:
     """Adds `shade`: cloud-free and darker than the cell's usual cloud-free view of that slot."""
     free = F.col("cls").isin(0, 1)

@@ -66,3 +66,56 @@ def encode_labels(labels: Column, base: int = 6) -> Column:
 
 def decode_labels(code: Column, size: int, base: int = 6) -> Column:
     return F.array(*(F.floor(code / base**k).cast("long") % base for k in range(size)))
+
+
+#: fixed values: axes and height (metres) of the plain geostationary projection
+AXIS_A, AXIS_B, HEIGHT = 6378169.0, 6356583.8, 35785831.0
+
+
+def ll_to_plane(lat: Column, lon: Column, lon0: float) -> tuple[Column, Column]:
+    """(Y, X) in metres of the geostationary projection; null where the satellite does not see the point."""
+    p2 = (AXIS_B / AXIS_A) ** 2
+    lam = F.radians(lon - lon0)
+    phi = F.atan(p2 * F.tan(F.radians(lat)))
+    r = (AXIS_B / AXIS_A) / F.sqrt(F.pow((AXIS_B / AXIS_A) * F.cos(phi), 2) + F.pow(F.sin(phi), 2))
+    vx, vy, vz = r * F.cos(lam) * F.cos(phi), r * F.sin(lam) * F.cos(phi), r * F.sin(phi)
+    far = 1 + HEIGHT / AXIS_A
+    seen = (far - vx) * vx - vy * vy - vz * vz / p2 >= 0
+    y = F.when(seen, HEIGHT * F.atan(vz / F.sqrt(F.pow(far - vx, 2) + vy * vy)))
+    return y, F.when(seen, HEIGHT * F.atan(vy / (far - vx)))
+
+
+def plane_to_ll(y: Column, x: Column, lon0: float) -> tuple[Column, Column]:
+    """(lat, lon) in degrees; null off the disk."""
+    far, q = 1 + HEIGHT / AXIS_A, AXIS_A / AXIS_B
+    ty = F.tan(x / HEIGHT)
+    tz = F.tan(y / HEIGHT) * F.sqrt(1 + ty * ty)
+    a = 1 + ty * ty + F.pow(tz * q, 2)
+    b, c = -2.0 * far, far * far - 1
+    d = b * b - 4 * a * c
+    k = F.when(d >= 0, (-b - F.sqrt(F.greatest(d, F.lit(0.0)))) / (2 * a))
+    vx, vy, vz = far - k, k * ty, k * tz
+    lam = F.atan2(vy, vx)
+    phi = F.atan(vz * F.cos(lam) / vx)
+    return F.degrees(F.atan(q * q * F.tan(phi))), F.degrees(lam) + lon0
+
+
+def plane_to_index(y: Column, x: Column, top: float, left: float, y_step: float, x_step: float, exact: bool = False) -> tuple[Column, Column]:
+    """(line, column); with `exact` the inverse of index_to_plane, else one half a pixel further."""
+    half = 0.0 if exact else 0.5
+    return F.floor((y - top) / y_step + half).cast("int"), F.floor((x - left) / x_step + half).cast("int")
+
+
+def index_to_plane(line: Column, column: Column, top: float, left: float, y_step: float, x_step: float) -> tuple[Column, Column]:
+    return index_to_centre(line, y_step, top), index_to_centre(column, x_step, left)
+
+
+def renavigate(raster: DataFrame, lon_from: float, lon_to: float, resolution: float, offset: float) -> DataFrame:
+    """A raster (l, c, ...) seen from another longitude: each target pixel's value is the source's at the same place.
+
+    Target pixels are those of the raster's own grid; both sides meet on (line, column), by key.
+    """
+    lat, lon = angles_to_ll(index_to_centre(F.col("l"), resolution, offset), index_to_centre(F.col("c"), resolution, offset), lon_to)
+    y, x = ll_to_angles(lat, lon, lon_from)
+    targets = raster.select(F.col("l").alias("to_l"), F.col("c").alias("to_c"), angle_to_index(y, resolution, offset).alias("l"), angle_to_index(x, resolution, offset).alias("c"))
+    return targets.join(raster, ["l", "c"], "left").drop("l", "c").withColumnsRenamed({"to_l": "l", "to_c": "c"})

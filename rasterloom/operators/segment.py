@@ -30,6 +30,19 @@ def otsu(df: DataFrame, x: str, by: list[str]) -> DataFrame:
     return span.join(best, by, "left").select(*by, F.col("top.c").alias("threshold"))
 
 
+def segmentation(df: DataFrame, x: str, method: str, static: float | None = None, out: str = "above") -> DataFrame:
+    """Adds `out`: x above the threshold of its slot (otsu-2d), of all (otsu-3d), or above a given one (static); missing and constant: false."""
+    if method == "static":
+        return df.withColumn(out, F.coalesce(F.col(x) > static, F.lit(False)))
+    if method == "otsu-2d":
+        limits = otsu(df, x, ["t"])
+        return df.join(limits, "t", "left").withColumn(out, F.coalesce(F.col(x) > F.col("threshold"), F.lit(False))).drop("threshold")
+    if method == "otsu-3d":
+        limits = F.broadcast(otsu(df.withColumn("_all", F.lit(1)), x, ["_all"]).select("threshold"))  # a single row
+        return df.join(limits, how="left").withColumn(out, F.coalesce(F.col(x) > F.col("threshold"), F.lit(False))).drop("threshold")
+    raise ValueError(f"unknown method {method}")
+
+
 def equalize(df: DataFrame, x: str, by: list[str], out: str = "equal") -> DataFrame:
     """8-bit histogram equalisation of an integer column (0..255) within each group."""
     ok = df.filter(F.col(x).isNotNull())

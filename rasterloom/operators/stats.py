@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 CELL = ("lat_i", "lon_i")
 
 
-def normalize(df: DataFrame, x: str, kind: str, out: str = "norm") -> DataFrame:
-    """Whole-cube normalisation: one row of statistics (partial aggregates), joined back.
+def normalize_all(df: DataFrame, x: str, kinds: dict[str, str]) -> DataFrame:
+    """Whole-cube normalisations {column: kind}: one row of statistics (partial aggregates), joined back once.
 
     kinds: max, centered, reduced, standard, gray-scale.
     """
@@ -23,9 +23,13 @@ def normalize(df: DataFrame, x: str, kind: str, out: str = "norm") -> DataFrame:
         "reduced": F.try_divide(c, F.col("_sd")),
         "standard": F.try_divide(c - F.col("_mean"), F.col("_sd")),
         "gray-scale": F.coalesce(F.floor(F.try_divide(255 * (c - F.col("_lo")), F.col("_hi") - F.col("_lo"))).cast("int"), F.lit(0)),
-    }[kind]
+    }
     one = F.broadcast(stats)  # a single row
-    return df.join(one).withColumn(out, value).drop("_lo", "_hi", "_top", "_mean", "_sd")
+    return df.join(one).withColumns({out: value[kind] for out, kind in kinds.items()}).drop("_lo", "_hi", "_top", "_mean", "_sd")
+
+
+def normalize(df: DataFrame, x: str, kind: str, out: str = "norm") -> DataFrame:
+    return normalize_all(df, x, {out: kind})
 
 
 def pixel_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -35,14 +39,6 @@ def pixel_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     return sums.withColumn("r", F.when((F.col("sa") > 1e-9) & (F.col("sb") > 1e-9), F.try_divide(F.col("cov"), F.col("sa") * F.col("sb")))).drop("sa", "sb", "cov")
 
 
-def slope_in_slices(df: DataFrame, x: str, by: str, slice_slots: int, least: int, lo: float, hi: float) -> DataFrame:
-    """lat_i, lon_i, slice, n, slope, verdict: is x's slope on `by` within [lo, hi] in slices of at least `least` valid slots?"""
-    ok = df.filter(F.col(x).isNotNull() & F.col(by).isNotNull()).withColumn("slice", F.floor(F.col("t") / slice_slots).cast("int"))
-    sums = ok.groupBy(*CELL, "slice").agg(F.count("*").alias("n"), F.covar_pop(by, x).alias("cov"), F.var_pop(by).alias("var"))
-    sums = sums.filter(F.col("n") >= least).withColumn("slope", F.when(F.col("var") > 1e-12, F.try_divide(F.col("cov"), F.col("var"))))
-    return sums.select(*CELL, "slice", "n", "slope", F.coalesce(F.col("slope").between(lo, hi), F.lit(False)).cast("int").alias("verdict"))
-
-
 def class_statistics(classes: DataFrame, least_share: float = 1e-5) -> DataFrame:
     """t, cls, share of the whole cube; classes that never reach `least_share` are left out."""
     counts = classes.groupBy("t", "cls").agg(F.count("*").alias("n"))
@@ -93,6 +89,13 @@ def sun_edges(df: DataFrame, cosz: str = "cosz") -> DataFrame:
     return step.groupBy(*CELL).agg(F.max(F.struct("rise", (-F.col("t")).alias("s"))).alias("up"), F.min(F.struct("rise", F.col("t").alias("s"))).alias("down")).select(*CELL, (-F.col("up.s")).cast("int").alias("sunrise"), F.col("down.s").cast("int").alias("sunset"))
 
 
+def sun_weights(axis: DataFrame, cosz: str, near: int = 1000) -> DataFrame:
+    """Adds w: the chance that a slot is accepted, if it is kept where U * top > top - cosz for a uniform U
+    and the largest cosine `top` within `near` slots; few rows, one a slot."""
+    top = F.max(cosz).over(Window.orderBy("t").rowsBetween(-near, near))
+    return axis.withColumn("w", F.when(top > 0, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(cosz) / top)), 6)).otherwise(0.0))
+
+
 def stratified_slots(axis: DataFrame, weight: Column, rate: float, layers: int, n_slots: int) -> DataFrame:
     """t, layer of the slots picked: layers of equal length get their share of `rate * n_slots` by weight.
 
@@ -101,7 +104,7 @@ def stratified_slots(axis: DataFrame, weight: Column, rate: float, layers: int,
     """
     layered = axis.select("t", F.floor(F.col("t") * layers / n_slots).cast("int").alias("layer"), weight.alias("w"))
     total = int(rate * n_slots)
-    sums = layered.groupBy("layer").agg(F.sum("w").alias("w"), F.count("*").alias("size"))
+    sums = layered.groupBy("layer").agg(F.round(F.sum("w"), 4).alias("w"), F.count("*").alias("size"))
     whole = F.broadcast(sums.agg(F.sum("w").alias("all_w")))  # a single row
     share = sums.join(whole).select("layer", "size", "w", F.floor(F.try_divide(total * F.col("w"), F.col("all_w")) + 1e-9).cast("int").alias("n"))
     rest = F.broadcast(share.agg(F.sum("n").alias("dealt"), F.max(F.struct("w", (-F.col("layer")).alias("l"))).alias("top")))  # a single row

@@ -55,6 +55,14 @@ def interpolate_gaps(cube: DataFrame, channel: str, longest: int = 3, method: st
     return cube.withColumn("filled", F.when(x.isNotNull(), x).when(gap <= longest, fill)).drop("x0", "t0", "x1", "t1")
 
 
+def mask_channels(cube: DataFrame, channels: tuple[str, ...] = CHANNELS, longest: int = 3) -> DataFrame:
+    """The channels with short gaps filled, and all of them -1 where any is still missing."""
+    for c in channels:
+        cube = interpolate_gaps(cube, c, longest).withColumn(c, F.col("filled")).drop("filled")
+    bad = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in channels))
+    return cube.withColumns({c: F.when(bad, -1.0).otherwise(F.col(c)) for c in channels})
+
+
 def step_variability(x: Column, step: int = 1, absolute: bool = False, drops_only: bool = False) -> Column:
     """x minus its value `step` slots before, FILL where either is missing."""
     d = x - F.lag(x, step).over(by_time())
@@ -106,6 +114,16 @@ def rolling_mean(x: Column, window: int) -> Column:
     return F.when(F.row_number().over(by_time()) >= window, F.avg(x).over(by_time().rowsBetween(1 - window, 0))).otherwise(x)
 
 
+def centred_mean(x: Column, n: int = 5) -> Column:
+    """Mean over the slots at most n away."""
+    return F.avg(x).over(by_time().rowsBetween(-n, n))
+
+
+def followed(flag: Column, lags: tuple[int, ...]) -> Column:
+    """True where the flag held at all these slots before."""
+    return reduce(lambda a, b: a & b, (F.coalesce(F.lag(flag, k).over(by_time()), F.lit(False)) for k in lags))
+
+
 def rolling_median(x: Column, window: int) -> Column:
     """Trailing median of the values present, from the window's end on."""
     held = F.array_sort(F.filter(F.collect_list(x).over(by_time().rowsBetween(1 - window, 0)), lambda v: v.isNotNull()))

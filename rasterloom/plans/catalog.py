@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import BOLTZMANN, CHANNELS, LIGHT, PLANCK, Profile
 from ..functions import physics as P
-from ..operators import classify, models, navigation, neighbourhood, segment, stats, timeseries
+from ..operators import classify, models, navigation, neighbourhood, patterns, segment, stats, timeseries
 from ..sources import cube as source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,11 +159,9 @@ WITH s AS (SELECT min(vis) AS lo, max(vis) AS hi, max(abs(vis)) AS top, avg(vis)
 SELECT t, lat_i, lon_i, round(vis / nullif(top, 0), 6) + 0.0 AS n_max, round(vis - m, 6) + 0.0 AS n_centered, round(vis / nullif(sd, 0), 6) + 0.0 AS n_reduced,
   round((vis - m) / nullif(sd, 0), 6) + 0.0 AS n_standard, coalesce(CAST(floor(255 * (vis - lo) / nullif(hi - lo, 0)) AS INTEGER), 0) AS n_gray FROM cube, s""")
 def normalize(spark, sf_dir):
-    out = _cube(spark, sf_dir)
-    for kind in ("max", "centered", "reduced", "standard"):
-        out = stats.normalize(out, "vis", kind, f"n_{kind}")
-    out = stats.normalize(out, "vis", "gray-scale", "n_gray")
-    return out.select(*KEY, *(r(f"n_{k}").alias(f"n_{k}") for k in ("max", "centered", "reduced", "standard")), "n_gray")
+    kinds = {"n_max": "max", "n_centered": "centered", "n_reduced": "reduced", "n_standard": "standard", "n_gray": "gray-scale"}
+    out = stats.normalize_all(_cube(spark, sf_dir), "vis", kinds)
+    return out.select(*KEY, *(r(k).alias(k) for k in kinds if k != "n_gray"), "n_gray")
 
 
 # variability -----------------------------------------------------------------------------------------------
@@ -191,10 +189,13 @@ def day_variability(spark, sf_dir):
     return _cube(spark, sf_dir).select(*KEY, r(timeseries.positive_variability(x)).alias("rise"), r(timeseries.negative_variability(x)).alias("fall"))
 
 
-@query(f"""
-WITH a AS (SELECT *, {_LAGS.format(x="vis")} FROM cube)
-SELECT t, lat_i, lon_i, round(greatest(0.0, coalesce(least({", ".join(f"CASE WHEN {c} THEN coalesce(vis - {k}, -10.0) END" for k, c in _RANGE.items())}), -10.0)), 6) + 0.0 AS lasting,
-  round(coalesce(least({", ".join(f"CASE WHEN {c} THEN coalesce(abs(vis - {k}), -10.0) END" for k, c in _RANGE.items())}), -10.0), 6) + 0.0 AS total FROM a""")
+# V5: days at most two apart; V3: from six days on three apart for the days 2 to n - 3 of n = 30; a missing value gives -10
+@query("""
+WITH pairs AS (
+  SELECT a.t, a.lat_i, a.lon_i, abs(a.dfb - b.dfb) AS apart, a.dfb - 16071 AS day, a.vis - b.vis AS d
+  FROM cube a JOIN cube b ON a.lat_i = b.lat_i AND a.lon_i = b.lon_i AND a.slot = b.slot AND a.dfb <> b.dfb AND abs(a.dfb - b.dfb) <= 3
+) SELECT t, lat_i, lon_i, round(greatest(0.0, min(coalesce(d, -10.0)) FILTER (apart <= 2)), 6) + 0.0 AS lasting,
+  round(min(coalesce(abs(d), -10.0)) FILTER (apart <= 2 OR day BETWEEN 2 AND 30 - 3), 6) + 0.0 AS total FROM pairs GROUP BY ALL""")
 def lasting_variability(spark, sf_dir):
     x, days = F.col("vis"), (PROFILE.first_day, PROFILE.last_day)
     return _cube(spark, sf_dir).select(*KEY, r(timeseries.lasting_rise(x, *days)).alias("lasting"), r(timeseries.total_variability(x, *days)).alias("total"))
@@ -217,12 +218,17 @@ def cos_zen_detrend(spark, sf_dir):
     return _cube(spark, sf_dir).select(*KEY, r(timeseries.detrended(F.col("lir"), F.col("cosz")), 4).alias("detrended"))
 
 
-@query("""
-WITH s AS (SELECT lat_i, lon_i, CAST(t // 40 AS INTEGER) AS slice, count(*) AS n, covar_pop(vis, cosz) AS c, var_pop(cosz) AS v FROM cube WHERE vis IS NOT NULL GROUP BY ALL)
+_SLICED = """cut AS (SELECT lat_i, lon_i, arg_min(t, (cosz, t)) % 40 AS cut FROM cube WHERE dfb = 16071 GROUP BY ALL),
+sliced AS (SELECT cube.*, CAST(floor((t - cut) / 40) + 1 AS INTEGER) AS slice FROM cube JOIN cut USING (lat_i, lon_i))"""
+
+
+@query(f"""
+WITH {_SLICED}, s AS (SELECT lat_i, lon_i, slice, count(*) AS n, covar_pop(vis, cosz) AS c, var_pop(cosz) AS v FROM sliced WHERE vis IS NOT NULL GROUP BY ALL)
 SELECT lat_i, lon_i, slice, n, round(CASE WHEN v > 1e-12 THEN c / nullif(v, 0) END, 4) + 0.0 AS slope,
-  CASE WHEN v > 1e-12 AND c / nullif(v, 0) BETWEEN -0.05 AND 0.05 THEN 1 ELSE 0 END AS verdict FROM s WHERE n >= 13""")
+  CASE WHEN v > 1e-12 AND c / nullif(v, 0) BETWEEN -0.05 AND 0.05 THEN 1 ELSE 0 END AS verdict FROM s WHERE n > 12""")
 def cos_zen_slope_slices(spark, sf_dir):
-    return stats.slope_in_slices(_cube(spark, sf_dir), "vis", "cosz", 40, 13, -0.05, 0.05).withColumn("slope", r("slope", 4))
+    sliced = patterns.with_slices(_cube(spark, sf_dir), 40, PROFILE.first_day)
+    return patterns.slope_verdicts(sliced, "vis", "cosz", -0.05, 0.05).withColumn("slope", r("slope", 4))
 
 
 @query("""
@@ -272,8 +278,12 @@ _INDEXED = f"""near AS (
 ), early AS (
   SELECT *, CASE WHEN cloud_e THEN 2 WHEN vis IS NULL OR sir IS NULL OR mir IS NULL OR lir IS NULL OR NOT dawn_day THEN 5 WHEN snow_e THEN 1 ELSE 0 END AS early,
     snow_e AND {_test(f"greatest(0.0, {', '.join(f'ndsi - n{k}{c}' for k in (1, 2) for c in 'ae')}) > 0.2 OR greatest(0.0, {', '.join(f'n{k}{c} - ndsi' for k in (1, 2) for c in 'ae')}) > 0.2 OR (coalesce(abs(nd), 10.0) > 0.05 AND coalesce(abs(nd), 10.0) < 10)")} AS suspect FROM decided
+), free AS (
+  SELECT *, early = 0 AND {" AND ".join(f"coalesce({f}(early = 0, {k}) OVER ({_PX}), false)" for f in ("lag", "lead") for k in (1, 2))} AS steady_free FROM early
+), smooth AS (
+  SELECT *, CASE WHEN row_number() OVER ({_PX}) >= 5 THEN avg(CASE WHEN steady_free THEN vis ELSE 100.0 END) OVER ({_PX} ROWS 4 PRECEDING) WHEN steady_free THEN vis ELSE 100.0 END AS smooth FROM free
 ), late AS (
-  SELECT *, min(CASE WHEN early = 0 THEN vis END) OVER (PARTITION BY lat_i, lon_i, slot) AS background FROM early
+  SELECT *, min(smooth) OVER (PARTITION BY lat_i, lon_i, slot) AS background FROM smooth
 ), classes AS (
   SELECT t, dfb, slot, lat_i, lon_i, vis, cosz, is_land,
     CAST(CASE WHEN early = 0 AND is_land AND {_test("vis - background > 0.1")} THEN 4 WHEN suspect AND early = 1 THEN 3 ELSE early END AS INTEGER) AS cls FROM late
@@ -362,10 +372,8 @@ def median_per_slot(spark, sf_dir):
 @query(f"""WITH {_INDEXED} SELECT t, lat_i, lon_i, CASE WHEN cloud_e AND NOT cloud_p THEN 1 WHEN cloud_p AND NOT cloud_e THEN -1 ELSE 0 END AS side,
   CASE WHEN vis > 0.35 AND cls = 0 THEN -1 WHEN vis < 0.35 AND cls NOT IN (0, 2, 4, 7, 12) THEN 1 ELSE 0 END AS versus_visible FROM decided JOIN (SELECT t, lat_i, lon_i, cls FROM classes) USING (t, lat_i, lon_i)""")
 def compare_algorithms(spark, sf_dir):
-    cube = classify.with_indexes(_cube(spark, sf_dir))
-    both = classify.with_tests(cube).select(*KEY, F.col("is_cloud").alias("a")).join(classify.with_tests(cube, exhaustive=False).select(*KEY, F.col("is_cloud").alias("b")), KEY)
-    both = both.join(_classes(spark, sf_dir).select(*KEY, "cls", "vis"), KEY)
-    return both.select(*KEY, stats.compare(F.col("a"), F.col("b")).alias("side"), stats.compare_visible(F.col("vis"), F.col("cls")).alias("versus_visible"))
+    both = classify.decisions(_cube(spark, sf_dir))
+    return both.select(*KEY, stats.compare(F.col("is_cloud"), F.col("is_cloud_partial")).alias("side"), stats.compare_visible(F.col("vis"), F.col("cls")).alias("versus_visible"))
 
 
 _SCORED = ("gross", "transparent", "opaque")
@@ -414,7 +422,7 @@ def dilate(spark, sf_dir):
 
 @query(f"WITH b AS ({_BOX}) SELECT t, lat_i, lon_i, round(median(x), 6) AS middle FROM b GROUP BY ALL")
 def median_filter(spark, sf_dir):
-    return neighbourhood.median_filter(_filled(spark, sf_dir), "x", "middle", p=PROFILE).withColumn("middle", F.round("middle", 6))
+    return neighbourhood.median_filter(_filled(spark, sf_dir), "x", "middle").select(*KEY, F.round("middle", 6).alias("middle"))
 
 
 def _otsu(by: str) -> str:
@@ -480,14 +488,17 @@ def sunrise_slots(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT CAST(t AS INTEGER) AS t, CAST(t * 6 // 120 AS INTEGER) AS layer, 1 + (t % 7) AS w FROM range(120) x(t)),
-s AS (SELECT layer, sum(w) AS w, count(*) AS size FROM w GROUP BY layer),
+WITH z AS (SELECT t, round(avg(cosz), 9) AS z FROM cube GROUP BY t),
+x AS (SELECT t, z, max(z) OVER (ORDER BY t ROWS BETWEEN 1000 PRECEDING AND 1000 FOLLOWING) AS top FROM z),
+w AS (SELECT t, CAST(t * 6 // 120 AS INTEGER) AS layer, CASE WHEN top > 0 THEN round(greatest(0.0, least(1.0, z / top)), 6) ELSE 0.0 END AS w FROM x),
+s AS (SELECT layer, round(sum(w), 4) AS w, count(*) AS size FROM w GROUP BY layer),
 n AS (SELECT layer, w, size, CAST(floor(30 * w / (SELECT sum(w) FROM s) + 1e-9) AS INTEGER) AS n FROM s),
 m AS (SELECT layer, least(size, n + CASE WHEN layer = (SELECT layer FROM n ORDER BY w DESC, layer LIMIT 1) THEN 30 - (SELECT sum(n) FROM n) ELSE 0 END) AS n FROM n),
 o AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY (t * 7919) % 10007, t) AS rank FROM w)
 SELECT t, layer FROM o JOIN m USING (layer) WHERE rank <= m.n""")
 def stratified_sample(spark, sf_dir):
-    return stats.stratified_slots(source.time_axis(spark, PROFILE), 1 + F.col("t") % 7, 0.25, 6, PROFILE.days * PROFILE.slots_per_day)
+    zenith = _cube(spark, sf_dir).groupBy("t").agg(F.round(F.avg("cosz"), 9).alias("z"))
+    return stats.stratified_slots(stats.sun_weights(zenith, "z"), F.col("w"), 0.25, 6, PROFILE.days * PROFILE.slots_per_day)
 
 
 # navigation ------------------------------------------------------------------------------------------------
@@ -616,3 +627,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return static_classifier(spark, sf_dir)
 
 
+from . import catalog_more  # noqa: E402, F401  (registers its queries)

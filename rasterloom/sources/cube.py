@@ -99,3 +99,34 @@ def load_cube(spark: SparkSession, sf_dir: str, p: Profile = Profile()) -> DataF
 def write_cube(cube: DataFrame, path: str) -> None:
     """Parquet by day, so that day ranges prune partitions."""
     cube.write.mode("overwrite").partitionBy("dfb").parquet(path)
+
+
+def read_cube(
+    spark: SparkSession, path: str, days: tuple[int, int] | None = None, lats: tuple[int, int] | None = None, lons: tuple[int, int] | None = None,
+    slot_step: int = 1, columns: list[str] | None = None,
+) -> DataFrame:
+    """A written cube (channels or classes): days and extents (both ends included) reach the scan, every slot_step-th slot stays."""
+    cube = spark.read.parquet(path)
+    for c, span in (("dfb", days), ("lat_i", lats), ("lon_i", lons)):
+        if span is not None:
+            cube = cube.filter(F.col(c).between(*span))
+    if slot_step > 1:
+        cube = cube.filter(F.col("slot") % slot_step == 0)
+    return cube.select(*columns) if columns else cube
+
+
+def in_range(df: DataFrame, columns: list[str], lo: float, hi: float) -> DataFrame:
+    """One row: for each column, are all its values within [lo, hi] (missing ones left out)?"""
+    return df.agg(*(F.coalesce(F.bool_and(F.col(c).between(lo, hi)), F.lit(True)).alias(c) for c in columns))
+
+
+def for_export(cube: DataFrame, p: Profile = Profile(), fill: float = -999.0) -> DataFrame:
+    """Latitudes from north to south, missing channels as `fill`."""
+    return cube.withColumn("lat_i", F.lit(p.n_lat - 1) - F.col("lat_i")).fillna(fill, list(CHANNELS))
+
+
+def nearest(lat: Column, lon: Column, p: Profile = Profile()) -> tuple[Column, Column]:
+    """(lat_i, lon_i) of the nearest cell, null outside the grid; longitudes modulo 360."""
+    i = F.floor((lat - p.lat0) / p.lat_step + 0.5).cast("int")
+    j = F.floor(F.pmod(lon - p.lon0, F.lit(360.0)) / p.lat_step + 0.5).cast("int")
+    return F.when(i.between(0, p.n_lat - 1), i), F.when(j.between(0, p.n_lon - 1), j)
