@@ -1,28 +1,26 @@
 """Repeated passages: a depth-limited radix sort of suffixes, most significant digit first.
 
 A byte goes if a string of `threshold` bytes that covers it starts anywhere
-else too.  Suffixes are told apart only through their first `threshold` bytes,
-in passes over ever longer digits; after each pass groups of one are dropped,
-and groups that are equal to the full depth are the repeated windows.
-
-Digits are taken around anchors: of each window's 64-byte grams the one with
-the smallest hash (the first among equals).  Equal windows have their anchor
-at the same offset, so an anchor stands for all windows it was chosen in.
-
-1. Anchors are grouped by their gram; an anchor seen once leaves, and with it
-   its windows.
-2. Anchors whose windows cover equal text are equal to full depth: all of
-   their windows are repeated.
-3. Where one gram has several such texts, one of each goes on, in blocks of 8
-   windows: the 192 bytes that all windows of a block share, then the 208 bytes
-   they cover together.  Blocks alone in the first are dropped, blocks equal in
-   the second are repeated.
-4. What is left are single windows, grouped by their 200 bytes.
-
-Keys are 64-bit hashes, and what decides equality to full depth is always a
-pair of them (128 bits).  Only hashes and positions are grouped, with partial
-aggregation or joins that Spark can split, so a passage in a third of all rows
-makes no hot task.  Texts are shuffled once, to bring them to their positions.
+else too.  Every suffix with at least `threshold` bytes left enters; suffixes
+are told apart only through those bytes, in two digits: the first `digit`
+bytes, then all `threshold` bytes.  After each pass groups of one leave, and
+the groups that are equal to the full depth are the repeated windows.
+
+A pass: tasks read chunks of texts (about `chunk_bytes`), take a fingerprint
+of the digit at every suffix still in, sort the fingerprints and deal them,
+packed, into buckets by their leading bits; a fingerprint that a chunk has
+more than once goes twice.  A bucket sorts what it gets, finds the
+fingerprints that occur again, and returns to each chunk those of its own.
+Only fingerprints travel; texts are written once, with their chunk's number,
+and never shuffled.  A passage in very many rows costs at most two entries a
+chunk, in one bucket for each of its positions.
+
+Fingerprints of the first digit have few bits (five more than the number of
+suffixes has): one taken for repeated by chance is found out by the second
+digit, whose fingerprint has 64 bits and the bits of the bucket, which come
+from an independent hash.  A chunk and bucket share one row, so rows grow
+with the square of the input over chunk and bucket size: both grow with the
+square root of the input from `chunk_bytes` on, up to `most_bytes`.
 
 Edge cases: null is the empty text; texts under `threshold` bytes lose nothing;
 a text of `threshold` bytes or more that occurs in two rows goes whole in both
@@ -34,208 +32,257 @@ rows.  Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+import zstandard as zstd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .storage import materialise
+from .storage import materialise, open_path
 
 _U = np.uint64
-_ONE, _TWO = B.Roller(51), B.Roller(52)
-STEP = 8
-_DIGEST = ("d1", "d2")
-
-
-def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
-    k = 1
-    while k * 2 <= width:
-        a, k = np.minimum(a[:-k], a[k:]), k * 2
-    return np.minimum(a[: -(width - k)], a[width - k :]) if k < width else a
-
-
-def anchors(buf: np.ndarray, off: np.ndarray, threshold: int, gram: int):
-    """(document, position, first window, last window, gram hash, hash of the windows' text) of every anchor."""
-    n = len(buf) - threshold + 1
-    none = np.zeros(0, np.int64)
-    if n <= 0:
-        return none, none, none, none, none.view(_U), none.view(_U)
-    prefix = _ONE.prefix(buf)
-    hashes = _ONE.windows(prefix, gram)
-    if len(hashes) < len(buf) - gram + 1:
-        hashes = np.append(hashes, _ONE.spans(prefix, np.array([len(buf) - gram]), np.array([len(buf)])))
-    order = (hashes & _U(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=_U)
-    low = _sliding_min(order, threshold - gram + 1)
-    inside = np.zeros(n + 1, dtype=np.int32)
-    count = np.maximum(np.diff(off) - threshold + 1, 0)
-    has = count > 0
-    np.add.at(inside, off[:-1][has], 1)
-    np.add.at(inside, off[:-1][has] + count[has], -1)
-    at = np.flatnonzero(np.cumsum(inside[:n]))
-    if not len(at):
-        return none, none, none, none, none.view(_U), none.view(_U)
-    low = low[at]
-    first = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
-    lo, hi = at[first], at[np.append(first[1:], len(at)) - 1]
-    pos = (low[first] & _U(0xFFFFFFFF)).astype(np.int64)
-    doc = np.searchsorted(off, pos, side="right") - 1
-    return doc, pos - off[doc], lo - off[doc], hi - off[doc], hashes[pos], _ONE.spans(prefix, lo, hi + threshold)
-
-
-def _anchor_rows(base: DataFrame, threshold: int, gram: int) -> DataFrame:
-    """d1, d2, gram (g), text of the windows (s), where: position, and how far before it the windows start."""
-
-    def run(batches):
-        for part in B.pieces(batches, "text"):
-            buf, off = B.text_buffer(part.column(2))
-            doc, pos, lo, hi, g, s = anchors(buf, off, threshold, gram)
-            take = pa.array(doc)
-            where = (pos << 16) | ((pos - lo) << 8) | (pos - hi)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(g.view(np.int64)), pa.array(s.view(np.int64)), pa.array(where)], names=["d1", "d2", "g", "s", "at"])
-
-    return base.select("d1", "d2", "text").mapInArrow(run, "d1 long, d2 long, g long, s long, at long")
+_ONE, _TWO, _SIDE = B.Roller(51), B.Roller(52), B.Roller(53)
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _repeated(rows: DataFrame, *key: str) -> DataFrame:
-    """The rows whose key occurs in several rows.
+def pack(values: np.ndarray) -> bytes:
+    """Sorted numbers as differences, lowest bytes first, compressed."""
+    steps = np.diff(values, prepend=values[:1] * _U(0))
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstd.ZstdCompressor(level=1).compress(planes.tobytes())
 
-    The keys are written first, so that the join deals both sides anew and
-    Spark can split a key that very many rows have.
-    """
-    often = materialise(rows.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "often", "fewer")
-    return rows.join(often, list(key), "left_semi")
 
+def unpack(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    planes = np.frombuffer(zstd.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(width, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :width] = planes.T
+    return np.cumsum(steps.reshape(-1).view(_U), dtype=_U)
 
-def _pass(rows: DataFrame, digit: str, depth: str) -> tuple[DataFrame, DataFrame]:
-    """One pass: (rows equal to another in digit and depth, one row of each depth that shares its digit with another).
 
-    `rows` have digits that occur more than once.
-    """
-    kinds = materialise(rows.groupBy(digit, depth).agg(F.count("*").alias("n"), F.min(F.struct("d1", "d2", "at")).alias("r")), "kinds", "fewer")
-    equal = rows.join(kinds.filter("n > 1").select(digit, depth), [digit, depth], "left_semi").select("d1", "d2", "at").distinct()
-    several = kinds.groupBy(digit).agg(F.count("*").alias("m")).filter("m > 1").select(digit)
-    return equal, kinds.join(several, digit, "left_semi").select("r.*", digit)
-
-
-def _blocks(texts: DataFrame, threshold: int) -> DataFrame:
-    """Blocks of STEP windows around anchors: d1, d2, shared text (g), covered text (s), at: first window and number."""
+def _chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """doc_id, text (never null) and the number of the chunk, whose rows follow one another."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
-        for batch in batches:
-            for part in B.pieces([batch], "text"):
-                buf, off = B.text_buffer(part.column(2))
-                lists = part.column(3)
-                count = np.diff(np.asarray(lists.offsets))
-                flat = lists.flatten()
-                where, g = (np.asarray(flat.field(k)) for k in ("at", "g"))
-                doc = np.repeat(np.arange(part.num_rows), count)
-                pos, far, near = where >> 16, (where >> 8) & 255, where & 255
-                i0, i1 = near // STEP, far // STEP
-                each = i1 - i0 + 1
-                row = np.repeat(np.arange(len(pos)), each)
-                i = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each) + i0[row]
-                o_lo, o_hi = np.maximum(near[row], i * STEP), np.minimum(far[row], i * STEP + STEP - 1)
-                p, start, end = (pos + off[doc])[row], off[doc][row], off[doc + 1][row]
-                prefix = _ONE.prefix(buf)
-                shared = _ONE.spans(prefix, p - i * STEP, p - i * STEP + threshold - STEP)
-                shared = B.mix(shared + g.view(_U)[row] * _U(0x9E3779B97F4A7C15) + i.astype(_U))
-                a, b = p - (i + 1) * STEP, p - i * STEP + threshold
-                whole = (a >= start) & (b <= end)
-                # text that ends too soon to be covered equals no other here: a value of its own
-                own = B.mix((p - start).astype(_U) + np.asarray(part.column(0)).view(_U)[doc[row]] + (i.astype(_U) << _U(56)))
-                covered = np.where(whole, _ONE.spans(prefix, np.where(whole, a, start), np.where(whole, b, start)), own)
-                first = (p - o_hi - start) << 8 | (o_hi - o_lo + 1)
-                take = pa.array(doc[row])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(shared.view(np.int64)), pa.array(covered.view(np.int64)), pa.array(first)], names=["d1", "d2", "g", "s", "at"])
-
-    return texts.select("d1", "d2", "text", "found").mapInArrow(run, "d1 long, d2 long, g long, s long, at long")
-
-
-def _windows(texts: DataFrame, threshold: int) -> DataFrame:
-    """The single windows of blocks: d1, d2, two hashes of the window, at: its start and 1."""
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        for part in B.pieces(batches, "text"):
+            size += B.text_buffer(part.column(1))[0].nbytes
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, chunk))], names=["doc_id", "text", "chunk"])
+            if size >= chunk_bytes:
+                chunk, size = chunk + 1, 0
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, text string, chunk long")
+
+
+def _by_chunk(batches) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(chunk, piece) for pieces of bounded bytes, each of one chunk."""
+    for part in B.pieces(batches, "text"):
+        chunk = np.asarray(part.column(part.schema.get_field_index("chunk")))
+        edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield int(chunk[a]), part.slice(a, b - a)
+
+
+def _starts(off: np.ndarray, threshold: int) -> np.ndarray:
+    """Positions of the suffixes with at least `threshold` bytes of their document left."""
+    inside = np.zeros(int(off[-1]), dtype=bool)
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        inside[a : max(a, b - threshold + 1)] = True
+    return np.flatnonzero(inside)
+
+
+class Repeated:
+    """The fingerprints that a pass has returned to each chunk, read from their table as chunks come by."""
+
+    def __init__(self, path: str):
+        self.path, self.chunk, self.values, self.screen = path, None, np.zeros(0, _U), np.zeros(1, bool)
+
+    def load(self, chunk: int) -> None:
+        if chunk == self.chunk:
+            return
+        where, name = open_path(f"{self.path}/chunk={chunk}")
+        files = [f.path for f in where.get_file_info(fs.FileSelector(name, allow_not_found=True)) if f.path.endswith(".parquet")]
+        packed = [x for f in files for x in pq.ParquetFile(where.open_input_file(f)).read(columns=["packed"]).column(0).to_pylist()]
+        self.values = np.sort(np.concatenate([unpack(x) for x in packed])) if packed else np.zeros(0, _U)
+        self.low = _U((1 << (len(self.values).bit_length() + 4)) - 1)
+        self.screen = np.zeros(int(self.low) + 1, bool)
+        self.screen[(self.values & self.low).astype(np.int64)] = True
+        self.chunk = chunk
+
+    def perhaps(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys were returned; a few more by chance."""
+        return self.screen[(keys & self.low).astype(np.int64)]
+
+    def exactly(self, keys: np.ndarray) -> np.ndarray:
+        """Indexes of the keys that were returned."""
+        at = np.flatnonzero(self.perhaps(keys))
+        if not len(at):
+            return at
+        order = np.argsort(keys[at])
+        own = keys[at][order]
+        where = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
+        hit = np.zeros(len(at), bool)
+        hit[order] = self.values[where] == own
+        return at[hit]
+
+
+class _Digits:
+    """Suffixes of a piece and their fingerprints, pass by pass."""
+
+    def __init__(self, threshold: int, digit: int, bits: int, bucket_bits: int):
+        self.threshold, self.digit, self.down, self.bucket_bits = threshold, digit, _U(64 - bits), bucket_bits
+        self.bits = bits
+
+    def first(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, fingerprints of the first digit)."""
+        at = _starts(off, self.threshold)
+        if not len(at):
+            return at, np.zeros(0, _U)
+        prefix = _ONE.prefix(buf)
+        return at, _ONE.windows(prefix, self.digit)[at] >> self.down
+
+    def second(self, buf: np.ndarray, off: np.ndarray, known: Repeated) -> tuple[np.ndarray, np.ndarray]:
+        """(positions whose first digit is repeated, fingerprints of the whole depth)."""
+        at, keys = self.first(buf, off)
+        at = at[known.perhaps(keys)] if len(at) else at
+        return at, _TWO.spans(_TWO.prefix(buf), at, at + self.threshold) if len(at) else np.zeros(0, _U)
+
+    def buckets(self, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Buckets of the second digit, by a hash of their own."""
+        return _SIDE.spans(_SIDE.prefix(buf), at, at + self.threshold) >> _U(64 - self.bucket_bits) if self.bucket_bits else np.zeros(len(at), _U)
+
+
+def _capped(values: np.ndarray) -> np.ndarray:
+    """Sorted values, each at most twice."""
+    keep = np.ones(len(values), bool)
+    keep[2:] = values[2:] != values[:-2]
+    return values[keep]
+
+
+def _dealt(base: DataFrame, digits: _Digits, held: int, known: str | None) -> DataFrame:
+    """One pass outward: bucket, chunk, packed fingerprints."""
+
+    def rows_of(chunk: int, parts: list) -> Iterator[pa.RecordBatch]:
+        keys = np.concatenate([k for k, _ in parts])
+        out = []
+        if known is None:  # the bucket is the fingerprint's leading bits
+            keys.sort()
+            keys = _capped(keys)
+            edges = np.searchsorted(keys, np.arange(1, 1 << digits.bucket_bits, dtype=_U) << _U(digits.bits - digits.bucket_bits))
+            out = list(enumerate(np.split(keys, edges)))
+        else:
+            bucket = np.concatenate([b for _, b in parts])
+            order = np.argsort(bucket.astype(np.uint32), kind="stable")
+            numbers, first = np.unique(bucket[order], return_index=True)
+            out = [(n, _capped(np.sort(k))) for n, k in zip(numbers.tolist(), np.split(keys[order], first[1:]), strict=True)]
+        out = [(n, pack(k)) for n, k in out if len(k)]
+        for lo in range(0, len(out), 256):
+            some = out[lo : lo + 256]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in some], pa.int32()), pa.array(np.full(len(some), chunk)), pa.array([p for _, p in some], pa.binary())], names=["bucket", "chunk", "packed"])
 
     def run(batches):
-        for batch in batches:
-            for part in B.pieces([batch], "text"):
-                buf, off = B.text_buffer(part.column(2))
-                lists = part.column(3)
-                where = np.asarray(lists.flatten().field("at"))
-                doc = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(lists.offsets)))
-                each = where & 255
-                row = np.repeat(np.arange(len(where)), each)
-                start = (where >> 8)[row] + np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
-                p = start + off[doc[row]]
-                one, two = (r.spans(r.prefix(buf), p, p + threshold) for r in (_ONE, _TWO))
-                take = pa.array(doc[row])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(start << 8 | 1)], names=["d1", "d2", "g", "s", "at"])
-
-    return texts.select("d1", "d2", "text", "found").mapInArrow(run, "d1 long, d2 long, g long, s long, at long")
-
-
-def _cut(texts: DataFrame, threshold: int) -> DataFrame:
-    """n_removed, n_spans, spans and digest of what is left, of each text with its repeated windows (w: first and number)."""
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        back = Repeated(known) if known else None
+        parts, now, size = [], None, 0
+        for chunk, part in _by_chunk(batches):
+            if parts and (chunk != now or size >= held):
+                yield from rows_of(now, parts)
+                parts, size = [], 0
+            now = chunk
+            buf, off = B.text_buffer(part.column(1))
+            if back:
+                back.load(chunk)
+                at, keys = digits.second(buf, off, back)
+                side = digits.buckets(buf, at)
+            else:
+                (_, keys), side = digits.first(buf, off), None
+            if len(keys):
+                parts.append((keys, side))
+                size += len(keys)
+        if parts:
+            yield from rows_of(now, parts)
+
+    return base.select("doc_id", "text", "chunk").mapInArrow(run, "bucket int, chunk long, packed binary")
+
+
+def _returned(dealt: DataFrame, name: str, tasks: int) -> str:
+    """One pass back: the path of a table, by chunk, of the fingerprints that occur again in their bucket."""
+
+    def group(rows: pa.Table) -> pa.Table:
+        each = [unpack(x) for x in rows.column("packed").to_pylist()]
+        every = np.sort(np.concatenate(each))
+        again = every[1:][every[1:] == every[:-1]]
+        again = again[np.append(True, again[1:] != again[:-1])] if len(again) else again
+        chunks, packed = [], []
+        for chunk, keys in zip(rows.column("chunk").to_pylist(), each, strict=True):
+            keys = keys[np.append(True, keys[1:] != keys[:-1])]
+            if len(again):
+                where = np.minimum(np.searchsorted(again, keys), len(again) - 1)
+                keys = keys[again[where] == keys]
+                if len(keys):
+                    chunks.append(chunk)
+                    packed.append(pack(keys))
+        return pa.table({"chunk": pa.array(chunks, pa.int64()), "packed": pa.array(packed, pa.binary())})
+
+    found = dealt.groupBy("bucket").applyInArrow(group, "chunk long, packed binary")
+    return materialise(found.repartition(tasks, "chunk"), name, by="chunk")._rl_path
+
+
+def _cut(base: DataFrame, digits: _Digits, first: str | None, whole: str | None) -> DataFrame:
+    threshold = digits.threshold
 
     def run(batches):
-        for part in B.pieces(batches, "text"):
-            out = []
-            for text, w in zip(B.byte_rows(part.column(2)), part.column(3).to_pylist(), strict=True):
-                w = np.sort(np.array(w, dtype=np.int64))
-                lo, hi = w >> 8, (w >> 8) + (w & 255) - 1 + threshold
-                hi = np.maximum.accumulate(hi)
-                new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
-                a, b = lo[new], hi[np.append(new[1:], len(lo)) - 1]
-                ends = [0, *b.tolist()]
-                rest = b"".join(text[x:y] for x, y in zip(ends, [*a.tolist(), len(text)], strict=True))
-                out.append((int((b - a).sum()), len(a), [{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)], hashlib.sha256(rest).hexdigest()))
-            n, k, spans, sha = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(k), pa.array(spans, span_type), pa.array(sha)], names=["d1", "d2", "n_removed", "n_spans", "spans", "kept_sha256"])
-
-    return texts.select("d1", "d2", "text", "w").mapInArrow(run, "d1 long, d2 long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string")
-
-
-def repeated_passages(docs: DataFrame, threshold: int = 200, gram: int = 64) -> DataFrame:
+        known = (Repeated(first), Repeated(whole)) if first else None
+        for chunk, part in _by_chunk(batches):
+            buf, off = B.text_buffer(part.column(1))
+            at = np.zeros(0, np.int64)
+            if known:
+                for k in known:
+                    k.load(chunk)
+                at, keys = digits.second(buf, off, known[0])
+                at = at[known[1].exactly(keys)]
+            # runs of removed bytes; none goes on into the next document
+            doc = np.searchsorted(off, at, side="right") - 1
+            new = np.flatnonzero(np.concatenate([[True], (at[1:] > at[:-1] + threshold) | (doc[1:] != doc[:-1])])) if len(at) else at
+            lo, hi = at[new], (at[np.append(new[1:], len(at)) - 1] + threshold) if len(at) else at
+            owner = doc[new] if len(at) else doc
+            bounds = np.searchsorted(owner, np.arange(part.num_rows + 1))
+            raw, out = buf.tobytes(), []
+            for d, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+                x, y = lo[bounds[d] : bounds[d + 1]].tolist(), hi[bounds[d] : bounds[d + 1]].tolist()
+                rest = b"".join(raw[s:e] for s, e in zip([a, *y], [*x, b], strict=True))
+                out.append((b - a, b - a - len(rest), len(x), [{"start": s - a, "end": e - a} for s, e in zip(x, y, strict=True)], hashlib.sha256(rest).hexdigest()))
+            n, gone, k, spans, sha = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(k, pa.int64()), pa.array(spans, _SPANS), pa.array(sha)],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"],
+            )
+
+    key = base.schema["doc_id"].dataType.simpleString()
+    return base.select("doc_id", "text", "chunk").mapInArrow(run, f"doc_id {key}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string")
+
+
+def repeated_passages(docs: DataFrame, threshold: int = 200, digit: int = 100, chunk_bytes: int = 8 << 20, most_bytes: int = 256 << 20) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, spans (bytes, end exclusive), kept_sha256."""
-    if not gram + STEP <= threshold <= gram + 255:
-        raise ValueError("threshold must lie between gram + 8 and gram + 255")
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"), F.octet_length(text).cast("long").alias("n_bytes"))
-    copies = materialise(base.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one")), "copies", "fewer")
-
-    found = materialise(_repeated(_anchor_rows(base, threshold, gram), "g"), "anchors", "fewer")
-    equal, open_ = _pass(found, "g", "s")
-    # anchors' windows in the form of blocks': first window and number
-    far, near = F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
-    windows = equal.select("d1", "d2", F.shiftleft(F.shiftright("at", 16) - far, 8).bitwiseOR(far - near + 1).alias("at"))
-
-    # each text with its open anchors and its repeated windows, once; whole copies of another need no text for what is left
-    open_ = open_.groupBy("d1", "d2").agg(F.collect_list(F.struct("at", "g")).alias("found"))
-    windows = windows.join(copies.filter("copies = 1"), list(_DIGEST), "left_semi").groupBy("d1", "d2").agg(F.collect_list("at").alias("w"))
-    wanted = open_.join(windows, list(_DIGEST), "full").join(copies, list(_DIGEST)).select(F.col("d1").alias("w1"), F.col("d2").alias("w2"), "one", "copies", "found", "w")
-    same = (F.col("d1") == F.col("w1")) & (F.col("d2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("one"))
-    texts = materialise(base.join(wanted.hint("shuffle_hash"), same).select("d1", "d2", "copies", "text", "found", "w"), "texts", "fewer")
-
-    blocks = materialise(_repeated(_blocks(texts.filter("found is not null"), threshold), "g"), "blocks", "fewer")
-    equal, open_ = _pass(blocks, "g", "s")
-    open_ = open_.groupBy("d1", "d2").agg(F.collect_list(F.struct("at")).alias("found"))
-    singles = _windows(texts.select("d1", "d2", "text").dropDuplicates(["d1", "d2"]).join(open_, list(_DIGEST)), threshold)
-    singles = _repeated(materialise(singles, "windows", "fewer"), "g", "s").select("d1", "d2", "at")
-
-    more = equal.union(singles).groupBy("d1", "d2").agg(F.collect_list("at").alias("more"))
-    both = F.concat(F.coalesce("w", F.array().cast("array<long>")), F.coalesce("more", F.array().cast("array<long>")))
-    whole = texts.filter("copies = 1").join(more, list(_DIGEST), "left").select("d1", "d2", "text", both.alias("w")).filter(F.size("w") > 0)
-    cut = _cut(whole, threshold)
-
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= threshold)
-    rows = base.select("doc_id", "d1", "d2", "n_bytes", F.sha2("text", 256).alias("sha"))
-    rows = rows.join(copies.select("d1", "d2", "copies"), list(_DIGEST)).join(cut, list(_DIGEST), "left")
-    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
-    return rows.select(
-        "doc_id", "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, all_of_it).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("spans"),
-        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-    )
+    if not 0 < digit <= threshold:
+        raise ValueError("the first digit lies within the threshold")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunk_bytes = min(max(chunk_bytes, int((total * 2048) ** 0.5)), most_bytes)
+    base = materialise(_chunked(docs, chunk_bytes), "passage-chunks", compression="zstd")
+    suffixes = base.agg(F.sum(F.greatest(F.octet_length("text") - (threshold - 1), F.lit(0)).cast("long")), F.count_distinct("chunk")).first()
+    if not suffixes[0]:
+        return _cut(base, _Digits(threshold, digit, 24, 0), None, None)
+    bucket_bits = max(0, (int(suffixes[0]) // (chunk_bytes // 2)).bit_length())
+    bits = min(56, max(24, int(suffixes[0]).bit_length() + 5))
+    digits = _Digits(threshold, digit, bits, bucket_bits)
+    tasks = max(1, min(int(suffixes[1]), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    first = _returned(_dealt(base, digits, 2 * chunk_bytes, None), "first-digit", tasks)
+    whole = _returned(_dealt(base, digits, 2 * chunk_bytes, first), "whole-depth", tasks)
+    return _cut(base, digits, first, whole)

@@ -62,7 +62,7 @@ def drop(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t._rl_path)
 
 
-def materialise(df: DataFrame, name: str, files: str = "as is", schema: StructType | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, files: str = "as is", schema: StructType | None = None, by: str | None = None, compression: str = "snappy") -> DataFrame:
     """Write once to the shared folder and read back: lineage ends there.
 
     A lost executor costs a reread, not a recomputation, and several consumers
@@ -71,13 +71,14 @@ def materialise(df: DataFrame, name: str, files: str = "as is", schema: StructTy
     of bounded size, "fewer" for aggregates (a quarter of the shuffle's
     partitions; never above a join or a Python stage, whose split partitions
     it would merge again), else what Spark's own sizing gives.  `schema` is
-    what to read it as, if not as it was.
+    what to read it as, if not as it was; `by` a column to make folders by.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     if files != "as is":
         df = df.coalesce(8 if files == "few" else max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
-    df.write.parquet(path)
+    writer = df.write.option("compression", compression)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(schema or df.schema).parquet(path)
     out._rl_path = path
     return out
