@@ -17,8 +17,10 @@ chunk, in one bucket for each of its positions.
 
 Fingerprints of the first digit have few bits (five more than the number of
 suffixes has): one taken for repeated by chance is found out by the second
-digit, whose fingerprint has 64 bits and the bits of the bucket, which come
-from an independent hash.  A chunk and bucket share one row, so rows grow
+digit, whose fingerprint has, with the bits of its bucket from an independent
+hash, twice as many bits as the number of suffixes and one more: candidates
+that are not repeated, a few hundredths of the suffixes, then meet an equal
+fingerprint by chance in one of some hundred runs.  A chunk and bucket share one row, so rows grow
 with the square of the input over chunk and bucket size: both grow with the
 square root of the input from `chunk_bytes` on, up to `most_bytes`.
 
@@ -140,6 +142,7 @@ class _Digits:
     def __init__(self, threshold: int, digit: int, bits: int, bucket_bits: int):
         self.threshold, self.digit, self.down, self.bucket_bits = threshold, digit, _U(64 - bits), bucket_bits
         self.bits = bits
+        self.down_whole = _U(64 - min(64, 2 * (bits - 5) + 1 - bucket_bits))
 
     def first(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, fingerprints of the first digit)."""
@@ -153,7 +156,7 @@ class _Digits:
         """(positions whose first digit is repeated, fingerprints of the whole depth)."""
         at, keys = self.first(buf, off)
         at = at[known.perhaps(keys)] if len(at) else at
-        return at, _TWO.spans(_TWO.prefix(buf), at, at + self.threshold) if len(at) else np.zeros(0, _U)
+        return at, _TWO.spans(_TWO.prefix(buf), at, at + self.threshold) >> self.down_whole if len(at) else np.zeros(0, _U)
 
     def buckets(self, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Buckets of the second digit, by a hash of their own."""

@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; where none is named, a temporary one if all runs on this machine (tests), else an error."""
     sc = spark.sparkContext
@@ -78,7 +81,12 @@ def materialise(df: DataFrame, name: str, files: str = "as is", schema: StructTy
     if files != "as is":
         df = df.coalesce(8 if files == "few" else max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
     writer = df.write.option("compression", compression)
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # the written table replaces the shuffle files: don't keep both
+    try:
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(schema or df.schema).parquet(path)
     out._rl_path = path
     return out
