@@ -10,19 +10,19 @@ A pass: tasks read chunks of texts (about `chunk_bytes`), take a fingerprint
 of the digit at every suffix still in, sort the fingerprints and deal them,
 packed, into buckets by their leading bits; a fingerprint that a chunk has
 more than once goes twice.  A bucket sorts what it gets, finds the
-fingerprints that occur again, and returns to each chunk those of its own.
-Only fingerprints travel; texts are written once, with their chunk's number,
-and never shuffled.  A passage in very many rows costs at most two entries a
-chunk, in one bucket for each of its positions.
+fingerprints that occur again, and returns to each chunk which of its own do
+(after the first digit, where most leave) or do not (after the whole depth,
+where most stay).  Only fingerprints travel; texts are written once, with
+their chunk's number, and never shuffled.  A passage in very many rows costs
+at most two entries a chunk, in one bucket for each of its positions.
 
 Fingerprints of the first digit have few bits (five more than the number of
-suffixes has): one taken for repeated by chance is found out by the second
-digit, whose fingerprint has, with the bits of its bucket from an independent
-hash, twice as many bits as the number of suffixes and one more: candidates
-that are not repeated, a few hundredths of the suffixes, then meet an equal
-fingerprint by chance in one of some hundred runs.  A chunk and bucket share one row, so rows grow
-with the square of the input over chunk and bucket size: both grow with the
-square root of the input from `chunk_bytes` on, up to `most_bytes`.
+suffixes has): one taken for repeated by chance is found out by the whole
+depth, whose fingerprint has twice as many bits as the number of suffixes and
+one more.  Where that is more than 64, the whole depth is passed twice, with
+independent hashes.  A chunk and a bucket share one row, so rows grow with the
+square of the input over chunk and bucket size: both grow with the square root
+of the input from `chunk_bytes` on, up to `most_bytes`.
 
 Edge cases: null is the empty text; texts under `threshold` bytes lose nothing;
 a text of `threshold` bytes or more that occurs in two rows goes whole in both
@@ -49,7 +49,7 @@ from . import bytesops as B
 from .storage import materialise, open_path
 
 _U = np.uint64
-_ONE, _TWO, _SIDE = B.Roller(51), B.Roller(52), B.Roller(53)
+_ONE, _WHOLE = B.Roller(51), (B.Roller(52), B.Roller(53))
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -101,11 +101,11 @@ def _starts(off: np.ndarray, threshold: int) -> np.ndarray:
     return np.flatnonzero(inside)
 
 
-class Repeated:
+class Returned:
     """The fingerprints that a pass has returned to each chunk, read from their table as chunks come by."""
 
     def __init__(self, path: str):
-        self.path, self.chunk, self.values, self.screen = path, None, np.zeros(0, _U), np.zeros(1, bool)
+        self.path, self.chunk = path, None
 
     def load(self, chunk: int) -> None:
         if chunk == self.chunk:
@@ -123,44 +123,40 @@ class Repeated:
         """Which keys were returned; a few more by chance."""
         return self.screen[(keys & self.low).astype(np.int64)]
 
-    def exactly(self, keys: np.ndarray) -> np.ndarray:
-        """Indexes of the keys that were returned."""
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys were not returned."""
+        out = np.ones(len(keys), bool)
         at = np.flatnonzero(self.perhaps(keys))
-        if not len(at):
-            return at
-        order = np.argsort(keys[at])
-        own = keys[at][order]
-        where = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
-        hit = np.zeros(len(at), bool)
-        hit[order] = self.values[where] == own
-        return at[hit]
+        if len(at):
+            where = np.minimum(np.searchsorted(self.values, keys[at]), len(self.values) - 1)
+            out[at] = self.values[where] != keys[at]
+        return out
 
 
 class _Digits:
-    """Suffixes of a piece and their fingerprints, pass by pass."""
-
-    def __init__(self, threshold: int, digit: int, bits: int, bucket_bits: int):
-        self.threshold, self.digit, self.down, self.bucket_bits = threshold, digit, _U(64 - bits), bucket_bits
-        self.bits = bits
-        self.down_whole = _U(64 - min(64, 2 * (bits - 5) + 1 - bucket_bits))
-
-    def first(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, fingerprints of the first digit)."""
-        at = _starts(off, self.threshold)
-        if not len(at):
-            return at, np.zeros(0, _U)
-        prefix = _ONE.prefix(buf)
-        return at, _ONE.windows(prefix, self.digit)[at] >> self.down
-
-    def second(self, buf: np.ndarray, off: np.ndarray, known: Repeated) -> tuple[np.ndarray, np.ndarray]:
-        """(positions whose first digit is repeated, fingerprints of the whole depth)."""
-        at, keys = self.first(buf, off)
-        at = at[known.perhaps(keys)] if len(at) else at
-        return at, _TWO.spans(_TWO.prefix(buf), at, at + self.threshold) >> self.down_whole if len(at) else np.zeros(0, _U)
-
-    def buckets(self, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Buckets of the second digit, by a hash of their own."""
-        return _SIDE.spans(_SIDE.prefix(buf), at, at + self.threshold) >> _U(64 - self.bucket_bits) if self.bucket_bits else np.zeros(len(at), _U)
+    """Suffixes of a piece that are still in, and their fingerprints for the next pass."""
+
+    def __init__(self, threshold: int, digit: int, suffixes: int, bucket_bits: int):
+        size = suffixes.bit_length()
+        self.threshold, self.digit, self.bucket_bits = threshold, digit, bucket_bits
+        self.bits = [min(64, max(24, size + 5, bucket_bits)), min(64, max(24, 2 * size + 1))]
+        if 2 * size + 1 > 64:
+            self.bits.append(64)
+
+    def alive(self, buf: np.ndarray, off: np.ndarray, known: list[Returned]) -> tuple[np.ndarray, np.ndarray]:
+        """(positions that the passes in `known` left in, their fingerprints for the pass after these; none after the last)."""
+        at, keys = _starts(off, self.threshold), np.zeros(0, _U)
+        for k in range(len(known) + 1):
+            if not len(at) or k == len(self.bits):
+                return at, np.zeros(0, _U)
+            if k == 0:
+                keys = _ONE.windows(_ONE.prefix(buf), self.digit)[at]
+            else:
+                keys = _WHOLE[k - 1].spans(_WHOLE[k - 1].prefix(buf), at, at + self.threshold)
+            keys >>= _U(64 - self.bits[k])
+            if k < len(known):
+                at = at[known[k].missing(keys) if k else known[k].perhaps(keys)]
+        return at, keys
 
 
 def _capped(values: np.ndarray) -> np.ndarray:
@@ -170,44 +166,33 @@ def _capped(values: np.ndarray) -> np.ndarray:
     return values[keep]
 
 
-def _dealt(base: DataFrame, digits: _Digits, held: int, known: str | None) -> DataFrame:
-    """One pass outward: bucket, chunk, packed fingerprints."""
+def _dealt(base: DataFrame, digits: _Digits, held: int, paths: list[str]) -> DataFrame:
+    """The pass after those whose returns lie in `paths`, outward: bucket, chunk, packed fingerprints."""
+    down = digits.bits[len(paths)] - digits.bucket_bits
 
     def rows_of(chunk: int, parts: list) -> Iterator[pa.RecordBatch]:
-        keys = np.concatenate([k for k, _ in parts])
-        out = []
-        if known is None:  # the bucket is the fingerprint's leading bits
-            keys.sort()
-            keys = _capped(keys)
-            edges = np.searchsorted(keys, np.arange(1, 1 << digits.bucket_bits, dtype=_U) << _U(digits.bits - digits.bucket_bits))
-            out = list(enumerate(np.split(keys, edges)))
-        else:
-            bucket = np.concatenate([b for _, b in parts])
-            order = np.argsort(bucket.astype(np.uint32), kind="stable")
-            numbers, first = np.unique(bucket[order], return_index=True)
-            out = [(n, _capped(np.sort(k))) for n, k in zip(numbers.tolist(), np.split(keys[order], first[1:]), strict=True)]
-        out = [(n, pack(k)) for n, k in out if len(k)]
+        keys = np.concatenate(parts)
+        keys.sort()
+        keys = _capped(keys)
+        edges = np.searchsorted(keys, np.arange(1, 1 << digits.bucket_bits, dtype=_U) << _U(down))
+        out = [(n, pack(k)) for n, k in enumerate(np.split(keys, edges)) if len(k)]
         for lo in range(0, len(out), 256):
             some = out[lo : lo + 256]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in some], pa.int32()), pa.array(np.full(len(some), chunk)), pa.array([p for _, p in some], pa.binary())], names=["bucket", "chunk", "packed"])
 
     def run(batches):
-        back = Repeated(known) if known else None
+        known = [Returned(p) for p in paths]
         parts, now, size = [], None, 0
         for chunk, part in _by_chunk(batches):
             if parts and (chunk != now or size >= held):
                 yield from rows_of(now, parts)
                 parts, size = [], 0
             now = chunk
-            buf, off = B.text_buffer(part.column(1))
-            if back:
-                back.load(chunk)
-                at, keys = digits.second(buf, off, back)
-                side = digits.buckets(buf, at)
-            else:
-                (_, keys), side = digits.first(buf, off), None
+            for k in known:
+                k.load(chunk)
+            _, keys = digits.alive(*B.text_buffer(part.column(1)), known)
             if len(keys):
-                parts.append((keys, side))
+                parts.append(keys)
                 size += len(keys)
         if parts:
             yield from rows_of(now, parts)
@@ -215,42 +200,38 @@ def _dealt(base: DataFrame, digits: _Digits, held: int, known: str | None) -> Da
     return base.select("doc_id", "text", "chunk").mapInArrow(run, "bucket int, chunk long, packed binary")
 
 
-def _returned(dealt: DataFrame, name: str, tasks: int) -> str:
-    """One pass back: the path of a table, by chunk, of the fingerprints that occur again in their bucket."""
+def _returned(dealt: DataFrame, name: str, tasks: int, again: bool) -> str:
+    """One pass back: the path of a table, by chunk, of the fingerprints that occur again in their bucket (or those that do not)."""
 
     def group(rows: pa.Table) -> pa.Table:
         each = [unpack(x) for x in rows.column("packed").to_pylist()]
         every = np.sort(np.concatenate(each))
-        again = every[1:][every[1:] == every[:-1]]
-        again = again[np.append(True, again[1:] != again[:-1])] if len(again) else again
+        twice = every[1:][every[1:] == every[:-1]]
+        twice = twice[np.append(True, twice[1:] != twice[:-1])] if len(twice) else twice
         chunks, packed = [], []
         for chunk, keys in zip(rows.column("chunk").to_pylist(), each, strict=True):
             keys = keys[np.append(True, keys[1:] != keys[:-1])]
-            if len(again):
-                where = np.minimum(np.searchsorted(again, keys), len(again) - 1)
-                keys = keys[again[where] == keys]
-                if len(keys):
-                    chunks.append(chunk)
-                    packed.append(pack(keys))
+            hit = twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys if len(twice) else np.zeros(len(keys), bool)
+            keys = keys[hit == again]
+            if len(keys):
+                chunks.append(chunk)
+                packed.append(pack(keys))
         return pa.table({"chunk": pa.array(chunks, pa.int64()), "packed": pa.array(packed, pa.binary())})
 
     found = dealt.groupBy("bucket").applyInArrow(group, "chunk long, packed binary")
     return materialise(found.repartition(tasks, "chunk"), name, by="chunk")._rl_path
 
 
-def _cut(base: DataFrame, digits: _Digits, first: str | None, whole: str | None) -> DataFrame:
+def _cut(base: DataFrame, digits: _Digits, paths: list[str]) -> DataFrame:
     threshold = digits.threshold
 
     def run(batches):
-        known = (Repeated(first), Repeated(whole)) if first else None
+        known = [Returned(p) for p in paths]
         for chunk, part in _by_chunk(batches):
             buf, off = B.text_buffer(part.column(1))
-            at = np.zeros(0, np.int64)
-            if known:
-                for k in known:
-                    k.load(chunk)
-                at, keys = digits.second(buf, off, known[0])
-                at = at[known[1].exactly(keys)]
+            for k in known:
+                k.load(chunk)
+            at, _ = digits.alive(buf, off, known) if known else (np.zeros(0, np.int64), None)
             # runs of removed bytes; none goes on into the next document
             doc = np.searchsorted(off, at, side="right") - 1
             new = np.flatnonzero(np.concatenate([[True], (at[1:] > at[:-1] + threshold) | (doc[1:] != doc[:-1])])) if len(at) else at
@@ -280,12 +261,9 @@ def repeated_passages(docs: DataFrame, threshold: int = 200, digit: int = 100, c
     chunk_bytes = min(max(chunk_bytes, int((total * 2048) ** 0.5)), most_bytes)
     base = materialise(_chunked(docs, chunk_bytes), "passage-chunks", compression="zstd")
     suffixes = base.agg(F.sum(F.greatest(F.octet_length("text") - (threshold - 1), F.lit(0)).cast("long")), F.count_distinct("chunk")).first()
-    if not suffixes[0]:
-        return _cut(base, _Digits(threshold, digit, 24, 0), None, None)
-    bucket_bits = max(0, (int(suffixes[0]) // (chunk_bytes // 2)).bit_length())
-    bits = min(56, max(24, int(suffixes[0]).bit_length() + 5))
-    digits = _Digits(threshold, digit, bits, bucket_bits)
+    bucket_bits = max(0, (int(suffixes[0] or 0) // (chunk_bytes // 2)).bit_length())
+    digits, paths = _Digits(threshold, digit, int(suffixes[0] or 0), bucket_bits), []
     tasks = max(1, min(int(suffixes[1]), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    first = _returned(_dealt(base, digits, 2 * chunk_bytes, None), "first-digit", tasks)
-    whole = _returned(_dealt(base, digits, 2 * chunk_bytes, first), "whole-depth", tasks)
-    return _cut(base, digits, first, whole)
+    for k in range(len(digits.bits) if suffixes[0] else 0):
+        paths.append(_returned(_dealt(base, digits, 2 * chunk_bytes, paths), f"digit-{k}", tasks, again=k == 0))
+    return _cut(base, digits, paths)

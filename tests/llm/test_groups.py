@@ -93,7 +93,7 @@ def _plain_cut(rows, size):
     return sorted(out, key=str)
 
 
-def test_repeated_passages(spark):
+def test_repeated_passages(spark, monkeypatch):
     rng = random.Random(9)
     text = lambda n: "".join(rng.choice("abcdefgh é\n") for _ in range(n))
     p, q = text(450), text(199)
@@ -109,6 +109,25 @@ def test_repeated_passages(spark):
     assert repeats.repeated_passages(docs.limit(0)).count() == 0
     small = repeats.repeated_passages(docs.repartition(3), threshold=90, digit=30, chunk_bytes=700, most_bytes=900).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert sorted((tuple(r) for r in small.collect()), key=str) == _plain_cut(rows, 90)
+    plan = repeats._Digits
+    assert plan(200, 100, 1 << 29, 8).bits == [35, 61] and plan(200, 100, 1 << 40, 18).bits == [46, 64, 64]
+    class Wide(plan):  # a third pass, as for very many suffixes
+        def __init__(self, *a):
+            super().__init__(*a)
+            self.bits.append(64)
+
+    monkeypatch.setattr(repeats, "_Digits", Wide)
+    thrice = repeats.repeated_passages(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted((tuple(r) for r in thrice.collect()), key=str) == _plain_cut(rows, 200)
+
+
+def test_packed_numbers():
+    rng = random.Random(1)
+    import numpy as np
+
+    for values in ([0], [5, 5, 5], sorted(rng.getrandbits(64) for _ in range(999)), [2**64 - 1], [0, 2**63, 2**64 - 1]):
+        a = np.array(values, dtype=np.uint64)
+        assert (repeats.unpack(repeats.pack(a)) == a).all()
 
 
 def test_url_parts_rules_and_sql(spark):
