@@ -14,7 +14,10 @@ fingerprints that occur again, and returns to each chunk which of its own do
 (after the first digit, where most leave) or do not (after the whole depth,
 where most stay).  Only fingerprints travel; texts are written once, with
 their chunk's number, and never shuffled.  A passage in very many rows costs
-at most two entries a chunk, in one bucket for each of its positions.
+at most two entries a chunk, in one bucket for each of its positions.  A pass
+over a large input runs in four rounds (2 to the power of `most_part_bits`),
+each for its share of the leading bits: texts are hashed again in each, but
+only one round's fingerprints lie on disk.
 
 Fingerprints of the first digit have few bits (five more than the number of
 suffixes has): one taken for repeated by chance is found out by the whole
@@ -102,17 +105,19 @@ def _starts(off: np.ndarray, threshold: int) -> np.ndarray:
 
 
 class Returned:
-    """The fingerprints that a pass has returned to each chunk, read from their table as chunks come by."""
+    """The fingerprints that a pass has returned to each chunk, read from their tables (one a round) as chunks come by."""
 
-    def __init__(self, path: str):
-        self.path, self.chunk = path, None
+    def __init__(self, paths: list[str]):
+        self.paths, self.chunk = paths, None
 
     def load(self, chunk: int) -> None:
         if chunk == self.chunk:
             return
-        where, name = open_path(f"{self.path}/chunk={chunk}")
-        files = [f.path for f in where.get_file_info(fs.FileSelector(name, allow_not_found=True)) if f.path.endswith(".parquet")]
-        packed = [x for f in files for x in pq.ParquetFile(where.open_input_file(f)).read(columns=["packed"]).column(0).to_pylist()]
+        packed = []
+        for path in self.paths:
+            where, name = open_path(f"{path}/chunk={chunk}")
+            files = [f.path for f in where.get_file_info(fs.FileSelector(name, allow_not_found=True)) if f.path.endswith(".parquet")]
+            packed += [x for f in files for x in pq.ParquetFile(where.open_input_file(f)).read(columns=["packed"]).column(0).to_pylist()]
         self.values = np.sort(np.concatenate([unpack(x) for x in packed])) if packed else np.zeros(0, _U)
         self.low = _U((1 << (len(self.values).bit_length() + 4)) - 1)
         self.screen = np.zeros(int(self.low) + 1, bool)
@@ -166,9 +171,10 @@ def _capped(values: np.ndarray) -> np.ndarray:
     return values[keep]
 
 
-def _dealt(base: DataFrame, digits: _Digits, held: int, paths: list[str]) -> DataFrame:
-    """The pass after those whose returns lie in `paths`, outward: bucket, chunk, packed fingerprints."""
+def _dealt(base: DataFrame, digits: _Digits, held: int, paths: list[list[str]], part_bits: int, part_no: int) -> DataFrame:
+    """The pass after those whose returns lie in `paths`, outward: bucket, chunk, packed fingerprints whose leading bits are `part_no`."""
     down = digits.bits[len(paths)] - digits.bucket_bits
+    leading = _U(digits.bits[len(paths)] - part_bits)
 
     def rows_of(chunk: int, parts: list) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate(parts)
@@ -191,6 +197,8 @@ def _dealt(base: DataFrame, digits: _Digits, held: int, paths: list[str]) -> Dat
             for k in known:
                 k.load(chunk)
             _, keys = digits.alive(*B.text_buffer(part.column(1)), known)
+            if part_bits:
+                keys = keys[keys >> leading == _U(part_no)]
             if len(keys):
                 parts.append(keys)
                 size += len(keys)
@@ -222,7 +230,7 @@ def _returned(dealt: DataFrame, name: str, tasks: int, again: bool) -> str:
     return materialise(found.repartition(tasks, "chunk"), name, by="chunk")._rl_path
 
 
-def _cut(base: DataFrame, digits: _Digits, paths: list[str]) -> DataFrame:
+def _cut(base: DataFrame, digits: _Digits, paths: list[list[str]]) -> DataFrame:
     threshold = digits.threshold
 
     def run(batches):
@@ -253,7 +261,7 @@ def _cut(base: DataFrame, digits: _Digits, paths: list[str]) -> DataFrame:
     return base.select("doc_id", "text", "chunk").mapInArrow(run, f"doc_id {key}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string")
 
 
-def repeated_passages(docs: DataFrame, threshold: int = 200, digit: int = 100, chunk_bytes: int = 8 << 20, most_bytes: int = 256 << 20) -> DataFrame:
+def repeated_passages(docs: DataFrame, threshold: int = 200, digit: int = 100, chunk_bytes: int = 8 << 20, most_bytes: int = 256 << 20, most_part_bits: int = 2) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, spans (bytes, end exclusive), kept_sha256."""
     if not 0 < digit <= threshold:
         raise ValueError("the first digit lies within the threshold")
@@ -264,6 +272,8 @@ def repeated_passages(docs: DataFrame, threshold: int = 200, digit: int = 100, c
     bucket_bits = max(0, (int(suffixes[0] or 0) // (chunk_bytes // 2)).bit_length())
     digits, paths = _Digits(threshold, digit, int(suffixes[0] or 0), bucket_bits), []
     tasks = max(1, min(int(suffixes[1]), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    part_bits = min(most_part_bits, max(0, bucket_bits - 3))
     for k in range(len(digits.bits) if suffixes[0] else 0):
-        paths.append(_returned(_dealt(base, digits, 2 * chunk_bytes, paths), f"digit-{k}", tasks, again=k == 0))
+        rounds = (_dealt(base, digits, 2 * chunk_bytes, paths, part_bits, i) for i in range(1 << part_bits))
+        paths.append([_returned(dealt, f"digit-{k}", tasks, again=k == 0) for dealt in rounds])
     return _cut(base, digits, paths)

@@ -107,7 +107,7 @@ def test_repeated_passages(spark, monkeypatch):
     assert sorted((tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str) == _plain_cut(rows, 200)
     assert got.filter("n_removed <> coalesce(aggregate(spans, 0L, (s, x) -> s + x.end - x.start), 0)").count() == 0
     assert repeats.repeated_passages(docs.limit(0)).count() == 0
-    small = repeats.repeated_passages(docs.repartition(3), threshold=90, digit=30, chunk_bytes=700, most_bytes=900).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    small = repeats.repeated_passages(docs.repartition(3), threshold=90, digit=30, chunk_bytes=70, most_bytes=90).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert sorted((tuple(r) for r in small.collect()), key=str) == _plain_cut(rows, 90)
     plan = repeats._Digits
     assert plan(200, 100, 1 << 29, 8).bits == [35, 61] and plan(200, 100, 1 << 40, 18).bits == [46, 64, 64]
