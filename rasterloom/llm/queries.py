@@ -118,4 +118,33 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": urlfilter.oracle(), "op5_warc": _OP5, "op6_decontamination": _OP6}
+_OP9 = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingle AS (
+  SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 2), ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM w WHERE len(w) > 0)
+), size AS (SELECT r, count(*) AS n FROM shingle GROUP BY r),
+both_ AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.r <> b.r GROUP BY ALL),
+link AS (SELECT x, y FROM both_ JOIN size p ON p.r = x JOIN size q ON q.r = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (SELECT r, r AS other FROM w UNION SELECT reach.r, link.y FROM reach JOIN link ON link.x = reach.other),
+comp AS (SELECT reach.r, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.other GROUP BY reach.r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM w JOIN comp USING (r) LEFT JOIN size USING (r)
+"""
+
+_OP10 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+piece AS (SELECT r, 1000 * j AS at, least(1000, len(h) // 2 - 199 - 1000 * j) AS n, substr(h, 2000 * j + 1, 2400) AS p FROM (SELECT r, h, unnest(range(0, (len(h) // 2 + 800) // 1000)) AS j FROM d)),
+win AS (SELECT r, at + i AS i, md5_number(substr(p, 2 * i + 1, 400)) AS k FROM (SELECT r, at, p, unnest(range(0, n)) AS i FROM piece)),
+again AS (SELECT r, i FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING count(*) > 1)),
+run AS (SELECT r, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM again)),
+span AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM run GROUP BY r, run),
+edge AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM (SELECT r, a, b FROM span UNION ALL SELECT r, len(h) // 2, len(h) // 2 FROM d)
+), kept AS (
+  SELECT r, sum(b - a) AS n_removed, count(*) - 1 AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a, b) AS h FROM edge JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256 FROM d JOIN kept USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": urlfilter.oracle(), "op5_warc": _OP5, "op6_decontamination": _OP6, "op9_near_duplicates": _OP9, "op10_repeated_passages": _OP10}

@@ -15,8 +15,8 @@ fingerprints that occur again, and returns to each chunk which of its own do
 where most stay).  Only fingerprints travel; texts are written once, with
 their chunk's number, and never shuffled.  A passage in very many rows costs
 at most two entries a chunk, in one bucket for each of its positions.  A pass
-over a large input runs in four rounds (2 to the power of `most_part_bits`),
-each for its share of the leading bits: texts are hashed again in each, but
+over a large input runs in four rounds (2 to the power of `most_part_bits`;
+half as many for the whole depth), each for its share of the leading bits: texts are hashed again in each, but
 only one round's fingerprints lie on disk.
 
 Fingerprints of the first digit have few bits (five more than the number of
@@ -274,6 +274,7 @@ def repeated_passages(docs: DataFrame, threshold: int = 200, digit: int = 100, c
     tasks = max(1, min(int(suffixes[1]), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     part_bits = min(most_part_bits, max(0, bucket_bits - 3))
     for k in range(len(digits.bits) if suffixes[0] else 0):
-        rounds = (_dealt(base, digits, 2 * chunk_bytes, paths, part_bits, i) for i in range(1 << part_bits))
+        shares = max(0, part_bits - (k > 0))  # fewer are in for the whole depth
+        rounds = (_dealt(base, digits, 2 * chunk_bytes, paths, shares, i) for i in range(1 << shares))
         paths.append([_returned(dealt, f"digit-{k}", tasks, again=k == 0) for dealt in rounds])
     return _cut(base, digits, paths)
