@@ -134,8 +134,8 @@ FROM w JOIN comp USING (r) LEFT JOIN size USING (r)
 
 _OP10 = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-piece AS (SELECT r, 1000 * j AS at, least(1000, len(h) // 2 - 199 - 1000 * j) AS n, substr(h, 2000 * j + 1, 2400) AS p FROM (SELECT r, h, unnest(range(0, (len(h) // 2 + 800) // 1000)) AS j FROM d)),
-win AS (SELECT r, at + i AS i, md5_number(substr(p, 2 * i + 1, 400)) AS k FROM (SELECT r, at, p, unnest(range(0, n)) AS i FROM piece)),
+piece AS (SELECT r, 1000 * j AS lo, least(1000, len(h) // 2 - 199 - 1000 * j) AS n, substr(h, 2000 * j + 1, 2400) AS p FROM (SELECT r, h, unnest(range(0, (len(h) // 2 + 800) // 1000)) AS j FROM d)),
+win AS (SELECT r, lo + i AS i, md5_number(substr(p, 2 * i + 1, 400)) AS k FROM (SELECT r, lo, p, unnest(range(0, n)) AS i FROM piece)),
 again AS (SELECT r, i FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING count(*) > 1)),
 run AS (SELECT r, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM again)),
 span AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM run GROUP BY r, run),
