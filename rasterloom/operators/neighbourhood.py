@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import Profile
+
 
 def _lines():
     """Along longitude, then along latitude."""
@@ -52,15 +54,36 @@ def contrast(df: DataFrame, x: str, out: str) -> DataFrame:
     return df.withColumn(out, F.col(x) * 9 / 8 - F.col("_s") / 8).drop("_s")
 
 
-def median_filter(df: DataFrame, x: str, out: str) -> DataFrame:
-    """Adds the median of the 3x3 box around each cell (reflected borders, missing values left out), by two windows of lags."""
+def neighbours(df: DataFrame, columns: list[str], scope: int = 1, p: Profile = Profile()) -> DataFrame:
+    """One row for each cell of the box around each cell (borders reflected): t, lat_i, lon_i and the columns."""
+    def mirrored(c: Column, n: int) -> list[Column]:
+        # a cell is met by every box that it lies in, and by boxes whose border reflects into it
+        moved = [c + d for d in range(-scope, scope + 1)]
+        back = [-1 - c + d for d in range(-scope, scope + 1)] + [2 * n - 1 - c + d for d in range(-scope, scope + 1)]
+        inside = [F.when((m >= 0) & (m < n), m) for m in moved]
+        # box of cell m covers index -1-c (mirror of c) iff |(-1-c) - m| <= scope
+        return inside + [F.when((m >= 0) & (m < n), m) for m in back]
+
+    lat, lon = (F.array_compact(F.array(*mirrored(F.col(c), n))) for c, n in (("lat_i", p.n_lat), ("lon_i", p.n_lon)))
+    out = df.select("t", F.explode(lat).alias("la"), lon.alias("lons"), *columns)
+    out = out.select("t", "la", F.explode("lons").alias("lo"), *columns)
+    return out.select("t", F.col("la").cast("int").alias("lat_i"), F.col("lo").cast("int").alias("lon_i"), *columns)
+
+
+def median_filter(df: DataFrame, x: str, out: str, scope: int = 1, p: Profile = Profile()) -> DataFrame:
+    """t, lat_i, lon_i and the median of the box around each cell (reflected borders, missing values left out).
+
+    The 3x3 box comes from two windows of lags; a wider one deals every cell to the boxes that it lies in.
+    """
+    if scope > 1:
+        return neighbours(df, [x], scope, p).groupBy("t", "lat_i", "lon_i").agg(F.median(x).alias(out))
     rows, columns = _lines()
     df = df.withColumns(dict(zip(("_l", "_m", "_r"), _three(x, rows), strict=True)))
     nine = F.array(*(v for c in ("_l", "_m", "_r") for v in _three(c, columns)))
     df = df.withColumn("_box", F.array_sort(F.array_compact(nine)))
     n = F.size("_box")
     middle = (F.try_element_at("_box", F.floor((n + 1) / 2).cast("int")) + F.try_element_at("_box", (F.floor(n / 2) + 1).cast("int"))) / 2
-    return df.withColumn(out, F.when(n > 0, middle)).drop("_l", "_m", "_r", "_box")
+    return df.select("t", "lat_i", "lon_i", F.when(n > 0, middle).alias(out))
 
 
 def masked(df: DataFrame, mask: str, out: str) -> DataFrame:
