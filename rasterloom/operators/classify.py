@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Profile, Thresholds
 from ..functions import physics as P
-from . import neighbourhood, timeseries
+from . import neighbourhood, segment, stats, timeseries
 
 TH = Thresholds()
 
@@ -166,3 +166,34 @@ def tree_codes(cube: DataFrame) -> DataFrame:
         .when(snow & bright & F.col("is_land"), 5).when(~F.col("is_land") & bright, 12).when(invalid | ~P.gate(F.col("zen"), "dawn_day"), 13).when(bright, 3).otherwise(0)
     )
     return with_indexes(cube).select("t", "dfb", "slot", "lat_i", "lon_i", cls.cast("int").alias("cls"))
+
+
+def segmentation_codes(cube: DataFrame) -> DataFrame:
+    """t, lat_i, lon_i, cls of the tree that thresholds gray-scale features by Otsu in each slot; later rules of the written order win, so they come first here."""
+    lit = P.gate(F.col("zen"), "dawn_day")
+    cube = neighbourhood.dilate(with_indexes(cube), "is_land", "near_land").withColumns({
+        "rises": timeseries.positive_variability(F.col("ndsi")), "falls": timeseries.negative_variability(F.col("ndsi")),
+        "sea": P.sea_coast_cloud(F.col("zen"), F.col("is_land"), F.col("near_land"), F.col("vis")), "cold": lit & P.cold(F.col("lir"), F.col("t2m")),
+    })
+    kinds = ("ndsi", "vis", "cli_eps")
+    cube = stats.gray_scaled(cube, {f"g_{x}": x for x in (*kinds, "rises", "falls", "cli")})
+    long = cube.select("t", F.explode(F.array(*(F.struct(F.lit(x).alias("kind"), F.col(f"g_{x}").alias("x")) for x in kinds))).alias("f")).select("t", "f.*")
+    limits = segment.otsu(long, "x", ["t", "kind"]).groupBy("t").pivot("kind", list(kinds)).agg(F.first("threshold"))
+    cube = cube.join(limits.select("t", *(F.col(x).alias(f"l_{x}") for x in kinds)), "t", "left")
+    above = {x: P.test(F.col(f"g_{x}") > F.col(f"l_{x}")) for x in kinds}
+    bright, obvious = above["ndsi"] & above["vis"], above["cli_eps"] & (F.col("g_cli") > 20)
+    rises, falls = F.col("g_rises") > 30, F.col("g_falls") > 30
+    invalid = F.col("mir").isNull() | F.col("lir").isNull() | F.col("fir").isNull()
+    cls = (
+        F.when(obvious & bright, 3).when(obvious, 1).when(F.col("cold"), 8).when(bright & falls, 7).when(bright & rises, 6)
+        .when(bright, 5).when(F.col("sea"), 12).when(invalid, 13).otherwise(0)
+    )
+    return cube.select("t", "lat_i", "lon_i", cls.cast("int").alias("cls"))
+
+
+def warm_ground(cube: DataFrame, cloudy: str, limit: float, minutes: int = 240, p: Profile = Profile()) -> DataFrame:
+    """Adds `warm`: on that day the median of the cell's cloud-free mir, from noon for `minutes`, lies above the limit (none: false)."""
+    noon = p.slots_per_day // 2
+    around = F.col("slot").between(noon, noon + minutes // (60 * p.hours_per_slot)) & ~F.col(cloudy)
+    median = F.median(F.when(around, F.col("mir"))).over(Window.partitionBy("lat_i", "lon_i", "dfb"))
+    return cube.withColumn("warm", P.test(median > limit))

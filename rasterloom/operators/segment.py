@@ -54,9 +54,10 @@ def equalize(df: DataFrame, x: str, by: list[str], out: str = "equal") -> DataFr
     return ok.join(cdf.select(*by, x, value.alias(out)), [*by, x])
 
 
-def _regions(flags):
-    """Labels of 4-connected true cells of one grid, by flood fill."""
+def flood(flags, diagonal: bool = False):
+    """Labels of 4-connected (8-connected: `diagonal`) true cells of one grid, by flood fill."""
     labels, n = {}, 0
+    steps = [(a, b) for a in (1, 0, -1) for b in (1, 0, -1) if (a or b) and (diagonal or not (a and b))]
     for start in sorted(flags):
         if start in labels:
             continue
@@ -66,18 +67,18 @@ def _regions(flags):
             i, j = stack.pop()
             if (i, j) in flags and (i, j) not in labels:
                 labels[i, j] = n
-                stack += [(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)]
+                stack += [(i + a, j + b) for a, b in steps]
     return labels
 
 
-def regions(df: DataFrame, flag: str) -> DataFrame:
-    """t, lat_i, lon_i, region: 4-connected regions of true cells, numbered in each slot from 1.
+def regions(df: DataFrame, flag: str, diagonal: bool = False) -> DataFrame:
+    """t, lat_i, lon_i, region: 4-connected (8-connected: `diagonal`) regions of true cells, numbered in each slot from 1.
 
     One slot's grid at a time in a task; its size is the grid's.
     """
 
     def run(part):
-        labels = _regions(set(zip(part["lat_i"], part["lon_i"], strict=True)))
+        labels = flood(set(zip(part["lat_i"], part["lon_i"], strict=True)), diagonal)
         return part[["t", "lat_i", "lon_i"]].assign(region=[labels[x] for x in zip(part["lat_i"], part["lon_i"], strict=True)])
 
     return df.filter(F.col(flag)).select("t", "lat_i", "lon_i").groupBy("t").applyInPandas(run, "t int, lat_i int, lon_i int, region int")

@@ -32,6 +32,14 @@ def normalize(df: DataFrame, x: str, kind: str, out: str = "norm") -> DataFrame:
     return normalize_all(df, x, {out: kind})
 
 
+def gray_scaled(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Adds gray-scale columns {out: x} over the whole cube (0 where missing or constant), all bounds from one aggregate."""
+    bounds = df.agg(*(f(x).alias(f"_{k}_{out}") for out, x in columns.items() for k, f in (("lo", F.min), ("hi", F.max))))
+    gray = {out: F.floor(F.try_divide(255 * (F.col(x) - F.col(f"_lo_{out}")), F.col(f"_hi_{out}") - F.col(f"_lo_{out}"))).cast("int") for out, x in columns.items()}
+    df = df.join(F.broadcast(bounds)).withColumns({out: F.coalesce(g, F.lit(0)) for out, g in gray.items()})  # a single row
+    return df.drop(*(f"_{k}_{out}" for out in columns for k in ("lo", "hi")))
+
+
 def pixel_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     """lat_i, lon_i, n, mean_a, mean_b, r over slots in which both are valid; r null if either is constant."""
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
@@ -111,3 +119,16 @@ def stratified_slots(axis: DataFrame, weight: Column, rate: float, layers: int,
     share = share.join(rest).select("layer", F.least("size", F.col("n") + F.when(F.col("layer") == -F.col("top.l"), total - F.col("dealt")).otherwise(0)).alias("n"))
     order = Window.partitionBy("layer").orderBy((F.col("t") * 7919) % 10007, "t")
     return layered.withColumn("rank", F.row_number().over(order)).join(share, "layer").filter(F.col("rank") <= F.col("n")).select("t", "layer")
+
+
+def peak_lags(df: DataFrame, x: str, cosz: str, lags: int, days: int = 1, least: float = 0.9) -> DataFrame:
+    """lag, n: in how many cells and spans of `days` x follows `cosz` best by so many slots (correlation over `least`; the shortest of equals)."""
+    span = Window.partitionBy(*CELL, "span").orderBy("t")
+    df = df.withColumn("span", F.floor(F.col("dfb") / days))
+    df = df.withColumns({f"_x{k}": F.lead(x, k).over(span) for k in range(1, lags + 1)})
+    pairs = F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"_x{k}").alias("x")) for k in range(1, lags + 1)))
+    df = df.select(*CELL, "span", F.col(cosz).alias("c"), F.explode(pairs).alias("p")).select("*", "p.lag", "p.x").filter("x is not null and c is not null")
+    fit = df.groupBy(*CELL, "span", "lag").agg(F.count("*").alias("n"), F.covar_pop("x", "c").alias("xc"), F.stddev_pop("x").alias("sx"), F.stddev_pop("c").alias("sc"))
+    fit = fit.filter((F.col("n") > 2) & (F.col("sx") > 1e-9) & (F.col("sc") > 1e-9)).withColumn("r", F.round(F.col("xc") / (F.col("sx") * F.col("sc")), 9))
+    best = fit.groupBy(*CELL, "span").agg(F.max(F.struct("r", (-F.col("lag")).alias("back"))).alias("top")).filter(F.col("top.r") > least)
+    return best.groupBy((-F.col("top.back")).cast("int").alias("lag")).agg(F.count("*").alias("n"))

@@ -26,7 +26,8 @@ def query(sql: str | None = None):
         QUERIES[f.__name__] = f
         if sql is not None:
             body = sql.strip()
-            ORACLE[f.__name__] = f"WITH {_BASE}" + (", " + body[5:] if body.upper().startswith("WITH ") else " " + body)
+            head = next((h for h in ("WITH RECURSIVE ", "WITH ") if body.startswith(h)), "")
+            ORACLE[f.__name__] = f"{head or 'WITH '}{_BASE}" + (", " if head else " ") + body[len(head) :]
         return f
 
     return add
@@ -627,4 +628,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return static_classifier(spark, sf_dir)
 
 
-from . import catalog_more  # noqa: E402, F401  (registers its queries)
+from . import catalog_grids, catalog_more  # noqa: E402, F401  (register their queries)
