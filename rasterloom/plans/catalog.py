@@ -458,7 +458,11 @@ def equalize_histogram(spark, sf_dir):
     return segment.equalize(gray, "gray", ["t"]).select(*KEY, "gray", "equal")
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (SELECT t, lat_i AS i, lon_i AS j FROM cube WHERE vis > 0.25),
+reach AS (SELECT t, i, j, i AS y, j AS x FROM s UNION SELECT r.t, r.i, r.j, s.i, s.j FROM reach r JOIN s ON s.t = r.t AND abs(s.i - r.y) + abs(s.j - r.x) = 1),
+m AS (SELECT t, i, j, min(y * 5 + x) AS first FROM reach GROUP BY ALL)
+SELECT t, i AS lat_i, j AS lon_i, CAST(dense_rank() OVER (PARTITION BY t ORDER BY first) AS INTEGER) AS region FROM m""")
 def bright_regions(spark, sf_dir):
     return segment.regions(_cube(spark, sf_dir).withColumn("bright", P.test(F.col("vis") > 0.25)), "bright")
 

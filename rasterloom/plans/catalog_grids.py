@@ -32,7 +32,7 @@ def segmentation_tree(spark, sf_dir):
 
 
 @query(f"WITH {_INDEXED} SELECT t, lat_i, lon_i, coalesce(median(CASE WHEN slot = 2 AND NOT cloud_e THEN mir END) OVER (PARTITION BY lat_i, lon_i, dfb) > 280, false) AS warm FROM decided")
-def warm_ground(spark, sf_dir):
+def warm_slots(spark, sf_dir):
     cube = classify.with_tests(classify.with_indexes(_cube(spark, sf_dir)))
     return classify.warm_ground(cube, "is_cloud", 280.0).select(*KEY, "warm")
 
