@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, neardup, quality, repeats, secrets, toxicity, urlfilter, warc
+from . import bpe, decontaminate, infill, langid, neardup, quality, repeats, secrets, spelling, tokenfile, toxicity, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,6 +67,20 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_passages(_read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(spelling.count_words(_read(spark, sf_dir, "documents"), least_chars=7, least_count=2, slip_every=31), times=10)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(_read(spark, sf_dir, "documents"), seed=7, fim_percent=100, spm_percent=50)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(), 256).alias("restored_sha256"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokenfile.write_ids(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokenfile.read_ids(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -78,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_token_files": op13_token_files,
 }
 
 _OP5 = """
@@ -147,4 +164,62 @@ edge AS (
 SELECT doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256 FROM d JOIN kept USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": urlfilter.oracle(), "op5_warc": _OP5, "op6_decontamination": _OP6, "op9_near_duplicates": _OP9, "op10_repeated_passages": _OP10}
+# CRC-32 a byte at a time, with the table of the reflected polynomial made by its rule
+_OP11 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), runs AS (
+  SELECT doc_id, word, count(*) AS k
+  FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS word FROM documents
+  )
+  WHERE length(word) >= 7 GROUP BY ALL
+), bytes AS (SELECT doc_id, word, k, hex(encode(doc_id || ':' || word)) AS b FROM runs),
+hashed AS (
+  SELECT word, k, xor(list_reduce(
+      list_transform(range(1, len(b), 2), lambda i: ('0x' || substr(b, i, 2))::BIGINT),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM bytes, crc
+), slipped AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(word, 1, (h % length(word))::INT) || substr(word, (h % length(word))::INT + 2) ELSE word END AS word, k FROM hashed
+), w AS (SELECT word, sum(k)::BIGINT AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+pair AS (
+  SELECT a.word AS x, b.word AS y FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM less a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM less a JOIN w b ON a.rest = b.word
+), near AS (
+  SELECT x AS word, count(*) AS n_near, first(struct_pack(y := y, n := n) ORDER BY n DESC, y) AS best FROM pair JOIN w ON w.word = y GROUP BY x
+), form AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best.n >= 10 * n THEN best.y END AS form, CASE WHEN best.n >= 10 * n THEN best.n END AS form_n FROM w LEFT JOIN near USING (word)
+), path AS (
+  SELECT word, form AS root, 1 AS step FROM form WHERE form IS NOT NULL
+  UNION ALL SELECT path.word, form.form, step + 1 FROM path JOIN form ON form.word = path.root WHERE form.form IS NOT NULL
+), root AS (SELECT word, arg_max(root, step) AS root FROM path GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM form LEFT JOIN root USING (word)
+"""
+
+_OP12 = r"""
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS s FROM documents
+), g AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || substr(s, 1, 8))::BIGINT AS h1, ('0x' || substr(s, 9, 8))::BIGINT AS h2, ('0x' || substr(s, 17, 8))::BIGINT AS h3, ('0x' || substr(s, 25, 8))::BIGINT AS h4 FROM h
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j,
+    CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM g
+), p AS (SELECT *, array_to_string(u[:i], '') AS a, array_to_string(u[i + 1:j], '') AS b, array_to_string(u[j + 1:], '') AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(x) AS restored_sha256
+FROM p
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": urlfilter.oracle(),
+    "op5_warc": _OP5,
+    "op6_decontamination": _OP6,
+    "op9_near_duplicates": _OP9,
+    "op10_repeated_passages": _OP10,
+    "op11_spelling_variants": _OP11,
+    "op12_fill_in_middle": _OP12,
+}
