@@ -1,46 +1,75 @@
 """URL filters: explicit rules, then a tree of path templates; DataFrame operations only.
 
-Every host has a tree of path segments.  Level by level, segments that vary
-become the wildcard `*` (numbers, also with an extension, and rare values
-among many siblings).  The other siblings, labelled or not, are put in order
-of the shape of what follows them (the share of pages whose next segment is a
-number, then of those that have one) and each is compared with the one before
-it: they merge into one branch (`~1`, `~2`, ...) unless a homogeneity test of
-two smoothed shares (Agresti's, at `z` standard errors) tells their shapes
-apart, or the shares of blocked pages among their labelled ones (of a sibling
-without labels: of the nearest labelled one before it).  A branch of its own
-stays literal (`=segment`).  A template is rejected if its purity, the share
-of allowed pages among labelled ones smoothed by `strength` pseudo-pages of
-even odds, is under `least_purity`.  Labels are the rules' verdicts: pages
-that a rule decides teach the templates that pages without a rule are judged
-by, in the branch itself and in those that merge with it.
+Every host has a tree of path segments.  What counts in it are distinct paths:
+a page that is there ten times is no more evidence than one.  Level by level,
+segments that vary become the wildcard `*` (numbers, also with an extension,
+and segments that are rare among many siblings).  The other siblings merge
+into one branch (`~` and its kind) if there is evidence on both sides that
+they are alike:
+
+- each has `support` paths or more;
+- they are of one kind: the shares of paths whose next segment is missing, is
+  a number, has an extension, and that have a segment after it, rounded to
+  quarters, and what is known of their labels, rounded to halves (the labelled
+  share, and the blocked share of it; a sibling without any label is alike only
+  to others without);
+- each of these shares differs from that of the kind's siblings together by
+  `delta` at most, at the upper end of its `z` standard errors.
+
+A branch of its own stays literal (`=segment`).  So no label reaches a sibling
+about which nothing is known, and shapes are compared with the pooled branch,
+by aggregates: no siblings are put in order, none lie in one group.
+
+Labels are the rules' verdicts: paths that a rule decides teach the templates
+that paths without a rule are judged by.  A template's purity is the share of
+allowed paths among its labelled ones, smoothed towards the purity of the
+template above it (even odds above the first) by `strength` pseudo-paths and
+`open_weight` for each of its paths without label.  A template is rejected if
+its purity is under `least_purity` and at least `labels` of its own paths, and
+`coverage` of them all, are labelled.
 
 Host: from the first `://` to `/`, `?`, `#` or the end, A-Z lower-cased; path:
 from there to `?`, `#` or the end.  A rule `host/path` fits its host and all
 subdomains where the path starts with the rule's; the longest rule wins.
 
 Edge cases: a null url, or one without `://`, has an empty host and path and
-is allowed unless its template is rejected; segments below `levels` are one
-tail `**`; repeated rows are judged alike; empty tables give no rows.  Other
-columns are ignored.  Distinct paths are counted before anything is joined;
+is allowed unless its template is rejected; repeated rows are judged alike;
+empty tables give no rows.  Other columns are ignored.  Levels go down until no
+two paths share a template.  Distinct paths are made before anything is joined;
 what a join takes from an aggregate is written first, so that Spark deals both
-sides anew and can split a hot host.  One task orders the siblings of a node
-that do not vary (under a quarter of its distinct segments, with no page rows).
+sides anew and can split a hot host.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialise
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LEVELS, SIBLINGS, RARE, Z, STRENGTH, LEAST_PURITY = 4, 20, 4, 1.96, 4.0, 0.25
 _NUMBER = "^[0-9]+([.][A-Za-z0-9]+)?$"
 
 
+@dataclass(frozen=True)
+class Evidence:
+    """What it takes to generalise, merge and reject."""
+
+    siblings: int = 20
+    rare: int = 4
+    support: int = 8
+    z: float = 1.96
+    delta: float = 0.25
+    strength: float = 4.0
+    open_weight: float = 0.1
+    least_purity: float = 0.25
+    labels: int = 5
+    coverage: float = 0.2
+
+
 def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
     """Adds host and path."""
     has = F.coalesce(F.instr(url, "://") > 0, F.lit(False))
@@ -58,102 +87,152 @@ def rule_of(rules: dict[str, str]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _apart(x1: Column, n1: Column, x2: Column, n2: Column, z: float) -> Column:
-    """Do two shares, each smoothed by a success and a failure, differ by more than `z` standard errors?"""
-    pooled = (x1 + x2 + 1) / (n1 + n2 + 2)
-    return F.abs((x1 + 1) / (n1 + 2) - (x2 + 1) / (n2 + 2)) > z * F.sqrt(pooled * (1 - pooled) * (F.lit(1.0) / (n1 + 2) + F.lit(1.0) / (n2 + 2)))
-
-
-def _signs(deep: DataFrame, siblings: int, rare: int, z: float) -> DataFrame:
-    """host, template, seg and its sign: `*`, `~` and the number of a merged branch, or `=seg`."""
-    node = ["host", "template"]
-    nodes = materialise(deep.groupBy(*node).agg(F.sum("n").alias("all_n"), F.count("*").alias("k")), "url-nodes")
-    varies = F.col("seg").rlike(_NUMBER) | ((F.col("k") >= siblings) & (F.col("n") * F.col("k") <= rare * F.col("all_n")))
-    deep = deep.join(nodes, node).withColumn("varies", varies).drop("all_n", "k")
-    order = Window.partitionBy(*node).orderBy(F.col("numbered") / F.col("n"), F.col("deeper") / F.col("n"), "seg")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    last = {c: F.lag(c).over(order) for c in ("n", "numbered", "deeper")}
-    known = {c: F.last(F.when(F.col("labelled") > 0, F.col(c)), True).over(before) for c in ("labelled", "bad")}
-    shape = [_apart(F.col(c), F.col("n"), last[c], last["n"], z) for c in ("numbered", "deeper")]
-    label = (F.col("labelled") > 0) & _apart(F.col("bad"), F.col("labelled"), known["bad"], known["labelled"], z)
-    breaks = F.coalesce((shape[0] | shape[1] | F.coalesce(label, F.lit(False))).cast("int"), F.lit(1))
-    chain = deep.filter("not varies").withColumn("breaks", breaks).withColumn("branch", F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = F.when(F.count("*").over(Window.partitionBy(*node, "branch")) > 1, F.concat(F.lit("~"), F.col("branch").cast("string"))).otherwise(F.concat(F.lit("="), F.col("seg")))
-    literal = chain.select(*node, "seg", merged.alias("sign"))
-    return materialise(literal.union(deep.filter("varies").select(*node, "seg", F.lit("*"))), "url-signs")
-
-
-def _templates(paths: DataFrame, levels: int, siblings: int, rare: int, z: float) -> DataFrame:
-    """host, path, n, labelled, bad with each path's template; one row a host and path."""
-    now = paths.withColumn("segments", F.split(F.regexp_replace("path", "^/", ""), "/")).withColumn("template", F.lit(""))
-    for level in range(1, levels + 1):
-        now = materialise(now, "url-templates")
+#: what siblings are compared by: (part, whole)
+_SHARES = (("ending", "n"), ("numbered", "n"), ("dotted", "n"), ("deeper", "n"), ("labelled", "n"), ("bad", "labelled"))
+
+
+def _kind() -> Column:
+    """Shape and labels of a sibling, rounded: siblings of one kind may merge."""
+    quarters = [F.floor((F.col(c) * 8 + F.col("n")) / (F.col("n") * 2)).cast("string") for c in ("ending", "numbered", "dotted", "deeper")]
+    known, bad = F.floor((F.col("labelled") * 4 + F.col("n")) / (F.col("n") * 2)), F.floor((F.col("bad") * 4 + F.col("labelled")) / (F.greatest("labelled", F.lit(1)) * 2))
+    return F.concat(*quarters, F.when(F.col("labelled") > 0, F.concat(F.lit("."), known.cast("string"), bad.cast("string"))).otherwise(""))
+
+
+def _alike(part: str, whole: str, e: Evidence) -> Column:
+    """Is the share within `delta` of the pooled one, its error included? A share of nothing is."""
+    share = (F.col(part) + 1) / (F.col(whole) + 2)
+    apart = F.abs(F.col(part) / F.greatest(whole, F.lit(1)) - F.col(f"all_{part}") / F.greatest(f"all_{whole}", F.lit(1)))
+    return (F.col(whole) == 0) | (apart + e.z * F.sqrt(share * (1 - share) / (F.col(whole) + 2)) <= e.delta)
+
+
+def _signs(deep: DataFrame, e: Evidence) -> DataFrame:
+    """host, template, seg and its sign: `*`, `~` and a kind, or `=seg`."""
+    node, sums = ["host", "template"], ["n", *(p for p, _ in _SHARES)]
+    nodes = materialise(deep.groupBy(*node).agg(F.sum("n").alias("node_n"), F.count("*").alias("k")), "url-nodes")
+    varies = F.col("seg").rlike(_NUMBER) | ((F.col("k") >= e.siblings) & (F.col("n") * F.col("k") <= e.rare * F.col("node_n")))
+    deep = deep.join(nodes, node).withColumn("varies", varies).withColumn("kind", F.when(~F.col("varies") & (F.col("n") >= e.support), _kind()))
+    pooled = deep.filter("kind is not null").groupBy(*node, "kind").agg(*(F.sum(c).alias(f"all_{c}") for c in sums), F.count("*").alias("members")).filter("members > 1")
+    tested = deep.join(materialise(pooled, "url-kinds"), [*node, "kind"], "left")
+    alike = F.col("members").isNotNull()
+    for part, whole in _SHARES:
+        alike &= _alike(part, whole, e)
+    sign = F.when(F.col("varies"), "*").when(alike, F.concat(F.lit("~"), "kind")).otherwise(F.concat(F.lit("="), "seg"))
+    return materialise(tested.select(*node, "seg", sign.alias("sign"), (F.col("node_n") == 1).alias("lone")), "url-signs")
+
+
+def _alone(segment: Column) -> Column:
+    return F.concat(F.lit("/"), F.when(segment.rlike(_NUMBER), "*").otherwise(F.concat(F.lit("="), segment)))
+
+
+def _templates(paths: DataFrame, e: Evidence) -> DataFrame:
+    """host, path, labelled, bad and the templates of each level, from the host's own; one row a host and path."""
+    columns = ["host", "path", "labelled", "bad", "segments", "above", "template"]
+    now = paths.withColumn("segments", F.split(F.regexp_replace("path", "^/", ""), "/")).withColumn("above", F.array(F.lit(""))).withColumn("template", F.lit(""))
+    now, done, level = materialise(now.select(*columns), "url-templates"), [], 1
+    while True:
         seg, below = (F.try_element_at("segments", F.lit(k)) for k in (level, level + 1))
-        sums = {"n": F.col("n"), "labelled": F.col("labelled"), "bad": F.col("bad")}
-        sums |= {"deeper": F.when(below.isNotNull(), F.col("n")).otherwise(0), "numbered": F.when(below.rlike(_NUMBER), F.col("n")).otherwise(0)}
-        deep = now.filter(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(*(F.sum(c).alias(k) for k, c in sums.items()))
+        counts = {
+            "n": F.lit(1), "ending": below.isNull(), "numbered": F.coalesce(below.rlike(_NUMBER), F.lit(False)), "dotted": F.coalesce(below.contains("."), F.lit(False)),
+            "deeper": F.size("segments") > level + 1, "labelled": F.col("labelled"), "bad": F.col("bad"),
+        }
+        deep = now.filter(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(*(F.sum(c.cast("long")).alias(k) for k, c in counts.items()))
         deep = materialise(deep, "url-segments")
         if deep.isEmpty():
             break
-        signs = _signs(deep, siblings, rare, z)
-        grown = now.withColumn("seg", seg).join(signs, ["host", "template", "seg"], "left")
-        now = grown.withColumn("template", F.concat("template", F.when(F.col("sign").isNull(), "").otherwise(F.concat(F.lit("/"), "sign")))).drop("seg", "sign")
-    tail = F.when(F.size("segments") > levels, "/**").otherwise("")
-    return materialise(now.select("host", "path", "n", "labelled", "bad", F.concat("template", tail).alias("template")), "url-templates")
+        longer = F.concat("template", F.lit("/"), "sign")
+        # a template of one path stays so: the rest of it needs no other
+        rest = F.sequence(F.lit(level), F.size("segments"))
+        tails = F.transform(rest, lambda i: F.concat("template", F.array_join(F.transform(F.slice("segments", F.lit(level), i - (level - 1)), _alone), "")))
+        grown = now.withColumn("seg", seg).join(_signs(deep, e), ["host", "template", "seg"], "left")
+        grown = grown.withColumn("above", F.when(F.col("sign").isNull(), F.col("above")).when(F.col("lone"), F.concat("above", tails)).otherwise(F.concat("above", F.array(longer))))
+        over = F.col("sign").isNull() | F.col("lone") | (F.size("segments") <= level)
+        grown = materialise(grown.select(*(c for c in columns if c != "template"), F.element_at("above", -1).alias("template"), over.alias("over")), "url-templates")
+        done.append(grown.filter("over").select(*columns))
+        now, level = grown.filter("not over").select(*columns), level + 1
+    every = now
+    for d in done:
+        every = every.unionByName(d)
+    return every.select("host", "path", "labelled", "bad", "above", "template")
+
+
+def _verdicts(known: DataFrame, e: Evidence) -> DataFrame:
+    """host, template and learned of every template that a path ends with."""
+    each = known.select("host", "labelled", "bad", F.explode("above").alias("level_template"))
+    sums = materialise(each.groupBy("host", "level_template").agg(F.count("*").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), "url-sums")
+    chains = known.select("host", "template", "above").distinct().select("host", "template", F.posexplode("above").alias("level", "level_template"))
+    chains = materialise(chains, "url-chains").join(sums, ["host", "level_template"])
+    chain = F.sort_array(F.collect_list(F.struct("level", "n", "labelled", "bad")))  # as long as the path is deep
+    chains = chains.groupBy("host", "template").agg(chain.alias("chain"))
 
+    def smoothed(above: Column, x: Column) -> Column:
+        pseudo = e.strength + e.open_weight * (x["n"] - x["labelled"])
+        return (x["labelled"] - x["bad"] + pseudo * above) / (x["labelled"] + pseudo)
 
-def judge(
-    pages: DataFrame, rules: dict[str, str] = RULES, levels: int = LEVELS, siblings: int = SIBLINGS, rare: int = RARE,
-    z: float = Z, strength: float = STRENGTH, least_purity: float = LEAST_PURITY,
-) -> DataFrame:
+    own, purity = F.element_at("chain", -1), F.aggregate("chain", F.lit(0.5), smoothed)
+    reject = (purity < e.least_purity) & (own["labelled"] >= e.labels) & (own["labelled"] >= e.coverage * own["n"])
+    return chains.select("host", "template", F.when(reject, "block").otherwise("allow").alias("learned"))
+
+
+def judge(pages: DataFrame, rules: dict[str, str] = RULES, evidence: Evidence = Evidence()) -> DataFrame:
     """page_id, host, path, rule, verdict, template of every page."""
     rule, said = rule_of(rules)
     rows = with_parts(pages.select("page_id", "url")).withColumn("rule", rule).withColumn("said", said)
-    label = F.col("said").isNotNull().cast("long"), (F.col("said") == "block").cast("long")
-    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(label[0]).alias("labelled"), F.coalesce(F.sum(label[1]), F.lit(0)).alias("bad"))
-    known = _templates(paths, levels, siblings, rare, z)
-    purity = (F.sum("labelled") - F.sum("bad") + strength / 2) / (F.sum("labelled") + strength)
-    verdicts = materialise(known.groupBy("host", "template").agg(F.when(purity < least_purity, "block").otherwise("allow").alias("learned")), "url-verdicts")
-    decided = known.select("host", "path", "template").join(verdicts, ["host", "template"])
+    # a path's label is the same on all its rows
+    paths = rows.groupBy("host", "path").agg(F.max(F.col("said").isNotNull().cast("long")).alias("labelled"), F.max(F.coalesce(F.col("said") == "block", F.lit(False)).cast("long")).alias("bad"))
+    known = _templates(paths, evidence)
+    verdicts = materialise(_verdicts(known, evidence), "url-verdicts")
+    decided = materialise(known.select("host", "path", "template").join(verdicts, ["host", "template"]), "url-decided")
     return rows.join(decided, ["host", "path"]).select("page_id", "host", "path", "rule", F.coalesce("said", "learned").alias("verdict"), "template")
 
 
-def oracle(rules: dict[str, str] = RULES) -> str:
-    """The same as DuckDB SQL."""
+def decisions(judged: DataFrame) -> DataFrame:
+    """How many pages each rule decides, and how many the templates: by, verdict, pages."""
+    return judged.groupBy(F.coalesce("rule", F.lit("template")).alias("by"), "verdict").agg(F.count("*").alias("pages"))
+
+
+def oracle(rules: dict[str, str] = RULES, e: Evidence = Evidence(), levels: int = 8) -> str:
+    """The same as DuckDB SQL, for paths of up to `levels` segments."""
     rule, said = "NULL", "NULL"
     for r in sorted(rules, key=lambda x: (len(x), x)):
         host, slash, path = r.partition("/")
         fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash + path}')"
         rule, said = f"CASE WHEN {fits} THEN '{r}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{rules[r]}' ELSE {said} END"
-    def apart(x1: str, n1: str, x2: str, n2: str) -> str:
-        pooled = f"(({x1} + {x2} + 1)::DOUBLE / ({n1} + {n2} + 2))"
-        return f"abs(({x1} + 1)::DOUBLE / ({n1} + 2) - ({x2} + 1)::DOUBLE / ({n2} + 2)) > {Z} * sqrt({pooled} * (1 - {pooled}) * (1.0::DOUBLE / ({n1} + 2) + 1.0::DOUBLE / ({n2} + 2)))"
-
-    levels, order = [], "PARTITION BY host, template ORDER BY numbered::DOUBLE / n, deeper::DOUBLE / n, seg"
-    for d in range(1, LEVELS + 1):
-        levels.append(f"""deep{d} AS (
-  SELECT host, template, segments[{d}] AS seg, sum(n)::BIGINT AS n, sum(labelled)::BIGINT AS labelled, sum(bad)::BIGINT AS bad,
-    sum(CASE WHEN len(segments) > {d} THEN n ELSE 0 END)::BIGINT AS deeper, sum(CASE WHEN regexp_matches(segments[{d + 1}], '{_NUMBER}') THEN n ELSE 0 END)::BIGINT AS numbered
+    kind = " || ".join(f"(({c} * 8 + n) // (n * 2))" for c in ("ending", "numbered", "dotted", "deeper"))
+    kind += " || CASE WHEN labelled > 0 THEN '.' || ((labelled * 4 + n) // (n * 2)) || ((bad * 4 + labelled) // (labelled * 2)) ELSE '' END"
+
+    def alike(part: str, whole: str) -> str:
+        share = f"(({part} + 1)::DOUBLE / ({whole} + 2))"
+        pooled = f"sum({part}) OVER g::DOUBLE / sum({whole}) OVER g"
+        return f"({whole} = 0 OR abs({part}::DOUBLE / {whole} - {pooled}) + {e.z} * sqrt({share} * (1 - {share}) / ({whole} + 2)) <= {e.delta})"
+
+    steps = []
+    for d in range(1, levels + 1):
+        steps.append(f"""deep{d} AS (
+  SELECT host, template, segments[{d}] AS seg, count(*) AS n,
+    count(*) FILTER (len(segments) = {d}) AS ending,
+    count(*) FILTER (regexp_matches(segments[{d + 1}], '{_NUMBER}')) AS numbered,
+    count(*) FILTER (contains(segments[{d + 1}], '.')) AS dotted,
+    count(*) FILTER (len(segments) > {d + 1}) AS deeper,
+    sum(labelled)::BIGINT AS labelled, sum(bad)::BIGINT AS bad
   FROM t{d - 1} WHERE len(segments) >= {d} GROUP BY ALL
-), branch{d} AS (
-  SELECT *, regexp_matches(seg, '{_NUMBER}') OR (count(*) OVER w >= {SIBLINGS} AND n * count(*) OVER w <= {RARE} * sum(n) OVER w) AS varies
+), varied{d} AS (
+  SELECT *, regexp_matches(seg, '{_NUMBER}') OR (count(*) OVER w >= {e.siblings} AND n * count(*) OVER w <= {e.rare} * sum(n) OVER w) AS varies
   FROM deep{d} WINDOW w AS (PARTITION BY host, template)
-), near{d} AS (
-  SELECT *, lag(n) OVER w AS n0, lag(numbered) OVER w AS numbered0, lag(deeper) OVER w AS deeper0,
-    last_value(CASE WHEN labelled > 0 THEN labelled END IGNORE NULLS) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS labelled0,
-    last_value(CASE WHEN labelled > 0 THEN bad END IGNORE NULLS) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bad0
-  FROM branch{d} WHERE NOT varies WINDOW w AS ({order})
-), chain{d} AS (
-  SELECT host, template, seg, sum(CASE WHEN n0 IS NULL OR {apart("numbered", "n", "numbered0", "n0")} OR {apart("deeper", "n", "deeper0", "n0")}
-    OR (labelled > 0 AND labelled0 IS NOT NULL AND {apart("bad", "labelled", "bad0", "labelled0")}) THEN 1 ELSE 0 END) OVER ({order} ROWS UNBOUNDED PRECEDING)::BIGINT AS branch
-  FROM near{d}
+), kind{d} AS (
+  SELECT *, CASE WHEN NOT varies AND n >= {e.support} THEN {kind} END AS kind FROM varied{d}
 ), sign{d} AS (
-  SELECT host, template, seg, CASE WHEN count(*) OVER (PARTITION BY host, template, branch) > 1 THEN '~' || branch ELSE '=' || seg END AS sign FROM chain{d}
-  UNION ALL SELECT host, template, seg, '*' FROM branch{d} WHERE varies
+  SELECT host, template, seg,
+    CASE WHEN varies THEN '*'
+      WHEN kind IS NOT NULL AND count(*) OVER g > 1 AND {" AND ".join(alike(*x) for x in _SHARES)} THEN '~' || kind
+      ELSE '=' || seg END AS sign
+  FROM kind{d} WINDOW g AS (PARTITION BY host, template, kind)
 ), t{d} AS (
-  SELECT t.host, t.path, t.n, t.labelled, t.bad, t.segments, t.template || CASE WHEN sign IS NULL THEN '' ELSE '/' || sign END AS template
+  SELECT t.host, t.path, t.labelled, t.bad, t.segments,
+    CASE WHEN sign IS NULL THEN t.above ELSE list_append(t.above, t.template || '/' || sign) END AS above,
+    CASE WHEN sign IS NULL THEN t.template ELSE t.template || '/' || sign END AS template
   FROM t{d - 1} t LEFT JOIN sign{d} s ON t.host = s.host AND t.template = s.template AND t.segments[{d}] = s.seg
 )""")
+    pseudo = f"({e.strength} + {e.open_weight} * (x.n - x.labelled))"
     return f"""
 WITH u AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -161,14 +240,24 @@ WITH u AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
 ), r AS (SELECT page_id, host, path, {rule} AS rule, {said} AS said FROM p),
 t0 AS (
-  SELECT host, path, count(*) AS n, count(said) AS labelled, count(*) FILTER (WHERE said = 'block') AS bad,
-    string_split(regexp_replace(path, '^/', ''), '/') AS segments, '' AS template FROM r GROUP BY host, path
-), {", ".join(levels)},
-known AS (SELECT host, path, labelled, bad, template || CASE WHEN len(segments) > {LEVELS} THEN '/**' ELSE '' END AS template FROM t{LEVELS}),
-v AS (
-  SELECT host, template, CASE WHEN (sum(labelled) - sum(bad) + {STRENGTH / 2}) / (sum(labelled) + {STRENGTH}) < {LEAST_PURITY} THEN 'block' ELSE 'allow' END AS learned
-  FROM known GROUP BY ALL
+  SELECT host, path, max(CASE WHEN said IS NULL THEN 0 ELSE 1 END) AS labelled, max(CASE WHEN said = 'block' THEN 1 ELSE 0 END) AS bad,
+    string_split(regexp_replace(path, '^/', ''), '/') AS segments, [''] AS above, '' AS template
+  FROM r GROUP BY host, path
+), {", ".join(steps)},
+sums AS (
+  SELECT host, level_template, count(*) AS n, sum(labelled) AS labelled, sum(bad) AS bad
+  FROM (SELECT host, labelled, bad, unnest(above) AS level_template FROM t{levels}) GROUP BY ALL
+), chain AS (
+  SELECT c.host, c.template, list(struct_pack(level := c.level, n := n, labelled := s.labelled, bad := s.bad) ORDER BY c.level) AS chain
+  FROM (SELECT DISTINCT host, template, unnest(above) AS level_template, unnest(range(len(above))) AS level FROM t{levels}) c JOIN sums s USING (host, level_template)
+  GROUP BY ALL
+), purity AS (
+  SELECT host, template, chain[-1] AS own, list_reduce(chain, lambda a, x: (x.labelled - x.bad + {pseudo} * a) / (x.labelled + {pseudo}), 0.5::DOUBLE) AS purity FROM chain
+), v AS (
+  SELECT host, template,
+    CASE WHEN purity < {e.least_purity} AND own.labelled >= {e.labels} AND own.labelled >= {e.coverage} * own.n THEN 'block' ELSE 'allow' END AS learned
+  FROM purity
 )
 SELECT page_id, host, path, rule, coalesce(said, learned) AS verdict, template
-FROM r JOIN known USING (host, path) JOIN v USING (host, template)
+FROM r JOIN t{levels} USING (host, path) JOIN v USING (host, template)
 """

@@ -143,7 +143,7 @@ def test_url_parts_rules_and_sql(spark):
         want[i] = ("", "", None, "allow")
     for i, w in want.items():
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == w, urls[i]
-    assert got[14].template.endswith("/**") and got[60].template.startswith("/*")
+    assert got[14].template == "/=a/=b/=c/=d/=e/=f" and got[60].template.startswith("/*")
     db = duckdb.connect()
     db.execute("create table pages (page_id bigint, url varchar)")
     db.executemany("insert into pages values (?, ?)", list(enumerate(urls)))
@@ -152,25 +152,65 @@ def test_url_parts_rules_and_sql(spark):
     assert urlfilter.judge(pages.limit(0)).count() == 0
 
 
-def test_learned_templates_reject(spark):
-    """Pages without a rule are judged by their template's labelled ones, in their own branch and in those of equal shape."""
-    urls = [f"http://h.example.com/{lang}/{i:03d}" for lang in ("de", "en") for i in range(30)] + [f"http://h.example.com/about/{c}/x" for c in "abcdefgh" * 4]
-    urls += [f"http://g.example.com/{lang}/{i:03d}" for lang in ("de", "en") for i in range(30)]
+def _judged(spark, urls, rules):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    known = {f"h.example.com/de/{i:03d}": "block" for i in range(12)} | {f"g.example.com/de/{i:03d}": "allow" for i in range(12)} | {f"g.example.com/en/{i:03d}": "block" for i in range(12)}
-    got = {r.page_id: (r.rule, r.verdict, r.template) for r in urlfilter.judge(pages, rules=known).collect()}
-    assert got[5][:2] == ("h.example.com/de/005", "block") and got[20][:2] == (None, "block")
-    assert got[50][:2] == (None, "block") and got[50][2] == got[20][2]  # of equal shape: merged
-    assert got[70][:2] == (None, "allow")  # of another shape: not merged
-    at = 60 + 32
-    assert got[at + 20][:2] == (None, "allow") and got[at + 50][:2] == (None, "block")  # of equal shape, but labelled differently
-
-
-def test_production_rules_teach(spark):
-    """With the production rules, pages without a rule are rejected in hosts whose labelled branches are all blocked."""
+    rows = urlfilter.judge(pages, rules=rules).collect()
+    db = duckdb.connect()
+    db.execute("create table pages as select page_id, url from (select unnest(?) as page_id, unnest(?) as url)", [list(range(len(urls))), urls])
+    sql = db.execute(f"select page_id, verdict, template from ({urlfilter.oracle(rules)})").fetchall()
+    assert {r[0]: r[1:] for r in sql} == {r.page_id: (r.verdict, r.template) for r in rows}
+    return {urls[r.page_id]: r for r in rows}
+
+
+def _tree(host):
+    """Per host: one branch all labelled, two alike that are labelled in part, others of another shape, labels or support."""
+    tag = [f"http://{host}/{s}/p{i:02d}/{k}" for s in ("tag", "topic") for i in range(24) for k in range(3)]
+    lone = [f"http://{host}/{s}/p{i:02d}/{k}" for s in ("wiki", "free") for i in range(24) for k in range(3)]
+    flat = [f"http://{host}/de/{i}" for i in range(60)] + [f"http://{host}/en/{i}" for i in range(60)] + [f"http://{host}/deep/{i:02d}/a/b/c/d/{i % 2}" for i in range(8)]
+    rules = {f"{host}/de/": "block", f"{host}/wiki/": "allow"}
+    rules |= {f"{host}/{s}/p{i:02d}/": "block" for s in ("tag", "topic") for i in range(12)}
+    return tag + lone + flat, rules
+
+
+def test_templates_merge_and_reject_on_evidence(spark):
+    urls, rules = _tree("h.org")
+    got = _judged(spark, urls, rules)
+    # two branches alike in shape and labels are one, and half of its paths, all blocked, speak for the rest
+    assert got["http://h.org/tag/p19/1"].template == got["http://h.org/topic/p18/2"].template
+    assert got["http://h.org/tag/p19/1"].template.startswith("/~")
+    assert {got[f"http://h.org/{s}/p{i:02d}/{k}"].verdict for s in ("tag", "topic") for i in range(12, 24) for k in range(3)} == {"block"}
+    # no label reaches a branch about which nothing is known, of whatever shape
+    assert got["http://h.org/en/7"].verdict == "allow" and got["http://h.org/en/7"].template == "/=en/*"
+    assert got["http://h.org/de/7"].template == "/=de/*" and got["http://h.org/de/7"].verdict == "block"
+    assert got["http://h.org/free/p01/1"].verdict == "allow" and got["http://h.org/wiki/p01/1"].template.startswith("/=wiki/")
+    # down to the last segment
+    assert got["http://h.org/deep/03/a/b/c/d/1"].template == "/=deep/*/=a/=b/=c/=d/*"
+
+
+def test_verdicts_are_stable_under_repetition(spark):
+    """Pages that are there ten times, and ten more hosts of the same form, change no verdict."""
+    urls, rules = _tree("h.org")
+    once = {u: (r.verdict, r.template) for u, r in _judged(spark, urls, rules).items()}
+    many, more = list(urls) * 10, {}
+    for i in range(10):
+        u, r = _tree(f"h{i}.org")
+        many += u
+        more |= r
+    pages = spark.createDataFrame(list(enumerate(many)), "page_id long, url string")
+    rows = urlfilter.judge(pages, rules=rules | more).collect()
+    assert {many[r.page_id]: (r.verdict, r.template) for r in rows if r.host == "h.org"} == once
+    for i in range(10):
+        assert {many[r.page_id].replace(f"h{i}.org", "h.org"): (r.verdict, r.template) for r in rows if r.host == f"h{i}.org"} == once
+
+
+def test_production_rules(spark):
+    """What the rules decide, and that the pages of a host whose one language is blocked are not blocked with it."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
-    got = urlfilter.judge(pages).filter("rule is null").groupBy("verdict").count().collect()
-    assert all(r["count"] > 0 for r in got) and {r.verdict for r in got} == {"allow", "block"}
+    judged = urlfilter.judge(pages).cache()
+    said = {(r.by, r.verdict): r.pages for r in urlfilter.decisions(judged).collect()}
+    assert sum(said.values()) == pages.count() and {v for by, v in said if by != "template"} == {"allow", "block"}
+    free = judged.filter("rule is null and verdict = 'block'").select("host", "template").distinct().collect()
+    assert not [r for r in free if r.template.startswith("/=en")]
 
 
 SF = "/root/testdata/sf0.001"
