@@ -6,9 +6,11 @@ window of 10 consecutive item words is a pattern ` w1 ... w10 `; an item of
 fewer words is one pattern.  The search reads one block of the text at a time
 from each of many lanes at once: a shift table says how far a lane may jump,
 a block that ends some pattern's prefix opens its suffix-hash bucket, and a
-direct comparison of bytes confirms the occurrence.
+direct comparison of bytes confirms the occurrence.  A bucket holds its patterns
+by length, so a stop costs one look-up a length, however many patterns begin
+alike.
 
-Patterns and their items are made and grouped by Spark and written once.  A
+Pairs of pattern and item are made by Spark and written once, a row each.  A
 set of up to `block_bytes` is broadcast; a larger one is dealt into blocks of
 about that size by hash, and every document meets every block: a worker reads
 a group of texts (`group_bytes`), then searches it with one block after the
@@ -72,9 +74,9 @@ class WuManber:
         for j in range(self.far):
             slot = self._slot((heads[:, j : j + b].astype(_U) * weight).sum(axis=1, dtype=_U))
             np.minimum.at(self.shift, slot, m - b - j)
-        self.bucket: dict[int, list[bytes]] = defaultdict(list)
+        self.bucket: dict[int, dict[int, set[bytes]]] = {}
         for p, slot in zip(patterns, slot.tolist(), strict=True):  # of the last block of the prefix
-            self.bucket[slot].append(p)
+            self.bucket.setdefault(slot, {}).setdefault(len(p), set()).add(p)
 
     def _slot(self, block: np.ndarray) -> np.ndarray:
         return ((block * _U(0x9E3779B97F4A7C15)) >> self.down).astype(np.int64)
@@ -100,8 +102,8 @@ class WuManber:
             at, end = at[alive], end[alive]
         if found:
             for start, slot in np.concatenate(found, axis=1).T.tolist():
-                for p in self.bucket.get(slot, ()):
-                    if raw.startswith(p, start):
+                for size, patterns in self.bucket.get(slot, {}).items():
+                    if (p := raw[start : start + size]) in patterns:
                         yield start, p
 
 
@@ -117,7 +119,7 @@ class Block:
 
 
 def _patterns(benchmark: DataFrame, window: int, item: str, text: str) -> DataFrame:
-    """pattern, items: every window once, with the ids of the items that have it."""
+    """pattern, item: every window of every item once."""
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
@@ -126,25 +128,28 @@ def _patterns(benchmark: DataFrame, window: int, item: str, text: str) -> DataFr
             take = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([p for f in found for p in f], pa.binary()), part.column(0).take(take)], names=["pattern", "item"])
 
-    return rows.mapInArrow(run, "pattern binary, item string").groupBy("pattern").agg(F.collect_set("item").alias("items"))
+    return rows.mapInArrow(run, "pattern binary, item string").distinct()
 
 
 def _block(table: pa.Table) -> Block:
-    return Block(dict(zip(table.column("pattern").to_pylist(), table.column("items").to_pylist(), strict=True)))
+    owners = defaultdict(list)
+    for pattern, item in zip(table.column("pattern").to_pylist(), table.column("item").to_pylist(), strict=True):
+        owners[pattern].append(item)
+    return Block(dict(owners))
 
 
 def pattern_blocks(spark, benchmark: DataFrame, window: int, block_bytes: int, item: str, text: str) -> list:
     """The items' patterns as one broadcast, or as folders of the written table if they exceed a block."""
     found = materialise(_patterns(benchmark, window, item, text), "patterns", "few")
-    size = found.agg(F.sum(F.length("pattern") + F.lit(120) + F.size("items") * 40)).first()[0]
+    size = found.agg(F.sum(F.length("pattern") + F.lit(160))).first()[0]
     if not size:
         return []
     if size <= block_bytes:
         return [spark.sparkContext.broadcast(_block(found.toArrow()))]
     n = -(-size // block_bytes)
     path = f"{found._rl_path}-blocks"
-    number = F.pmod(F.xxhash64("pattern"), F.lit(n)).alias("block")
-    found.select("pattern", "items", number).repartition(min(n, 2000), "block").write.partitionBy("block").parquet(path)
+    number = F.pmod(F.xxhash64("pattern", "item"), F.lit(n)).alias("block")  # the items of one pattern may lie in several
+    found.select("pattern", "item", number).repartition(min(n, 2000), "block").write.partitionBy("block").parquet(path)
     return [f"{path}/block={i}" for i in range(n)]
 
 

@@ -4,8 +4,10 @@ import base64
 import hashlib
 import json
 import os
+import random
 import re
 
+import numpy as np
 import public_tokenizers as P
 import tiktoken
 from rasterloom.llm import bpe, decontaminate, secrets, storage, warc
@@ -137,6 +139,53 @@ def _plain_hits(text, items):
     return len(words), len(hit), sorted(found)
 
 
+def test_secrets_as_they_are_written():
+    """Escaped, quoted, wrapped, adjoined, with colons; headers with white space: spans of the original text."""
+    number = lambda k: _der(2, b"\x01" + os.urandom(k))
+    rsa = _der(0x30, _der(2, b"\0") + b"".join(number(64) for _ in range(8)))
+    b64 = base64.b64encode(rsa).decode()
+    lines = "\n".join(b64[i : i + 64] for i in range(0, len(b64), 64))
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{lines}\n-----END RSA PRIVATE KEY-----"
+    url = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    body = url('{"sub": 1}')
+    spaced = ":".join(f"{x:02x}" for x in rsa)
+    openssl = ":\n    ".join(":".join(f"{x:02x}" for x in rsa[i : i + 15]) for i in range(0, len(rsa), 15))
+    cases = {
+        "key": [
+            pem.replace("\n", "\\n"), pem.replace("\n", "\\r\\n"), pem.replace("\n", "\n> "), lines, b64, spaced, openssl, rsa.hex().upper(),
+            pem.replace("\n", "\\n").replace("/", "\\/"),
+        ],
+        "jwt": [url(h) + f".{body}.c2ln" for h in ('{"alg":"none"}', '{ "alg": "HS256"}', '\n{"alg":"RS256"}', '{\n  "typ": "JWT",\n  "alg": "ES256"\n}')],
+    }
+    around = {"key": [("é {'k': '", "\\n'} "), ("key/", " x"), ("key=", "\nthe end"), ("> ", "\n> so"), ("\n", "\n")], "jwt": [("é token ", " x"), ("Bearer-", "\n"), ("a=", "&b")]}
+    for kind, texts in cases.items():
+        for secret in texts:
+            for left, right in around[kind]:
+                if secret in (spaced, openssl, rsa.hex().upper()) and left == "key=":
+                    left = "key "
+                text = left + secret + right
+                found = [(a, b) for a, k, b in secrets.find(text) if secrets.KINDS[k] == kind]
+                assert found == [(len(left), len(left) + len(secret))], (kind, text[:60], found)
+                raw = [text.encode()]
+                assert secrets.suspects(raw, np.frombuffer(raw[0], np.uint8), np.array([0, len(raw[0])])).all()
+    public = base64.b64encode(_der(0x30, _der(0x30, _der(6, b"\x2a\x86")) + _der(3, b"x" * 200))).decode()
+    for text in (public, "key/" + public, base64.b64encode(os.urandom(5000)).decode(), os.urandom(3000).hex(), b64[:200], spaced[:600], url('{"typ":"x"}') + f".{body}.x"):
+        assert not [s for s in secrets.find(text) if s[1] > 2]
+
+
+def test_many_patterns_with_one_head():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    head = " please answer the following question about "
+    patterns = sorted({(head + word() + " " + word() + " ").encode() for _ in range(5000)} | {head.encode()})
+    search = decontaminate.WuManber(patterns)
+    raw = (" x ".join(head + word() + " " + word() for _ in range(300)) + patterns[7].decode()).encode()
+    known = set(patterns)
+    want = sorted({(i, p) for i in range(len(raw)) for size in {len(p) for p in patterns} if (p := raw[i : i + size]) in known})
+    assert sorted(search.search(raw)) == want and len(want) > 300
+    assert max(map(len, search.bucket.values())) <= 30  # look-ups a stop: lengths, not patterns
+
+
 def test_decontamination(spark, tmp_path, monkeypatch):
     long = " ".join(f"w{i}" for i in range(40))
     items = [(1, long), (2, "Solo"), (3, None), (4, "..."), (5, "w5 w6 w7"), (5, "w5 w6 w7"), (6, " ".join(["aa"] * 12)), (10, long.upper())]
