@@ -18,6 +18,11 @@ class Profile:
     lat_step: float = 2.0
     lon0: float = 0.0
 
+    @classmethod
+    def square(cls, side: int) -> Profile:
+        """A grid of side x side cells over the same ten degrees."""
+        return cls(n_lat=side, n_lon=side, lat_step=10.0 / side)
+
     @property
     def days(self) -> int:
         return self.last_day - self.first_day + 1

@@ -1,4 +1,4 @@
-"""Operators that need a slot's whole grid: watershed, connected seeds and their growth, local thresholds.
+"""Operators that need a slot's whole grid: watershed, connected seeds and their growth; local thresholds, by tiles.
 
 Slots are dealt over the cluster; a task holds one slot's grid at a time, whose size is the instrument's.
 Cells that a slot lacks count as missing.
@@ -9,11 +9,11 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Profile
-from . import neighbourhood, segment
+from . import neighbourhood, segment, tiles
 
 KEY = ("t", "lat_i", "lon_i")
 EDGES = ((1, 0), (-1, 0), (0, 1), (0, -1))
@@ -116,10 +116,10 @@ def watershed(df: DataFrame, x: str, method: str = "otsu", coherence: float = 0.
 def region_mean(df: DataFrame, flag: str, x: str, out: str) -> DataFrame:
     """Adds `out`: the mean of x over the cell's 8-connected region of true cells (0 elsewhere, and where x is missing
     throughout), then the greatest of the 3x3 box."""
-    found = segment.regions(df, flag, diagonal=True)
-    df = df.join(found, list(KEY), "left")
-    mean = F.when(F.col("region").isNotNull(), F.avg(x).over(Window.partitionBy("t", "region")))
-    return neighbourhood.local_max(df.withColumn(out, F.coalesce(mean, F.lit(0.0))), out, out).drop("region")
+    found = tiles.regions(df, flag, diagonal=True)
+    means = found.join(df.select(*KEY, x), list(KEY)).groupBy("first").agg(F.avg(x).alias(out))
+    df = df.join(found.join(means, "first").select(*KEY, out), list(KEY), "left")
+    return neighbourhood.local_max(df.withColumn(out, F.coalesce(out, F.lit(0.0))), out, out)
 
 
 def _box(a: np.ndarray, f) -> np.ndarray:
@@ -183,11 +183,6 @@ def disk_thresholds(gray: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def local_otsu(df: DataFrame, gray: str, radius: int = 5, out: str = "above", p: Profile = Profile()) -> DataFrame:
+def local_otsu(df: DataFrame, gray: str, radius: int = 5, out: str = "above", size: tuple[int, int, int] = tiles.SIZE) -> DataFrame:
     """t, lat_i, lon_i, `out`: the gray value lies above the Otsu threshold of the disk around it; false where missing or constant."""
-
-    def run(part):
-        grid = _grid(part, "_x", np.nan, _shape(p))
-        return part[list(KEY)].assign(**{out: _cells(part, grid > disk_thresholds(grid, radius))})
-
-    return df.select(*KEY, F.col(gray).cast("double").alias("_x")).groupBy("t").applyInPandas(run, f"t int, lat_i int, lon_i int, {out} boolean")
+    return tiles.disk_otsu(df, gray, lambda grid: disk_thresholds(grid, radius), radius, out, size)

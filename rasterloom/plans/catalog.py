@@ -39,7 +39,7 @@ def r(c: Column | str, digits: int = 6) -> Column:
 
 
 def _cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.load_cube(spark, sf_dir, PROFILE)
+    return source.load_cube(spark, sf_dir, source.profile(spark, sf_dir))
 
 
 def _scale(c: str) -> str:
@@ -47,24 +47,34 @@ def _scale(c: str) -> str:
     return f"CASE WHEN {c} IS NOT NULL THEN round({body}, 6) END AS {c}"
 
 
-_BASE = f"""ev AS (
+_BASE = f"""grid AS (
+  SELECT greatest({source.LEAST_SIDE}, CAST(floor(sqrt(count(*) // {source.EVENTS_A_CELL})) AS INTEGER)) AS side FROM events
+), ev AS (
   SELECT datediff('day', DATE '1980-01-01', CAST(ts AS DATE)) AS dfb, CAST(hour(ts) // 6 AS INTEGER) AS slot,
-    CAST((user_id % 25) // 5 AS INTEGER) AS lat_i, CAST(user_id % 25 % 5 AS INTEGER) AS lon_i, event_type, value
-  FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31'
+    CAST((user_id % (side * side)) // side AS INTEGER) AS lat_i, CAST(user_id % (side * side) % side AS INTEGER) AS lon_i, event_type, value
+  FROM events, grid WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31'
 ), mean AS (
   SELECT dfb, slot, lat_i, lon_i, {", ".join(f"round(avg(value) FILTER (event_type = '{k}'), 6) AS {c}" for k, c in source.KINDS.items())} FROM ev GROUP BY ALL
 ), obs AS (
   SELECT CAST((dfb - 16071) * 4 + slot AS INTEGER) AS t, CAST(dfb AS INTEGER) AS dfb, slot, lat_i, lon_i, {", ".join(map(_scale, CHANNELS))} FROM mean
 ), axes AS (
   SELECT CAST(t AS INTEGER) AS t, CAST(16071 + t // 4 AS INTEGER) AS dfb, CAST(t % 4 AS INTEGER) AS slot, CAST(lat AS INTEGER) AS lat_i, CAST(lon AS INTEGER) AS lon_i
-  FROM range(120) a(t), range(5) b(lat), range(5) c(lon)
+  FROM range(120) a(t), (SELECT unnest(range(side)) AS lat FROM grid) b, (SELECT unnest(range(side)) AS lon FROM grid) c
 ), lit AS (
-  SELECT *, round(sin(radians(10.0 + 2.0 * lat_i)) * sin(d) + cos(radians(10.0 + 2.0 * lat_i)) * cos(d) * cos(radians(15.0 * (slot * 6 + 3 - 12))), 9) AS cosz
-  FROM (SELECT *, radians(23.45 * sin(2 * 3.141592653589793::DOUBLE * (284 + (dfb - 16071) % 365 + 1) / 365)) AS d FROM axes)
+  SELECT *, round(sin(radians(10.0 + step * lat_i)) * sin(d) + cos(radians(10.0 + step * lat_i)) * cos(d) * cos(radians(15.0 * (slot * 6 + 3 - 12))), 9) AS cosz
+  FROM (SELECT *, 10.0::DOUBLE / side AS step, radians(23.45 * sin(2 * 3.141592653589793::DOUBLE * (284 + (dfb - 16071) % 365 + 1) / 365)) AS d FROM axes, grid)
+), rich AS (
+  SELECT CAST(c_custkey % (side * side) // side AS INTEGER) AS lat_i, CAST(c_custkey % (side * side) % side AS INTEGER) AS lon_i, avg(c_acctbal) > 4000 AS rich FROM customer, grid GROUP BY ALL
+), land AS (
+  SELECT lat_i, lon_i, coalesce(rich, false) AS is_land FROM (SELECT DISTINCT lat_i, lon_i FROM axes) LEFT JOIN rich USING (lat_i, lon_i)
+), course AS (
+  SELECT CAST(o_orderkey % (720 * side) // side AS INTEGER) AS hour_idx, CAST(o_orderkey % (720 * side) % side AS INTEGER) AS lat_i,
+    round(greatest(-3.0, least(3.0, (avg(o_totalprice) - 200000) / 50000)), 3) AS off
+  FROM orders, grid GROUP BY ALL
 ), cube AS (
-  SELECT l.t, l.dfb, l.slot, l.lat_i, l.lon_i, fir, lir, mir, sir, vis, (l.lat_i + l.lon_i) % 3 <> 0 AS is_land, cosz, acos(cosz) AS zen,
-    10.0::DOUBLE + l.lat_i + ((l.t * 6) % 24) / 4.0 + 273.15 AS t2m
-  FROM lit l LEFT JOIN (SELECT t, lat_i, lon_i, fir, lir, mir, sir, vis FROM obs) o USING (t, lat_i, lon_i)
+  SELECT l.t, l.dfb, l.slot, l.lat_i, l.lon_i, fir, lir, mir, sir, vis, is_land, cosz, acos(cosz) AS zen,
+    10.0::DOUBLE + step * l.lat_i / 2 + ((l.t * 6) % 24) / 4.0 + coalesce(off, 0.0) + 273.15 AS t2m
+  FROM lit l JOIN land USING (lat_i, lon_i) LEFT JOIN course ON course.hour_idx = l.t * 6 AND course.lat_i = l.lat_i LEFT JOIN (SELECT t, lat_i, lon_i, fir, lir, mir, sir, vis FROM obs) o USING (t, lat_i, lon_i)
 )"""
 _PX = "PARTITION BY lat_i, lon_i ORDER BY t"
 _DAY = "PARTITION BY lat_i, lon_i, slot ORDER BY dfb"
@@ -75,17 +85,18 @@ _DAY = "PARTITION BY lat_i, lon_i, slot ORDER BY dfb"
 
 @query("SELECT t, dfb, slot, lat_i, lon_i, fir, lir, mir, sir, vis FROM obs")
 def scan_cube(spark, sf_dir):
-    return source.scan_channels(spark, sf_dir, PROFILE)
+    return source.scan_channels(spark, sf_dir, source.profile(spark, sf_dir))
 
 
 @query("SELECT t, dfb, slot, lat_i, lon_i, fir, lir, mir, sir, vis FROM cube")
 def grid_complete(spark, sf_dir):
-    return source.complete_grid(source.scan_channels(spark, sf_dir, PROFILE), PROFILE)
+    p = source.profile(spark, sf_dir)
+    return source.complete_grid(source.scan_channels(spark, sf_dir, p), p)
 
 
-@query("SELECT CAST(t AS INTEGER) AS t, CAST(16071 + t // 4 AS INTEGER) AS dfb, CAST(t % 4 AS INTEGER) AS slot, TIMESTAMP '2024-01-01' + to_hours(CAST(6 * t AS INTEGER)) AS ts FROM range(120) x(t)")
+@query("SELECT CAST(t AS INTEGER) AS t, CAST(16071 + t // 4 AS INTEGER) AS dfb, CAST(t % 4 AS INTEGER) AS slot, TIMESTAMP '2024-01-01' + to_hours(CAST(6 * t AS INTEGER)) AS ts FROM (SELECT unnest(range(4 * (datediff('day', DATE '2024-01-01', CAST(min(ts) AS DATE))), 4 * (datediff('day', DATE '2024-01-01', CAST(max(ts) AS DATE)) + 1))) AS t FROM events)")
 def time_axis(spark, sf_dir):
-    return source.time_axis(spark, PROFILE).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return source.time_axis(source.read(spark, sf_dir, "events"), PROFILE).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("SELECT t, lat_i, lon_i, round(t2m, 6) AS t2m, is_land, round(cosz, 6) + 0.0 AS cosz FROM cube")
@@ -233,11 +244,11 @@ def cos_zen_slope_slices(spark, sf_dir):
 
 
 @query("""
-SELECT lat_i, lon_i, count(*) AS n, round(avg(mir), 6) AS mean_a, round(avg(lir), 6) AS mean_b,
+SELECT lat_i, lon_i, count(*) AS n, round(avg(mir) + 1e-9, 6) AS mean_a, round(avg(lir) + 1e-9, 6) AS mean_b,
   round(CASE WHEN stddev_pop(mir) > 1e-9 AND stddev_pop(lir) > 1e-9 THEN covar_pop(mir, lir) / nullif(stddev_pop(mir) * stddev_pop(lir), 0) END, 6) + 0.0 AS r
 FROM cube WHERE mir IS NOT NULL AND lir IS NOT NULL GROUP BY ALL""")
 def pixel_correlation(spark, sf_dir):
-    return stats.pixel_correlation(_cube(spark, sf_dir), "mir", "lir").withColumns({"mean_a": F.round("mean_a", 6), "mean_b": F.round("mean_b", 6), "r": r("r")})
+    return stats.pixel_correlation(_cube(spark, sf_dir), "mir", "lir").withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("mean_a", "mean_b")} | {"r": r("r")})
 
 
 # tests and classes -----------------------------------------------------------------------------------------
@@ -256,9 +267,7 @@ def _test(x: str) -> str:
 
 _FACTOR = "(1 / pow(greatest(cos(zen), 0.03), 0.3))"
 _INDEXED = f"""near AS (
-  SELECT c.lat_i, c.lon_i, bool_or((c.lat_i + dy + c.lon_i + dx) % 3 <> 0) AS near_land FROM (SELECT DISTINCT lat_i, lon_i FROM cube) c,
-    (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)
-  WHERE c.lat_i + dy BETWEEN 0 AND 4 AND c.lon_i + dx BETWEEN 0 AND 4 GROUP BY ALL
+  SELECT c.lat_i, c.lon_i, bool_or(n.is_land) AS near_land FROM land c JOIN land n ON abs(n.lat_i - c.lat_i) <= 1 AND abs(n.lon_i - c.lon_i) <= 1 GROUP BY ALL
 ), ix AS (
   SELECT *, mir - lir AS cli, (mir - lir) / greatest(cosz, 0.05) AS cli_mu, 1 - exp(-{_K!r}::DOUBLE * (1.0 / fir - 1.0 / lir)) AS cli_eps,
     (vis - sir) / greatest(sir + vis, 0.02) AS ndsi, {_bt(10.4e-6, 0.95)} AS lir_fc, {_bt(12.4e-6, 0.95)} AS fir_fc
@@ -396,7 +405,7 @@ def unique_scores(spark, sf_dir):
 
 _BOX = """SELECT c.t, c.lat_i, c.lon_i, n.x FROM (SELECT t, lat_i, lon_i FROM cube) c, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx),
   (SELECT t, lat_i, lon_i, coalesce(vis, 0.0) AS x FROM cube) n
-  WHERE n.t = c.t AND n.lat_i = least(greatest(c.lat_i + dy, 0), 4) AND n.lon_i = least(greatest(c.lon_i + dx, 0), 4)"""
+  WHERE n.t = c.t AND n.lat_i = least(greatest(c.lat_i + dy, 0), (SELECT side - 1 FROM grid)) AND n.lon_i = least(greatest(c.lon_i + dx, 0), (SELECT side - 1 FROM grid))"""
 
 
 def _filled(spark, sf_dir) -> DataFrame:
@@ -423,7 +432,7 @@ def dilate(spark, sf_dir):
 
 @query(f"WITH b AS ({_BOX}) SELECT t, lat_i, lon_i, round(median(x), 6) AS middle FROM b GROUP BY ALL")
 def median_filter(spark, sf_dir):
-    return neighbourhood.median_filter(_filled(spark, sf_dir), "x", "middle").select(*KEY, F.round("middle", 6).alias("middle"))
+    return neighbourhood.median_filter(_filled(spark, sf_dir), "x", "middle", p=source.profile(spark, sf_dir)).select(*KEY, F.round("middle", 6).alias("middle"))
 
 
 def _otsu(by: str) -> str:
@@ -458,15 +467,6 @@ def equalize_histogram(spark, sf_dir):
     return segment.equalize(gray, "gray", ["t"]).select(*KEY, "gray", "equal")
 
 
-@query("""
-WITH RECURSIVE s AS (SELECT t, lat_i AS i, lon_i AS j FROM cube WHERE vis > 0.25),
-reach AS (SELECT t, i, j, i AS y, j AS x FROM s UNION SELECT r.t, r.i, r.j, s.i, s.j FROM reach r JOIN s ON s.t = r.t AND abs(s.i - r.y) + abs(s.j - r.x) = 1),
-m AS (SELECT t, i, j, min(y * 5 + x) AS first FROM reach GROUP BY ALL)
-SELECT t, i AS lat_i, j AS lon_i, CAST(dense_rank() OVER (PARTITION BY t ORDER BY first) AS INTEGER) AS region FROM m""")
-def bright_regions(spark, sf_dir):
-    return segment.regions(_cube(spark, sf_dir).withColumn("bright", P.test(F.col("vis") > 0.25)), "bright")
-
-
 @query()
 def low_pass(spark, sf_dir):
     return segment.low_pass(_cube(spark, sf_dir), "vis", 2.0).withColumn("smooth", r("smooth"))
@@ -632,4 +632,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return static_classifier(spark, sf_dir)
 
 
-from . import catalog_grids, catalog_more  # noqa: E402, F401  (register their queries)
+from . import catalog_grids, catalog_more, catalog_tiles  # noqa: E402, F401  (register their queries)

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import classify, grids, stats
+from ..sources import cube as source
 from .catalog import _INDEXED, KEY, _bt, _cube, _test, query
 
 _RISES, _FALLS = (f"greatest(0.0, {', '.join(s.format(f'n{k}{c}') for k in (1, 2) for c in 'ae')})" for s in ("ndsi - {}", "{} - ndsi"))
@@ -72,11 +73,11 @@ def local_otsu(spark, sf_dir):
 @query()
 def watershed(spark, sf_dir):
     """Held against plain versions in the tests."""
-    return grids.watershed(_cube(spark, sf_dir), "lir")
+    return grids.watershed(_cube(spark, sf_dir), "lir", p=source.profile(spark, sf_dir))
 
 
 @query()
 def grow_seeds(spark, sf_dir):
     """Held against plain versions in the tests."""
     cube = classify.with_tests(classify.with_indexes(_cube(spark, sf_dir))).withColumn("allowed", F.col("zen") < math.radians(85))
-    return grids.grow(cube, "is_cloud", "vis", "lir", "allowed")
+    return grids.grow(cube, "is_cloud", "vis", "lir", "allowed", p=source.profile(spark, sf_dir))

@@ -55,14 +55,14 @@ def range_check(spark, sf_dir):
     return source.in_range(_cube(spark, sf_dir), list(CHANNELS), 0, 350)
 
 
-@query(f"SELECT t, CAST(dfb AS INTEGER) AS dfb, slot, CAST(4 - lat_i AS INTEGER) AS lat_i, lon_i, {', '.join(f'coalesce({c}, -999.0) AS {c}' for c in CHANNELS)} FROM cube")
+@query(f"SELECT t, CAST(dfb AS INTEGER) AS dfb, slot, CAST((SELECT side FROM grid) - 1 - lat_i AS INTEGER) AS lat_i, lon_i, {', '.join(f'coalesce({c}, -999.0) AS {c}' for c in CHANNELS)} FROM cube")
 def export_layout(spark, sf_dir):
-    return source.for_export(_cube(spark, sf_dir), PROFILE).select("t", "dfb", "slot", "lat_i", "lon_i", *CHANNELS)
+    return source.for_export(_cube(spark, sf_dir), source.profile(spark, sf_dir)).select("t", "dfb", "slot", "lat_i", "lon_i", *CHANNELS)
 
 
-@query(f"WITH p AS ({_LL}), k AS (SELECT id, CAST(floor((lat - 10) / 2.0 + 0.5) AS INTEGER) AS i, CAST(floor(((lon % 360 + 360) % 360) / 2.0 + 0.5) AS INTEGER) AS j FROM p) SELECT id, CASE WHEN i BETWEEN 0 AND 4 THEN i END AS lat_i, CASE WHEN j BETWEEN 0 AND 4 THEN j END AS lon_i FROM k")
+@query(f"WITH p AS ({_LL}), k AS (SELECT id, CAST(floor((lat - 10) / (10.0::DOUBLE / side) + 0.5) AS INTEGER) AS i, CAST(floor(((lon % 360 + 360) % 360) / (10.0::DOUBLE / side) + 0.5) AS INTEGER) AS j, side FROM p, grid) SELECT id, CASE WHEN i >= 0 AND i < side THEN i END AS lat_i, CASE WHEN j >= 0 AND j < side THEN j END AS lon_i FROM k")
 def nearest_cell(spark, sf_dir):
-    i, j = source.nearest(F.col("lat"), F.col("lon"), PROFILE)
+    i, j = source.nearest(F.col("lat"), F.col("lon"), source.profile(spark, sf_dir))
     return _points(spark, sf_dir).select("id", i.alias("lat_i"), j.alias("lon_i"))
 
 
@@ -253,7 +253,7 @@ def lag_of_peak(spark, sf_dir):
 
 @query("WITH s AS (SELECT t FROM cube GROUP BY t HAVING (t * 7919) % 10007 % 10 < 3) SELECT t, lat_i, lon_i, vis, is_land FROM cube SEMI JOIN s USING (t)")
 def restrict_pools(spark, sf_dir):
-    picked = source.time_axis(spark, PROFILE).filter((F.col("t") * 7919) % 10007 % 10 < 3).select("t")
+    picked = source.time_axis(source.read(spark, sf_dir, "events"), PROFILE).filter((F.col("t") * 7919) % 10007 % 10 < 3).select("t")
     return _cube(spark, sf_dir).join(picked, "t", "left_semi").select(*KEY, "vis", "is_land")
 
 
@@ -304,10 +304,11 @@ def sliding_patches(spark, sf_dir):
     return neighbourhood.patch(cube, "x", "p").select(*KEY, *(f"p{i}" for i in range(9)))
 
 
-@query("SELECT t, CAST(lat_i // 2 AS INTEGER) AS tile_lat, CAST(lon_i // 2 AS INTEGER) AS tile_lon, count(*) AS cells, round(avg(vis), 9) AS mean, bool_or(is_land AND lat_i % 2 = 1 AND lon_i % 2 = 1) AS centre_land FROM cube WHERE lat_i < 4 AND lon_i < 4 GROUP BY ALL")
+@query("SELECT t, CAST(lat_i // 2 AS INTEGER) AS tile_lat, CAST(lon_i // 2 AS INTEGER) AS tile_lon, count(*) AS cells, round(avg(vis), 9) AS mean, bool_or(is_land AND lat_i % 2 = 1 AND lon_i % 2 = 1) AS centre_land FROM cube, grid WHERE lat_i < side - side % 2 AND lon_i < side - side % 2 GROUP BY ALL")
 def tiles(spark, sf_dir):
     """Non-overlapping 2x2 tiles with the label of the cell past their centre; incomplete tiles are cropped."""
-    cube = _cube(spark, sf_dir).filter("lat_i < 4 and lon_i < 4")
+    even = source.profile(spark, sf_dir).n_lat // 2 * 2
+    cube = _cube(spark, sf_dir).filter((F.col("lat_i") < even) & (F.col("lon_i") < even))
     centre = F.col("is_land") & (F.col("lat_i") % 2 == 1) & (F.col("lon_i") % 2 == 1)
     keyed = cube.groupBy("t", F.floor(F.col("lat_i") / 2).cast("int").alias("tile_lat"), F.floor(F.col("lon_i") / 2).cast("int").alias("tile_lon"))
     return keyed.agg(F.count("*").alias("cells"), F.round(F.avg("vis"), 9).alias("mean"), F.bool_or(centre).alias("centre_land"))
@@ -406,10 +407,10 @@ s AS (SELECT *, {h!r}::DOUBLE - rc * cos(pc) * cos(lam) AS sx, -rc * cos(pc) * s
 i AS (SELECT to_l, to_c, CAST(floor((atan(sz / sx) + 0.16) / 0.02) AS INTEGER) AS l, CAST(floor((asin(-sy / sqrt(sx * sx + sy * sy + sz * sz)) + 0.16) / 0.02) AS INTEGER) AS c FROM s)"""
 
 
-@query(f"WITH raster AS (SELECT CAST(x // 16 AS INTEGER) AS l, CAST(x % 16 AS INTEGER) AS c, (x // 16) * 100.0::DOUBLE + x % 16 AS v FROM range(256) t(x)), {_inverse('l', 'c')} SELECT i.to_l AS l, i.to_c AS c, v FROM i LEFT JOIN raster USING (l, c)")
+@query(f"WITH raster AS (SELECT CAST(c_custkey % 256 // 16 AS INTEGER) AS l, CAST(c_custkey % 16 AS INTEGER) AS c, round(max(c_acctbal), 2) AS v FROM customer GROUP BY ALL), {_inverse('l', 'c')} SELECT i.to_l AS l, i.to_c AS c, v FROM i LEFT JOIN raster USING (l, c)")
 def renavigate(spark, sf_dir):
-    i = F.col("id")
-    raster = spark.range(256).select(F.floor(i / 16).cast("int").alias("l"), (i % 16).cast("int").alias("c"), (F.floor(i / 16) * 100.0 + i % 16).alias("v"))
+    i = F.col("c_custkey")
+    raster = source.read(spark, sf_dir, "customer").groupBy(F.floor(i % 256 / 16).cast("int").alias("l"), (i % 16).cast("int").alias("c")).agg(F.round(F.max("c_acctbal"), 2).alias("v"))
     return navigation.renavigate(raster, 5.0, 7.0, 0.02, -0.16).select("l", "c", "v")
 
 
@@ -417,5 +418,5 @@ def renavigate(spark, sf_dir):
   CAST(DATE '1980-01-01' + CAST(dfb AS INTEGER) AS VARCHAR) AS start, CAST(DATE '1980-01-01' + CAST(dfb + 1 AS INTEGER) AS VARCHAR) AS stop, 1440 // (360 * 1) AS slots FROM cube""")
 def day_names(spark, sf_dir):
     day = F.date_add(F.lit("1980-01-01").cast("date"), F.col("dfb"))
-    axis = source.time_axis(spark, PROFILE).select("dfb").distinct()
+    axis = source.time_axis(source.read(spark, sf_dir, "events"), PROFILE).select("dfb").distinct()
     return axis.select("dfb", F.date_format(day, "yyyyMMdd").alias("day"), F.dayofyear(day).alias("doy"), day.cast("string").alias("start"), F.date_add(day, 1).cast("string").alias("stop"), F.lit(PROFILE.slots_per_day).alias("slots"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: events that a cell gets on average, and the least cells in a row
+EVENTS_A_CELL, LEAST_SIDE = 250, 5
+
+
+def profile(spark: SparkSession, sf_dir: str) -> Profile:
+    """The grid that grows with `events`: as many cells a side as give each EVENTS_A_CELL events (counted in the files' footers)."""
+    return Profile.square(max(LEAST_SIDE, math.isqrt(read(spark, sf_dir, "events").count() // EVENTS_A_CELL)))
+
+
 def scan_channels(spark: SparkSession, sf_dir: str, p: Profile = Profile()) -> DataFrame:
     """Observed cells only: t, dfb, slot, lat_i, lon_i and the channels, null where not observed.
 
@@ -36,27 +47,33 @@ def scan_channels(spark: SparkSession, sf_dir: str, p: Profile = Profile()) -> D
     return cube.select(t.alias("t"), "dfb", "slot", "lat_i", "lon_i", *(scaled[c].alias(c) for c in CHANNELS))
 
 
-def time_axis(spark: SparkSession, p: Profile = Profile()) -> DataFrame:
-    """t, dfb, slot, ts of every slot."""
-    t = F.col("id").cast("int")
+def time_axis(events: DataFrame, p: Profile = Profile()) -> DataFrame:
+    """t, dfb, slot, ts of every slot from the events' first day to their last."""
+    t = F.col("t")
+    day = lambda end: F.datediff(F.to_date(end("ts")), F.lit("1980-01-01").cast("date")) - p.first_day
+    slots = events.agg(F.explode(F.sequence(day(F.min) * p.slots_per_day, (day(F.max) + 1) * p.slots_per_day - 1)).alias("t"))
     dfb = (p.first_day + F.floor(t / p.slots_per_day)).cast("int")
     slot = (t % p.slots_per_day).cast("int")
     ts = F.timestamp_seconds((dfb.cast("long") + 3652) * 86400 + slot * p.hours_per_slot * 3600)
-    return spark.range(p.days * p.slots_per_day).select(t.alias("t"), dfb.alias("dfb"), slot.alias("slot"), ts.alias("ts"))
+    return slots.select(t.cast("int").alias("t"), dfb.alias("dfb"), slot.alias("slot"), ts.alias("ts"))
 
 
-def land_mask(spark: SparkSession, p: Profile = Profile()) -> DataFrame:
-    """lat_i, lon_i, is_land of every cell: n_lat * n_lon rows by construction."""
-    lat = F.floor(F.col("id") / p.n_lon).cast("int")
-    lon = (F.col("id") % p.n_lon).cast("int")
-    return spark.range(p.n_lat * p.n_lon).select(lat.alias("lat_i"), lon.alias("lon_i"), ((lat + lon) % 3 != 0).alias("is_land"))
+def land_mask(spark: SparkSession, sf_dir: str, p: Profile = Profile()) -> DataFrame:
+    """lat_i, lon_i, is_land of every cell: land where the customers that fall to it have more than 4,000 on average, sea where there are none."""
+    cells = p.n_lat * p.n_lon
+    rich = read(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % cells).alias("id")).agg((F.avg("c_acctbal") > 4000).alias("rich"))
+    lat, lon = F.floor(F.col("id") / p.n_lon).cast("int"), (F.col("id") % p.n_lon).cast("int")
+    return spark.range(cells).join(rich, "id", "left").select(lat.alias("lat_i"), lon.alias("lon_i"), F.coalesce("rich", F.lit(False)).alias("is_land"))
 
 
-def temperature(spark: SparkSession, p: Profile = Profile()) -> DataFrame:
-    """Hourly forecast (hour_idx since the first day, lat_i, t2m in degrees Celsius)."""
-    hours = spark.range(p.days * 24 * p.n_lat)
+def temperature(spark: SparkSession, sf_dir: str, p: Profile = Profile()) -> DataFrame:
+    """Hourly forecast (hour_idx since the first day, lat_i, t2m in degrees Celsius): the usual course, and up to 3 degrees off it by the orders that fall to the hour and latitude."""
+    points = p.days * 24 * p.n_lat
+    off = F.round(F.greatest(F.lit(-3.0), F.least(F.lit(3.0), (F.avg("o_totalprice") - 200000) / 50000)), 3)
+    orders = read(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % points).alias("id")).agg(off.alias("off"))
     hour, lat = F.floor(F.col("id") / p.n_lat).cast("int"), (F.col("id") % p.n_lat).cast("int")
-    return hours.select(hour.alias("hour_idx"), lat.alias("lat_i"), (10.0 + lat + (hour % 24) / 4).alias("t2m"))
+    usual = 10.0 + p.lat_step * lat / 2 + (hour % 24) / 4
+    return spark.range(points).join(orders, "id", "left").select(hour.alias("hour_idx"), lat.alias("lat_i"), (usual + F.coalesce("off", F.lit(0.0))).alias("t2m"))
 
 
 def complete_grid(cube: DataFrame, p: Profile = Profile()) -> DataFrame:
@@ -90,9 +107,9 @@ def load_cube(spark: SparkSession, sf_dir: str, p: Profile = Profile()) -> DataF
     is_land has one row per cell and t2m one per hour and latitude; both are
     joined by key, and Spark broadcasts them only under its size threshold.
     """
-    cube = complete_grid(scan_channels(spark, sf_dir, p), p).join(land_mask(spark, p), ["lat_i", "lon_i"])
+    cube = complete_grid(scan_channels(spark, sf_dir, p), p).join(land_mask(spark, sf_dir, p), ["lat_i", "lon_i"])
     hour = (F.col("t") * p.hours_per_slot).alias("hour_idx")
-    cube = cube.withColumn("hour_idx", hour).join(temperature(spark, p), ["hour_idx", "lat_i"]).drop("hour_idx")
+    cube = cube.withColumn("hour_idx", hour).join(temperature(spark, sf_dir, p), ["hour_idx", "lat_i"]).drop("hour_idx")
     return cube.withColumn("cosz", cos_zenith(p)).withColumn("zen", F.acos("cosz")).withColumn("t2m", F.col("t2m") + 273.15)
 
 

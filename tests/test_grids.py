@@ -110,7 +110,7 @@ def test_local_otsu_plain(spark):
             score = round(len(low) * len(high) * (sum(low) / len(low) - sum(high) / len(high)) ** 2, 3)
             best = max(best, (score, -k)) if best else (score, -k)
         want[i, j] = best is not None and gray[i, j] > -best[1]
-    got = _back(grids.local_otsu(_frame(spark, {"x": gray}, ["double"]), "x", 2, p=Profile(n_lat=6, n_lon=7)), gray.shape, "above")
+    got = _back(grids.local_otsu(_frame(spark, {"x": gray}, ["double"]), "x", 2, size=(1, 4, 4)), gray.shape, "above")
     assert (got == want).all()
 
 
