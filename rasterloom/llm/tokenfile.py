@@ -55,9 +55,12 @@ MAGIC = b"PFORIDS1"
 _HEAD = struct.Struct("<IIIBB")
 _TAIL = struct.Struct("<QQQQII8s")
 _ENTRY = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")])
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000  # twice as many are remembered, by the worker, not by the task
 CACHED_CHARS = 64
-_UNSURE = re.compile(r"\s (?!\S)")
+# fixed values: the byte-level pre-tokenizer's pattern, and the same for Latin letters, where re has classes of the same members
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+_SPLIT_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+").findall
+_BEYOND_LATIN = re.compile("[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
 
 
 # blocks
@@ -227,55 +230,45 @@ class FileReader:
 class Encoder:
     """Texts to ids by the tokenizers library, special tokens' strings as ordinary text.
 
-    A byte-level tokenizer begins a new piece at a space unless both its
-    neighbours are white space or the end, so texts are cut there and each
-    distinct piece is encoded once (texts with such a place are cut by the
-    tokenizer's own pattern).  Other tokenizers get whole texts.
+    A byte-level tokenizer treats each match of its pattern alone, so texts are
+    cut by that pattern and each distinct match is encoded once while it is
+    remembered.  Other tokenizers get whole texts.
     """
 
-    _pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed: the byte-level pre-tokenizer's
-
     def __init__(self, serialised: str):
         self.tokenizer = tokenizers.Tokenizer.from_str(serialised)
         self.tokenizer.encode_special_tokens = True
         said = json.loads(serialised)
         cut = said.get("pre_tokenizer") or {}
-        self.by_piece = not said.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
-        self.split = regex.compile(self._pattern).findall
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # of pieces after a space, of others
+        self.by_match = not said.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         out = []
         for lo in range(0, len(texts), 20_000):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 20_000], add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 20_000], add_special_tokens=False)]
+            out += [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
         return out
 
-    def _learn(self, spaced: bool, words: set[str]) -> dict[str, bytes]:
-        """The words' ids; short ones are kept for later texts."""
-        known = self.known[not spaced]
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = [w for w in words if w not in known]
-        ids = dict(zip(new, self._ids([" " + w for w in new] if spaced else new), strict=True))
-        known.update((w, i) for w, i in ids.items() if len(w) <= CACHED_CHARS)
-        return known if len(ids) == sum(len(w) <= CACHED_CHARS for w in ids) else {**{w: known[w] for w in words if w in known}, **ids}
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        if not self.by_piece:
+        if not self.by_match:
             return self._ids(texts)
-        heads, tails = [], []
-        for t in texts:
-            if _UNSURE.search(t):
-                heads.append(self.split(t))
-                tails.append([])
+        cut = [(_SPLIT_LATIN if not _BEYOND_LATIN.search(t) else _SPLIT)(t) for t in texts]
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        known, older, long = self.known, self.older, {}
+        new = []
+        for w in set().union(*cut).difference(known):
+            if (ids := older.get(w)) is None:
+                new.append(w)
             else:
-                first, *rest = t.split(" ")
-                heads.append([first] if first else [])
-                tails.append(rest)
-        plain = self._learn(False, set().union(*heads)).__getitem__
-        spaced = self._learn(True, set().union(*tails)).__getitem__
-        return [b"".join([*map(plain, h), *map(spaced, t)]) for h, t in zip(heads, tails, strict=True)]
+                known[w] = ids
+        for w, ids in zip(new, self._ids(new), strict=True):
+            (known if len(w) <= CACHED_CHARS else long)[w] = ids
+        get = {**known, **long}.__getitem__ if long else known.__getitem__
+        return [b"".join(map(get, words)) for words in cut]
 
 
 _LOADED: dict[str, Encoder] = {}  # the encoder that a worker has loaded
@@ -317,7 +310,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, base: str | Non
         cols = [[part_no] * len(done), list(range(len(done))), *(zip(*done, strict=True) if done else ((),) * 4)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["part", "no", "path", "docs", "n_ids", "bytes"])
 
-    files = materialise(rows.mapInArrow(run, "part long, no long, path string, docs long, n_ids long, bytes long"), "id-files", "few")
+    files = materialise(rows.mapInArrow(run, "part long, no long, path string, docs long, n_ids long, bytes long"), "id-files")
     # running totals in two steps: groups of ranges, then files within a group
     files = files.withColumn("many", F.floor(F.col("part") / 1024))
     groups = files.groupBy("many").agg(F.sum("n_ids").alias("all_ids"))

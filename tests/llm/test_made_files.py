@@ -186,7 +186,7 @@ WHOLE = _tokenizer()
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.sampled_from(list("ab  \n\t'sé1.,  \x1c\x85你<|>")), max_size=30), max_size=4))
-def test_pieces_encode_like_whole_texts(texts):
+def test_matches_encode_like_whole_texts(texts):
     want = [WHOLE.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(i, "<u4").tolist() for i in ENCODER.encode(texts)] == want
 
@@ -207,8 +207,14 @@ def test_token_files(spark):
     assert tokenfile.read_ids(none).count() == 0
 
 
+def test_latin_pattern_is_the_pattern():
+    every = [chr(c) for c in range(0x250) if not tokenfile._BEYOND_LATIN.search(chr(c))]
+    text = "".join(f"{c}a{c}{c}1 {c}'{c}" for c in every)
+    assert tokenfile._SPLIT_LATIN(text) == tokenfile._SPLIT(text) == regex.findall(P.PATTERN, text) and len(every) > 570
+
+
 def test_other_tokenizers_get_whole_texts():
     with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
         encoder = tokenfile.Encoder(f.read())
-    assert not encoder.by_piece
+    assert not encoder.by_match
     assert len(np.frombuffer(encoder.encode(["Two words"])[0], "<u4")) == 2
