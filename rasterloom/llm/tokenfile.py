@@ -49,33 +49,50 @@ from pyspark.sql import functions as F
 from . import bytesops as B
 from .storage import materialise, new_path, open_path
 
-BLOCK = 1024
+BLOCK = 4096
 PERCENTILES = (50, 75, 90, 95, 99, 100)
 MAGIC = b"PFORIDS1"
 _HEAD = struct.Struct("<IIIBB")
 _TAIL = struct.Struct("<QQQQII8s")
+_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 _ENTRY = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")])
-CACHE_WORDS = 400_000  # twice as many are remembered, by the worker, not by the task
+CACHE_WORDS = 700_000  # twice as many are remembered, by the worker, not by the task
 CACHED_CHARS = 64
 # fixed values: the byte-level pre-tokenizer's pattern, and the same for Latin letters, where re has classes of the same members
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
 _SPLIT_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+").findall
+_ODD_LATIN = bytes([0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE])
 _BEYOND_LATIN = re.compile("[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
 
 
+def _is_latin(text: str) -> bool:
+    """Only letters that both patterns see alike?"""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _BEYOND_LATIN.search(text)
+    return len(raw.translate(None, _ODD_LATIN)) == len(raw)
+
+
 # blocks
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of numbers (blocks x ids, under 2^width) as rows of packed bytes."""
-    bits = np.unpackbits(np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(*values.shape, 4), axis=2, bitorder="little")[:, :, :width]
-    return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
+    size = 2 if width <= 16 else 4
+    raw = np.ascontiguousarray(values, f"<u{size}").view(np.uint8).reshape(*values.shape, size)
+    if width == 8 * size:
+        return raw.reshape(len(values), -1)
+    return np.packbits(np.unpackbits(raw, axis=2, bitorder="little")[:, :, :width].reshape(len(values), -1), axis=1, bitorder="little")
 
 
 def _unpack(packed: np.ndarray, ids: int, width: int) -> np.ndarray:
-    bits = np.zeros((len(packed), ids, 32), np.uint8)
-    bits[:, :, :width] = np.unpackbits(packed, axis=1, count=ids * width, bitorder="little").reshape(len(packed), ids, width)
-    return np.packbits(bits.reshape(len(packed), -1), axis=1, bitorder="little").view("<u4").reshape(len(packed), ids)
+    size = 2 if width <= 16 else 4
+    if width < 8 * size:
+        bits = np.zeros((len(packed), ids, 8 * size), np.uint8)
+        bits[:, :, :width] = np.unpackbits(packed, axis=1, count=ids * width, bitorder="little").reshape(len(packed), ids, width)
+        packed = np.packbits(bits.reshape(len(packed), -1), axis=1, bitorder="little")
+    return np.ascontiguousarray(packed).view(f"<u{size}").reshape(len(packed), ids).astype("<u4")
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
@@ -83,7 +100,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     n = ids.shape[1]
     low = ids.min(axis=1)
     diff = ids - low[:, None]
-    bits = np.frexp(diff.astype(np.float64))[1]  # the bit length of each
+    bits = _BITS[diff].astype(np.int64) if diff.max() < len(_BITS) else np.frexp(diff.astype(np.float64))[1].astype(np.int64)  # the bit length of each
     count = np.bincount((bits + 33 * np.arange(len(ids))[:, None]).ravel(), minlength=33 * len(ids)).reshape(-1, 33)
     within = np.cumsum(count, axis=1)  # of how many ids the bit length is at most this
     top = bits.max(axis=1)
@@ -135,7 +152,7 @@ def decode_blocks(raw: bytes, starts: list[int]) -> list[np.ndarray]:
 class FileWriter:
     """Writes documents' ids, one after the other; holds at most `held` blocks of them."""
 
-    def __init__(self, path: str, block: int = BLOCK, held: int = 256):
+    def __init__(self, path: str, block: int = BLOCK, held: int = 64):
         if not 0 < block <= 1 << 16:
             raise ValueError("an exception's place takes 16 bits")
         self.path, self.block, self.held = path, block, held
@@ -211,7 +228,7 @@ class FileReader:
     def document(self, i: int) -> np.ndarray:
         return self.ids_between(int(self.first[i]), int(self.first[i + 1]))
 
-    def documents(self, most: int = 256 * BLOCK) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    def documents(self, most: int = 64 * BLOCK) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, place of its first id in the file, ids) of all, in runs of about `most` ids."""
         lo = 0
         while lo < len(self.entries):
@@ -255,7 +272,7 @@ class Encoder:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         if not self.by_match:
             return self._ids(texts)
-        cut = [(_SPLIT_LATIN if not _BEYOND_LATIN.search(t) else _SPLIT)(t) for t in texts]
+        cut = [(_SPLIT_LATIN if _is_latin(t) else _SPLIT)(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known
         known, older, long = self.known, self.older, {}
@@ -330,7 +347,7 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                 for doc, at, ids in FileReader(path).documents():
                     rows.append((doc, base + at, len(ids), ids.tobytes()))
                     size += len(ids)
-                    if size >= 256 * BLOCK:
+                    if size >= 64 * BLOCK:
                         yield _batch(rows)
                         rows, size = [], 0
                 if rows:
