@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Profile, Thresholds
 from ..functions import physics as P
-from . import neighbourhood, segment, stats, timeseries
+from . import neighbourhood, segment, stats, tiles, timeseries
 
 TH = Thresholds()
 
@@ -110,14 +110,17 @@ def thick_cloud(cube: DataFrame, quick: bool = False) -> DataFrame:
     return cube.withColumn("thick", (uneven & (F.col("_rise") > 0.2)) | (uneven & opaque) | (opaque & P.test(F.col("vis") > 0.5))).drop("_x", "_rise")
 
 
-def broad_snow(cube: DataFrame) -> DataFrame:
-    """Adds `broad`: day or dawn, land, bright by the broad limit, and snow index over the broad limit or the plain test."""
+def broad_snow(cube: DataFrame, size: tuple[int, int, int] = tiles.SIZE) -> DataFrame:
+    """t, lat_i, lon_i, broad: day or dawn, land, bright by the broad limit, and over the plain snow index test or on the rim
+    of what lies under the broad limit, through space and time (tiles.watershed_volume).  Needs ndsi of with_indexes."""
     ndsi = F.col("ndsi")
-    wide = P.test(ndsi > TH.broad_ndsi) | P.ndsi_test(ndsi)
-    return cube.withColumn("broad", P.gate(F.col("zen"), "dawn_day") & F.col("is_land") & wide & P.test(F.col("vis") > TH.broad_vis_snow))
+    rest = P.gate(F.col("zen"), "dawn_day") & F.col("is_land") & P.test(F.col("vis") > TH.broad_vis_snow)
+    kept = cube.select(*tiles.KEY, P.test(ndsi < TH.broad_ndsi).alias("under"), P.ndsi_test(ndsi).alias("over"), rest.alias("rest"))
+    rim = tiles.watershed_volume(kept, "under", size=size)
+    return kept.join(rim, list(tiles.KEY)).select(*tiles.KEY, (F.col("rest") & (F.col("rim") | F.col("over"))).alias("broad"))
 
 
-def features(cube: DataFrame, kind: str, level: str) -> DataFrame:
+def features(cube: DataFrame, kind: str, level: str, p: Profile = Profile()) -> DataFrame:
     """The features of a kind (infrared or visible) at a level (channel, cli, ndsi, abstract); other names are refused."""
     key = ["t", "lat_i", "lon_i"]
     channels = {"infrared": ("fir", "lir", "mir"), "visible": ("sir", "vis")}
@@ -129,7 +132,15 @@ def features(cube: DataFrame, kind: str, level: str) -> DataFrame:
     if level in ("cli", "ndsi"):
         return cube.select(*key, level)
     if kind == "visible":
-        return cube.select(*key, "ndsi", timeseries.positive_variability(F.col("ndsi")).alias("ndsi_variability"), "vis", timeseries.positive_variability(F.col("vis")).alias("vis_variability"))
+        cube = neighbourhood.dilate(cube, "is_land", "near_land")
+        masked = ~P.gate(F.col("zen"), "dawn_day") | F.col("vis").isNull() | F.col("sir").isNull() | ~F.col("is_land")
+        cube = cube.withColumn("shown", F.when(~masked, F.col("ndsi")))
+        shown = F.col("shown")
+        sea = P.sea_coast_cloud(F.col("zen"), F.col("is_land"), F.col("near_land"), F.col("vis"))
+        return cube.select(
+            *key, F.coalesce(shown, F.lit(timeseries.FILL)).alias("ndsi"), timeseries.negative_variability(shown).alias("drop"),
+            timeseries.lasting_rise(shown, p.first_day, p.last_day).alias("rise"), sea.cast("int").alias("sea"),
+        )
     lit = P.gate(F.col("zen"), "dawn_day")
     cold = (lit & P.cold(F.col("lir"), F.col("t2m"))).cast("int")
     return cube.select(*key, "cli_eps", timeseries.positive_variability(F.col("cli")).alias("cli_variability"), F.col("cli").alias("difference"), cold.alias("cold"))

@@ -44,12 +44,6 @@ def infrared_features(spark, sf_dir):
     return out.select(*KEY, r("cli_eps").alias("cli_eps"), r("cli_variability").alias("cli_variability"), r("difference").alias("difference"), "cold")
 
 
-@query(f"""WITH {_INDEXED} SELECT t, lat_i, lon_i, round(ndsi, 6) + 0.0 AS ndsi, round({_near_days("ndsi")}, 6) + 0.0 AS ndsi_variability, vis, round({_near_days("vis")}, 6) + 0.0 AS vis_variability FROM ix""")
-def visible_features(spark, sf_dir):
-    out = classify.features(_cube(spark, sf_dir), "visible", "abstract")
-    return out.select(*KEY, r("ndsi").alias("ndsi"), r("ndsi_variability").alias("ndsi_variability"), "vis", r("vis_variability").alias("vis_variability"))
-
-
 @query(f"SELECT {', '.join(f'bool_and({c} BETWEEN 0 AND 350) AS {c}' for c in CHANNELS)} FROM cube")
 def range_check(spark, sf_dir):
     return source.in_range(_cube(spark, sf_dir), list(CHANNELS), 0, 350)
@@ -211,11 +205,6 @@ def masked_texture(spark, sf_dir):
     return cube.select(*KEY, F.when(F.col("wide"), -10.0).otherwise(F.round("sd", 4)).alias("texture"))
 
 
-@query(f"WITH {_INDEXED} SELECT t, lat_i, lon_i, dawn_day AND is_land AND ({_test('ndsi > 0.25')} OR {_test('ndsi > 0.3')}) AND {_test('vis > 0.2')} AS broad FROM decided")
-def broad_snow(spark, sf_dir):
-    return classify.broad_snow(classify.with_indexes(_cube(spark, sf_dir))).select(*KEY, "broad")
-
-
 # aggregates and sampling ---------------------------------------------------------------------------------------
 
 
