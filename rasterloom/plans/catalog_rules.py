@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import classify, density, patterns
+from ..operators import classify, density, ensembles, patterns
 from ..sources import cube as source
+from ..sources import slot_files, storage
 from .catalog import _DAY, _INDEXED, _SLICED, KEY, PROFILE, _cube, _test, query, r
 
 _LAGS = [f"{f}(shown, {k}) OVER ({_DAY})" for f in ("lag", "lead") for k in (1, 2)]
@@ -105,3 +108,94 @@ def density_clusters(spark, sf_dir):
     x = F.col("embedding")
     points = source.read(spark, sf_dir, "embeddings").select("vec_id", *(x[i].cast("double").alias(c) for i, c in enumerate("abc")))
     return density.clusters(points, "vec_id", ["a", "b", "c"], 0.05, 5)
+
+
+def _written_labels(spark, sf_dir, kind, label):
+    """A fresh folder of label files made from the cube: every slot but each seventh."""
+    p = source.profile(spark, sf_dir)
+    labels = source.scan_channels(spark, sf_dir, p).filter("t % 7 <> 3").select("dfb", "slot", "lat_i", "lon_i", label.alias("label"))
+    path = f"{storage.shared_dir(spark)}/slot-files/{uuid.uuid4().hex}"
+    slot_files.write_slots(labels, path, kind, p.slots_per_day, (p.n_lat, p.n_lon)).count()
+    return path, p
+
+
+@query("""
+WITH l AS (SELECT t, lat_i, lon_i, round(least(vis, 1.0), 6) AS label FROM obs WHERE t % 7 <> 3)
+SELECT c.t, c.dfb, c.slot, c.lat_i, c.lon_i, coalesce(label, -10.0) AS label
+FROM cube c LEFT JOIN l USING (t, lat_i, lon_i) WHERE c.dfb BETWEEN 16075 AND 16090 AND c.slot >= 1""")
+def slot_labels_with_holes(spark, sf_dir):
+    """Files by slot, written and read back by day and slot; missing slots and cells as holes."""
+    path, p = _written_labels(spark, sf_dir, "CSP", F.round(F.least("vis", F.lit(1.0)), 6))
+    read = slot_files.read_slots(spark, path, p.first_day, p.last_day, kind="CSP", window=f"0,{p.n_lat},0,{p.n_lon}")
+    return read.filter("dfb between 16075 and 16090 and slot >= 1")
+
+
+@query("""
+WITH l AS (SELECT t, lat_i, lon_i, floor(vis * 4) AS label FROM obs WHERE t % 7 <> 3), s AS (SELECT DISTINCT t FROM l)
+SELECT c.t, c.lat_i, c.lon_i, label, CASE WHEN label = 2 THEN 0 ELSE 1 END AS reduced
+FROM cube c SEMI JOIN s USING (t) LEFT JOIN l USING (t, lat_i, lon_i)""")
+def foreign_classes(spark, sf_dir):
+    """Another algorithm's classes by slot file: missing ones are null, slots without a file left out."""
+    path, p = _written_labels(spark, sf_dir, "CLS", F.floor(F.col("vis") * 4).cast("double"))
+    read = slot_files.read_slots(spark, path, p.first_day, p.last_day, kind="CLS", holes="remove")
+    return read.select(*KEY, "label", slot_files.reduce_foreign(F.col("label")).alias("reduced"))
+
+
+def _quadrants(spark, sf_dir):
+    """The first eight components of the embeddings, and which quadrant the first two lie in."""
+    x = F.col("embedding").cast("array<double>")
+    return source.read(spark, sf_dir, "embeddings").select("vec_id", F.slice(x, 1, 8).alias("x"), (F.when(x[0] > 0, 2).otherwise(0) + F.when(x[1] > 0, 1).otherwise(0)).alias("cls"))
+
+
+_EMBEDDED = "e AS (SELECT vec_id, CAST(embedding[1:8] AS DOUBLE[]) AS x, CASE WHEN embedding[1] > 0 THEN 2 ELSE 0 END + CASE WHEN embedding[2] > 0 THEN 1 ELSE 0 END AS cls FROM embeddings)"
+
+
+def _number(number: str) -> str:
+    return f"('0x' || substr(md5(vec_id || ':' || {number}), 1, 8))::BIGINT"
+
+
+def _scored(by: str, fits: str) -> str:
+    """Classes of largest likelihood: long rows l (vec_id, by, cls, k, x, w) are learned from, q (vec_id, by, k, x) are judged."""
+    return f"""m AS (
+  SELECT {by}, cls, k, sum(w) AS total, sum(w * x) / sum(w) AS mean, sum(w * x * x) / sum(w) AS square FROM ({fits}) GROUP BY ALL
+), v AS (
+  SELECT *, greatest(square - mean * mean, 0.0) AS raw FROM m
+), s AS (
+  SELECT *, raw + 1e-9 * greatest(1.0, max(raw) OVER (PARTITION BY {by})) AS var FROM v
+), prior AS (
+  SELECT {by}, cls, ln(total / sum(total) OVER (PARTITION BY {by})) AS lp FROM m WHERE k = 1
+), score AS (
+  SELECT q.vec_id, {by}, s.cls, any_value(lp) - 0.5 * sum(ln(2 * pi() * var) + pow(q.x - mean, 2) / var) AS score
+  FROM q JOIN s USING ({by}, k) JOIN prior USING ({by}, cls) GROUP BY ALL
+), vote AS (SELECT vec_id, {by}, arg_max(cls, (score, -cls)) AS vote FROM score GROUP BY ALL)"""
+
+
+_DRAWN = " + ".join(f"CASE WHEN u >= {least} THEN 1 ELSE 0 END" for least in ensembles.poisson_steps())
+
+
+@query(f"""
+WITH {_EMBEDDED},
+drawn AS (SELECT *, {_DRAWN} AS w FROM (SELECT vec_id, cls, x, r, {_number("r")} AS u FROM e, range(10) t(r))),
+long AS (SELECT vec_id, r, cls, w, unnest(x) AS x, generate_subscripts(x, 1) AS k FROM drawn),
+q AS (SELECT vec_id, r, k, x FROM long),
+{_scored("r", "SELECT * FROM long WHERE w > 0")},
+every AS (SELECT vec_id, vote, count(*) AS n FROM vote GROUP BY ALL),
+unseen AS (SELECT vec_id, vote, count(*) AS n FROM vote JOIN drawn USING (vec_id, r) WHERE w = 0 GROUP BY ALL),
+a AS (SELECT vec_id, arg_max(vote, (n, -vote)) AS prediction FROM every GROUP BY ALL),
+b AS (SELECT vec_id, arg_max(vote, (n, -vote)) AS out_of_bag FROM unseen GROUP BY ALL)
+SELECT vec_id, cls, prediction, out_of_bag FROM e JOIN a USING (vec_id) LEFT JOIN b USING (vec_id)""")
+def bagged_votes(spark, sf_dir):
+    rows = _quadrants(spark, sf_dir)
+    model = ensembles.BaggedGaussian(featuresCol="x", labelCol="cls", keyCol="vec_id", replicates=10).fit(rows)
+    return model.transform(rows).select("vec_id", "cls", "prediction", "out_of_bag")
+
+
+@query(f"""
+WITH {_EMBEDDED},
+f AS (SELECT *, CAST({_number("-1")} % 10 AS INTEGER) AS own FROM e),
+long AS (SELECT vec_id, own, cls, 1.0::DOUBLE AS w, unnest(x) AS x, generate_subscripts(x, 1) AS k FROM f),
+q AS (SELECT vec_id, own AS fold, k, x FROM long),
+{_scored("fold", "SELECT vec_id, fold, cls, w, x, k FROM long, range(10) t(fold) WHERE fold <> own")}
+SELECT own AS fold, count(*) AS n, count_if(vote = cls) AS correct FROM f JOIN vote USING (vec_id) GROUP BY own""")
+def ten_fold_scores(spark, sf_dir):
+    return ensembles.fold_scores(_quadrants(spark, sf_dir), "vec_id", "x", "cls")
