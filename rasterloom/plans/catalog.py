@@ -44,7 +44,7 @@ def _cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scale(c: str) -> str:
     body = f"least({c} / 200, 1.2)" if c in ("sir", "vis") else f"230 + 0.6 * least({c}, 120.0)"
-    return f"CASE WHEN {c} IS NOT NULL THEN round({body}, 6) END AS {c}"
+    return f"CASE WHEN {c} IS NOT NULL THEN round({body} + {source.TIE}, 6) END AS {c}"
 
 
 _BASE = f"""grid AS (

@@ -17,6 +17,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: off the middle between two roundings, which engines round differently
+TIE = 1e-9
 #: events that a cell gets on average, and the least cells in a row
 EVENTS_A_CELL, LEAST_SIDE = 250, 5
 
@@ -43,7 +45,7 @@ def scan_channels(spark: SparkSession, sf_dir: str, p: Profile = Profile()) -> D
     t = ((F.col("dfb") - p.first_day) * p.slots_per_day + F.col("slot")).cast("int")
     cube = keyed.groupBy("dfb", "slot", "lat_i", "lon_i").agg(*(m.alias(c) for c, m in mean.items()))
     raw = {c: F.col(c) for c in CHANNELS}
-    scaled = {c: F.when(raw[c].isNotNull(), F.round(F.least(raw[c] / 200, F.lit(1.2)) if c in ("sir", "vis") else 230 + 0.6 * F.least(raw[c], F.lit(120.0)), 6)) for c in CHANNELS}
+    scaled = {c: F.when(raw[c].isNotNull(), F.round((F.least(raw[c] / 200, F.lit(1.2)) if c in ("sir", "vis") else 230 + 0.6 * F.least(raw[c], F.lit(120.0))) + TIE, 6)) for c in CHANNELS}
     return cube.select(t.alias("t"), "dfb", "slot", "lat_i", "lon_i", *(scaled[c].alias(c) for c in CHANNELS))
 
 
