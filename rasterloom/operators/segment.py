@@ -82,17 +82,3 @@ def regions(df: DataFrame, flag: str, diagonal: bool = False) -> DataFrame:
         return part[["t", "lat_i", "lon_i"]].assign(region=[labels[x] for x in zip(part["lat_i"], part["lon_i"], strict=True)])
 
     return df.filter(F.col(flag)).select("t", "lat_i", "lon_i").groupBy("t").applyInPandas(run, "t int, lat_i int, lon_i int, region int")
-
-
-def low_pass(df: DataFrame, x: str, cutoff: float) -> DataFrame:
-    """t, lat_i, lon_i, smooth: keeps the Fourier coefficients of each slot's grid below `cutoff` in magnitude."""
-    import numpy as np
-
-    def run(part):
-        part = part.sort_values(["lat_i", "lon_i"])
-        grid = part.pivot(index="lat_i", columns="lon_i", values=x).fillna(0.0)
-        f = np.fft.fft2(grid.to_numpy())
-        f[np.abs(f) >= cutoff] = 0
-        return part[["t", "lat_i", "lon_i"]].assign(smooth=np.real(np.fft.ifft2(f)).ravel())
-
-    return df.select("t", "lat_i", "lon_i", x).groupBy("t").applyInPandas(run, "t int, lat_i int, lon_i int, smooth double")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import BOLTZMANN, CHANNELS, LIGHT, PLANCK, Profile
 from ..functions import physics as P
-from ..operators import classify, models, navigation, neighbourhood, patterns, segment, stats, timeseries
+from ..operators import classify, models, navigation, neighbourhood, patterns, segment, spectrum, stats, timeseries
 from ..sources import cube as source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -467,9 +467,36 @@ def equalize_histogram(spark, sf_dir):
     return segment.equalize(gray, "gray", ["t"]).select(*KEY, "gray", "equal")
 
 
-@query()
+def _dft(keep: str) -> str:
+    """Coefficients of each slot's grid by definition, weighted by `keep` (of their magnitude m), and their sum back."""
+    phase = "2 * pi() * ({a}.k * {b}.lat_i + {a}.l * {b}.lon_i) / side"
+    there = phase.format(a="w", b="c")
+    return f"""
+WITH n AS MATERIALIZED (SELECT side FROM grid),
+c AS MATERIALIZED (SELECT t, lat_i, lon_i, coalesce(vis, 0.0)::DOUBLE AS x FROM cube),
+w AS MATERIALIZED (SELECT lat_i AS k, lon_i AS l FROM land),
+f AS MATERIALIZED (
+  SELECT t, k, l, sum(x * cos({there})) AS re, -sum(x * sin({there})) AS im FROM c, w, n GROUP BY ALL
+), kept AS MATERIALIZED (
+  SELECT t, k, l, re * {keep} AS re, im * {keep} AS im FROM (SELECT *, sqrt(re * re + im * im) AS m FROM f)
+)
+SELECT w.t, c.lat_i, c.lon_i, round(sum(re * cos({there}) - im * sin({there})) / (side * side) + 1e-9, 6) + 0.0 AS smooth
+FROM kept w JOIN c ON c.t = w.t, n GROUP BY w.t, c.lat_i, c.lon_i, side"""
+
+
+@query(_dft("CASE WHEN m < 2.0 THEN 1 ELSE 0 END"))
 def low_pass(spark, sf_dir):
-    return segment.low_pass(_cube(spark, sf_dir), "vis", 2.0).withColumn("smooth", r("smooth"))
+    return _smoothed(spark, sf_dir, 0.0)
+
+
+@query(_dft("(0.5 * (1 - sin(pi() * greatest(-0.5, least(0.5, (m - 2.0) / 2.0)))))"))
+def low_pass_tapered(spark, sf_dir):
+    return _smoothed(spark, sf_dir, 1.0)
+
+
+def _smoothed(spark, sf_dir, width):
+    p = source.profile(spark, sf_dir)
+    return spectrum.low_pass(source.load_cube(spark, sf_dir, p), "vis", 2.0, (p.n_lat, p.n_lon), width).withColumn("smooth", r(F.col("smooth") + 1e-9))
 
 
 @query()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from rasterloom.config import Profile
-from rasterloom.operators import classify, models, patterns, segment, timeseries
+from rasterloom.operators import classify, models, patterns, segment, spectrum, timeseries
 from rasterloom.sources import cube as source
 
 SF = "/root/testdata/sf0.01"
@@ -70,7 +70,7 @@ def test_regions_and_low_pass(spark):
         up = {(t, i, j): min([up[t, i, j]] + [up[n] for n in ((t, i + 1, j), (t, i - 1, j), (t, i, j + 1), (t, i, j - 1)) if n in up]) for t, i, j in up}
     pairs = {((c[0], got[c]), up[c]) for c in bright}
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
-    smooth = {(r.t, r.lat_i, r.lon_i): r.smooth for r in segment.low_pass(cube, "vis", 2.0).filter("t < 6").collect()}
+    smooth = {(r.t, r.lat_i, r.lon_i): r.smooth for r in spectrum.low_pass(cube, "vis", 2.0, (5, 5)).filter("t < 6").collect()}
     grid = np.zeros((6, 5, 5))
     for r in cube.filter("t < 6").collect():
         grid[r.t, r.lat_i, r.lon_i] = r.vis or 0.0
@@ -82,6 +82,27 @@ def test_regions_and_low_pass(spark):
         assert all(abs(smooth[t, i, j] - back[i, j]) < 1e-9 for i in range(5) for j in range(5))
 
 
+def test_tapered_low_pass(spark):
+    rng = np.random.default_rng(5)
+    grid = rng.normal(size=(3, 4, 7))
+    cells = [(t, i, j, float(grid[t, i, j])) for t in range(3) for i in range(4) for j in range(7)]
+    grid[1, 2, 3] = grid[2, 0, 0] = 0.0
+    cells = [(t, i, j, None if (t, i, j) == (1, 2, 3) else x) for t, i, j, x in cells if (t, i, j) != (2, 0, 0)]
+    cube = spark.createDataFrame([(*c, "x", 1.0) for c in cells], "t int, lat_i int, lon_i int, x double, re string, smooth double")
+    got = {(r.t, r.lat_i, r.lon_i): r.smooth for r in spectrum.low_pass(cube, "x", 4.0, (4, 7), 1.5).collect()}
+    assert len(got) == 84
+    for t in range(3):
+        f = np.fft.fft2(grid[t])
+        m = np.abs(f)
+        share = np.where(m <= 2.5, 1.0, np.where(m >= 5.5, 0.0, 0.5 * (1 - np.sin(np.pi * (m - 4.0) / 3.0))))
+        assert 0 < ((share > 0) & (share < 1)).sum()
+        back = np.fft.ifft2(f * share).real
+        assert all(abs(got[t, i, j] - back[i, j]) < 1e-9 for i in range(4) for j in range(7))
+    assert spectrum.low_pass(cube.limit(0), "x", 4.0, (4, 7)).count() == 0
+    with pytest.raises(ValueError):
+        spectrum.low_pass(cube, "x", 4.0, (4, 7), -1.0)
+
+
 def test_neighbours_in_blocks(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet")
     q = v.filter("vec_id % 50 = 0")
