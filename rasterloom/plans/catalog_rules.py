@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import classify, density, ensembles, patterns
+from ..operators import classify, density, ensembles, mixtures, patterns
 from ..sources import cube as source
 from ..sources import slot_files, storage
 from .catalog import _DAY, _INDEXED, _SLICED, KEY, PROFILE, _cube, _test, query, r
@@ -110,6 +110,14 @@ def density_clusters(spark, sf_dir):
     return density.clusters(points, "vec_id", ["a", "b", "c"], 0.05, 5)
 
 
+@query()
+def bayesian_mixture(spark, sf_dir):
+    """A variational mixture of at most six Gaussians over three components of the embeddings; held against a plain version in the tests."""
+    x = F.col("embedding")
+    points = source.read(spark, sf_dir, "embeddings").select("vec_id", *(x[i].cast("double").alias(c) for i, c in enumerate("abc")))
+    return mixtures.assign(points, "vec_id", ["a", "b", "c"], mixtures.fit(points, ["a", "b", "c"], 6, steps=40)).withColumn("share", r("share", 4))
+
+
 def _written_labels(spark, sf_dir, kind, label):
     """A fresh folder of label files made from the cube: every slot but each seventh."""
     p = source.profile(spark, sf_dir)
