@@ -53,6 +53,10 @@ class Thresholds:
     thin_cirrus: float = 10.0
     land_visible: float = 0.1
     texture: float = 2.0
+    texture_rise: float = 1.5
+    evolution_land: float = 5.0
+    evolution_sea: float = 3.0
+    evolution_pair: float = 10.0
 
 
 #: fixed values: Planck, Boltzmann, speed of light

@@ -132,10 +132,38 @@ def lir_fir(lir: Column, fir: Column) -> Column:
     return test((F.exp(-k * (F.try_divide(F.lit(1.0), fir) - F.try_divide(F.lit(1.0), lir))) < 0.2) & (lir < 303.15))
 
 
-def stable(x: Column, past: Column, limit: float) -> Column:
+def stable(x: Column, past: Column, limit: float | Column) -> Column:
     return test(F.abs(x - past) < limit)
 
 
+def thermal_stable(is_land: Column, lir: Column, fir: Column, past_lir: Column, past_fir: Column) -> Column:
+    """lir keeps within its surface's limit, or its difference to fir within theirs; false where neither can be told."""
+    limit = F.when(is_land, TH.evolution_land).otherwise(TH.evolution_sea)
+    return stable(lir, past_lir, limit) | stable(lir - fir, past_lir - past_fir, TH.evolution_pair)
+
+
+def low_cloud_composite(fir: Column, lir: Column, mir: Column) -> list[Column]:
+    """Three infrared channels from 200 K on in half degrees, times 255; all 0 where lir leaves (0, 250] of them, null where it is missing."""
+    steps = [F.bround(2 * (c - 200), 0) for c in (fir, lir, mir)]
+    return [F.when((steps[1] <= 0) | (steps[1] > 250), 0.0).otherwise(F.when(lir.isNotNull(), 255 * c)) for c in steps]
+
+
+def trainable(columns: list[Column], single: bool = False) -> Column:
+    """No value is missing; `single`: of one channel, none outside 0 to 300 either."""
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & c.isNotNull() & ~F.isnan(c) & (c.between(0, 300) if single else F.lit(True))
+    return test(ok)
+
+
+def layers(*tests: Column) -> Column:
+    """The number, from 1, of the last test that holds; 0 if none."""
+    out = F.lit(0)
+    for i, held in enumerate(tests, 1):
+        out = F.when(held, i).otherwise(out)
+    return out
+
+
 def seeds_visible(vis: Column, mean: Column) -> Column:
     return test(vis > 1.05 * mean)
 

@@ -50,21 +50,24 @@ def with_tests(cube: DataFrame, exhaustive: bool = True) -> DataFrame:
     return cube if exhaustive else cube.withColumns({f"is_{k}": F.col(f"is_{k}_partial") for k in ("cloud", "snow")})
 
 
-def _early(cube: DataFrame, exhaustive: bool) -> DataFrame:
-    """Adds `early`, the class before the late tests, `suspect`, `background` and `late`."""
+def _early(cube: DataFrame, exhaustive: bool, maybe_snow: str | None = None) -> DataFrame:
+    """Adds `early`, the class before the late tests, `suspect`, `background` and `late`; where the column `maybe_snow` holds nothing is free."""
     cube = with_tests(with_indexes(cube), exhaustive)
     invalid = F.col("vis").isNull() | F.col("sir").isNull() | F.col("mir").isNull() | F.col("lir").isNull()
     ndsi = F.col("ndsi")
     change = F.abs(timeseries.step_variability(ndsi))
     suspect = F.col("is_snow") & P.test((timeseries.positive_variability(ndsi) > 0.2) | (timeseries.negative_variability(ndsi) > 0.2) | ((change > 0.05) & (change < 10)))
+    free = F.col("early") == 0
+    if maybe_snow is not None:
+        free = free & ~F.coalesce(maybe_snow, F.lit(False))
     early = F.when(F.col("is_cloud"), 2).when(invalid | ~F.col("dawn_day"), 5).when(F.col("is_snow"), 1).otherwise(0)
-    cube = late_background(cube.withColumn("suspect", suspect).withColumn("early", early).withColumn("free", F.col("early") == 0), "vis", "free")
+    cube = late_background(cube.withColumn("suspect", suspect).withColumn("early", early).withColumn("free", free), "vis", "free")
     return cube.withColumn("late", F.col("is_land") & late_cloud(F.col("vis"), F.col("free"), F.col("background")))
 
 
-def _with_class(cube: DataFrame, exhaustive: bool) -> DataFrame:
+def _with_class(cube: DataFrame, exhaustive: bool, maybe_snow: str | None = None) -> DataFrame:
     cls = F.when(F.col("late"), 4).when(F.col("suspect") & (F.col("early") == 1), 3).otherwise(F.col("early"))
-    return _early(cube, exhaustive).withColumn("cls", cls.cast("int"))
+    return _early(cube, exhaustive, maybe_snow).withColumn("cls", cls.cast("int"))
 
 
 def classify(cube: DataFrame, p: Profile = Profile(), exhaustive: bool = True) -> DataFrame:
@@ -72,6 +75,14 @@ def classify(cube: DataFrame, p: Profile = Profile(), exhaustive: bool = True) -
     return _with_class(cube, exhaustive).select("t", "dfb", "slot", "lat_i", "lon_i", "cls", "vis", "cosz", "is_land")
 
 
+def classify_broad(cube: DataFrame, broad: DataFrame | None = None) -> DataFrame:
+    """t, lat_i, lon_i, cls as by `classify`, but what may be snow by the broad test (`broad` of broad_snow, unless given)
+    is not cloud-free for the late test, neither as itself nor as a neighbour in time or a background."""
+    broad = broad_snow(with_indexes(cube)) if broad is None else broad
+    joined = cube.join(broad.select(*tiles.KEY, F.col("broad").alias("_broad")), list(tiles.KEY), "left")
+    return _with_class(joined, True, "_broad").select(*tiles.KEY, "cls")
+
+
 def decisions(cube: DataFrame) -> DataFrame:
     """t, lat_i, lon_i, vis, cls and both variants' cloud decisions, from one pass over the cube."""
     return _with_class(cube, True).select("t", "lat_i", "lon_i", "vis", "cls", "is_cloud", "is_cloud_partial")
@@ -179,6 +190,45 @@ def tree_codes(cube: DataFrame) -> DataFrame:
     return with_indexes(cube).select("t", "dfb", "slot", "lat_i", "lon_i", cls.cast("int").alias("cls"))
 
 
+def point_codes(cube: DataFrame, p: Profile = Profile(), shades: bool = True, bright: DataFrame | None = None, size: tuple[int, int, int] = tiles.SIZE) -> DataFrame:
+    """t, lat_i, lon_i, cls: 1 obvious and 2 thin cloud, 3 seen but undecided, 5 snow, 6 and 7 bright that rises or falls, 8 cold, 11 shade,
+    12 cloud over sea, 13 undefined, 0 else; later rules of the written order win, so they come first here.
+
+    Bright is the rim of what lies under the snow limit, through space and time
+    (tiles.watershed_volume), unless `bright` (key and `bright`) is given.
+    """
+    key = list(tiles.KEY)
+    cube = with_indexes(cube)
+    seen = features(cube, "visible", "abstract", p).select(*key, F.col("ndsi").alias("f_ndsi"), "drop", "rise", "sea")
+    cube = cube.join(seen, key).withColumns({"thin": P.test(F.col("cli_eps") > 0.2), "turbulent": P.test(timeseries.positive_variability(F.col("cli")) > 10), "frost": P.gate(F.col("zen"), "dawn_day") & P.cold(F.col("lir"), F.col("t2m"))})
+    if bright is None:
+        kept = cube.select(*key, (F.col("f_ndsi") < TH.ndsi).alias("under"))
+        bright = tiles.watershed_volume(kept, "under", size=size).select(*key, F.col("rim").alias("bright"))
+    cube = cube.join(bright.select(*key, F.col("bright").alias("_bright")), key, "left").withColumn("_bright", F.coalesce("_bright", F.lit(False)))
+    falls, rises = F.col("_bright") & (F.col("drop") > 0.2), F.col("_bright") & (F.col("rise") > 0.2)
+    undecided = P.test((F.col("vis") > 0.5 * F.col("zen")) & (F.col("sir") > 0.1 * F.col("zen")))
+    unknown = F.col("cli_eps").isNull()
+    cls = (
+        F.when(F.col("frost"), 8).when(F.col("thin"), 2).when(F.col("turbulent"), 1).when(falls, 7).when(rises, 6).when(F.col("_bright"), 5)
+        .when(F.col("sea") == 1, 12).when(unknown, 13).when(undecided, 3).otherwise(0)
+    )
+    cube = cube.withColumn("cls", cls)
+    if shades:
+        free = F.col("cls").isin(0, 5)
+        usual = F.median(F.when(free, F.col("vis"))).over(Window.partitionBy("lat_i", "lon_i", "slot"))
+        cube = cube.withColumn("cls", F.when(P.test(free & (usual - F.col("vis") > 0.2 * F.col("cosz"))), 11).otherwise(F.col("cls")))
+    return cube.select(*key, F.col("cls").cast("int").alias("cls"))
+
+
+def broken_cloud(cube: DataFrame) -> DataFrame:
+    """Adds `broken`: opaque cloud by the epsilon and mu indexes that was not opaque so lately: its 0 or 1 rises over the near days by more than TH.texture_rise.
+
+    The limit lies above 1, so the test holds nowhere; a column `thickness` in place of 0 and 1 makes it tell.  Needs cli_mu and cli_eps of with_indexes."""
+    opaque = P.opaque_cloud(F.col("cli_mu"), F.col("cli_eps"))
+    size = F.col("thickness") if "thickness" in cube.columns else opaque.cast("double")
+    return cube.withColumn("broken", opaque & P.test(timeseries.positive_variability(size) > TH.texture_rise))
+
+
 def segmentation_codes(cube: DataFrame) -> DataFrame:
     """t, lat_i, lon_i, cls of the tree that thresholds gray-scale features by Otsu in each slot; later rules of the written order win, so they come first here."""
     lit = P.gate(F.col("zen"), "dawn_day")

@@ -78,9 +78,10 @@ def _day_lags(x: Column, lags: tuple[int, ...] = _NEAR) -> list[Column]:
     return [F.lag(x, k).over(by_day()) if k > 0 else F.lead(x, -k).over(by_day()) for k in lags]
 
 
-def positive_variability(x: Column) -> Column:
-    """Largest rise over the same slot one or two days away, 0 if none."""
-    return F.greatest(F.lit(0.0), *(x - y for y in _day_lags(x)))
+def positive_variability(x: Column, only_past: bool = False, skip: Column | None = None) -> Column:
+    """Largest rise over the same slot one or two days away (`only_past`: before), 0 if none; where `skip` holds no value is taken."""
+    x = x if skip is None else F.when(~skip, x)
+    return F.greatest(F.lit(0.0), *(x - y for y in _day_lags(x, (1, 2) if only_past else _NEAR)))
 
 
 def negative_variability(x: Column) -> Column:

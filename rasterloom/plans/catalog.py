@@ -659,4 +659,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return static_classifier(spark, sf_dir)
 
 
-from . import catalog_grids, catalog_more, catalog_rules, catalog_tiles  # noqa: E402, F401  (register their queries)
+from . import catalog_angles, catalog_grids, catalog_more, catalog_rules, catalog_tiles  # noqa: E402, F401  (register their queries)
