@@ -14,15 +14,19 @@ from .catalog import _DAY, _INDEXED, _PX, KEY, PROFILE, _cube, _test, query, r
 from .catalog_more import _TEXTURE, _near_days
 
 
+#: the satellite's longitude in degrees: so far west of the grid that a part of it is beyond the satellite gate
+_OVER = -56.0
+
+
 def _with_angles(spark, sf_dir):
-    """The cube with the sun's and a satellite's angles, the satellite over the grid's western edge."""
+    """The cube with the sun's and a satellite's angles."""
     p = source.profile(spark, sf_dir)
     cube = source.load_cube(spark, sf_dir, p)
     cube = cube.withColumns({
         "lat": F.radians(p.lat0 + p.lat_step * F.col("lat_i")), "lon": F.radians(p.lon0 + p.lat_step * F.col("lon_i")),
         "dec": G.declination((F.col("dfb") - p.first_day) % 365 + 1), "hour": F.radians(15.0 * (F.col("slot") * p.hours_per_slot + p.hours_per_slot / 2 - 12)),
     })
-    lat, lon, dec, hour, over = (*(F.col(c) for c in ("lat", "lon", "dec", "hour")), math.radians(p.lon0))
+    lat, lon, dec, hour, over = (*(F.col(c) for c in ("lat", "lon", "dec", "hour")), math.radians(_OVER))
     cube = cube.withColumns({"altitude": G.sun_altitude(lat, dec, hour), "sat_elevation": G.satellite_elevation(lat, lon, over), "sat_azimuth": G.satellite_azimuth(lat, lon, over)})
     cube = cube.withColumn("azimuth", G.sun_azimuth(lat, dec, hour, F.col("altitude"))).withColumn("sat_zen", math.pi / 2 - F.col("sat_elevation"))
     both = [F.col(c) for c in ("azimuth", "altitude", "sat_azimuth", "sat_elevation")]
@@ -37,7 +41,8 @@ def _clip(x: str) -> str:
 _ALONG = "cos(altitude) * cos(sat_elevation) * cos(azimuth - sat_azimuth)"
 _UP = "sin(altitude) * sin(sat_elevation)"
 _ANGLES = f"""placed AS (
-  SELECT cube.*, radians(10.0::DOUBLE + 10.0::DOUBLE / side * lat_i) AS lat, radians(10.0::DOUBLE / side * lon_i) AS lon,
+  SELECT cube.*, radians(10.0::DOUBLE + 10.0::DOUBLE / side * lat_i) AS lat, radians(10.0::DOUBLE / side * lon_i - ({_OVER})) AS lon,  -- longitudes from the satellite's on
+   
     radians(((dfb - 16071) % 365 + 1) / 365.0::DOUBLE * 360) AS j, radians(15.0::DOUBLE * (slot * 6 + 3 - 12)) AS hour FROM cube, grid
 ), declined AS (
   SELECT *, asin(0.3978::DOUBLE * sin(j - radians(80.2::DOUBLE) + radians(1.92::DOUBLE) * sin(j - radians(2.8::DOUBLE)))) AS dec, cos(lat) * cos(lon) AS seen FROM placed
