@@ -25,10 +25,15 @@ def with_indexes(cube: DataFrame) -> DataFrame:
     })
 
 
+def _near_land(cube: DataFrame) -> DataFrame:
+    """The cube with near_land: as it was loaded, else from its own cells."""
+    return cube if "near_land" in cube.columns else neighbourhood.dilate_fixed(cube, "is_land", "near_land")
+
+
 def with_tests(cube: DataFrame, exhaustive: bool = True) -> DataFrame:
     """Adds the single tests and the cloud and snow decisions (`is_cloud`, `is_snow`; of the other variant `is_cloud_partial`, `is_snow_partial`)."""
     lir, fir, vis, land = F.col("lir"), F.col("fir"), F.col("vis"), F.col("is_land")
-    cube = neighbourhood.dilate(cube, "is_land", "near_land")
+    cube = _near_land(cube)
     cube = cube.withColumns({
         "variability": timeseries.positive_variability(F.col("cli")),
         "dawn_day": P.gate(F.col("zen"), "dawn_day"),
@@ -143,7 +148,7 @@ def features(cube: DataFrame, kind: str, level: str, p: Profile = Profile()) ->
     if level in ("cli", "ndsi"):
         return cube.select(*key, level)
     if kind == "visible":
-        cube = neighbourhood.dilate(cube, "is_land", "near_land")
+        cube = _near_land(cube)
         masked = ~P.gate(F.col("zen"), "dawn_day") | F.col("vis").isNull() | F.col("sir").isNull() | ~F.col("is_land")
         cube = cube.withColumn("shown", F.when(~masked, F.col("ndsi")))
         shown = F.col("shown")
@@ -164,6 +169,13 @@ def cloud_shade(classes: DataFrame, limit: float = 0.2) -> DataFrame:
     return classes.withColumn("shade", P.test(free & (usual - F.col("vis") > limit * F.col("cosz"))))
 
 
+def with_shades(cube: DataFrame, limit: float = 0.2) -> DataFrame:
+    """cls becomes 11 where a tree's codes are cloud-free (0 or 5) and darker than the cell's usual cloud-free view of that slot; needs vis and cosz."""
+    free = F.col("cls").isin(0, 5)
+    usual = F.median(F.when(free, F.col("vis"))).over(Window.partitionBy("lat_i", "lon_i", "slot"))
+    return cube.withColumn("cls", F.when(P.test(free & (usual - F.col("vis") > limit * F.col("cosz"))), 11).otherwise(F.col("cls")))
+
+
 def reduce_classes(cls: Column) -> Column:
     """0 clear, 1 snow, 2 slight cloud, 3 cloud, 4 undefined; clear only between clear neighbours in time."""
     clear = cls.isin(0, 5, 9, 10)
@@ -212,12 +224,9 @@ def point_codes(cube: DataFrame, p: Profile = Profile(), shades: bool = True, br
         F.when(F.col("frost"), 8).when(F.col("thin"), 2).when(F.col("turbulent"), 1).when(falls, 7).when(rises, 6).when(F.col("_bright"), 5)
         .when(F.col("sea") == 1, 12).when(unknown, 13).when(undecided, 3).otherwise(0)
     )
-    cube = cube.withColumn("cls", cls)
-    if shades:
-        free = F.col("cls").isin(0, 5)
-        usual = F.median(F.when(free, F.col("vis"))).over(Window.partitionBy("lat_i", "lon_i", "slot"))
-        cube = cube.withColumn("cls", F.when(P.test(free & (usual - F.col("vis") > 0.2 * F.col("cosz"))), 11).otherwise(F.col("cls")))
-    return cube.select(*key, F.col("cls").cast("int").alias("cls"))
+    cube = cube.withColumn("cls", cls.cast("int"))
+    cube = with_shades(cube) if shades else cube
+    return cube.select(*key, "cls")
 
 
 def broken_cloud(cube: DataFrame) -> DataFrame:
@@ -229,10 +238,10 @@ def broken_cloud(cube: DataFrame) -> DataFrame:
     return cube.withColumn("broken", opaque & P.test(timeseries.positive_variability(size) > TH.texture_rise))
 
 
-def segmentation_codes(cube: DataFrame) -> DataFrame:
-    """t, lat_i, lon_i, cls of the tree that thresholds gray-scale features by Otsu in each slot; later rules of the written order win, so they come first here."""
+def segmentation_codes(cube: DataFrame, shades: bool = False) -> DataFrame:
+    """t, lat_i, lon_i, cls of the tree that thresholds gray-scale features by Otsu in each slot, with `shades` as 11; later rules of the written order win, so they come first here."""
     lit = P.gate(F.col("zen"), "dawn_day")
-    cube = neighbourhood.dilate(with_indexes(cube), "is_land", "near_land").withColumns({
+    cube = _near_land(with_indexes(cube)).withColumns({
         "rises": timeseries.positive_variability(F.col("ndsi")), "falls": timeseries.negative_variability(F.col("ndsi")),
         "sea": P.sea_coast_cloud(F.col("zen"), F.col("is_land"), F.col("near_land"), F.col("vis")), "cold": lit & P.cold(F.col("lir"), F.col("t2m")),
     })
@@ -249,7 +258,8 @@ def segmentation_codes(cube: DataFrame) -> DataFrame:
         F.when(obvious & bright, 3).when(obvious, 1).when(F.col("cold"), 8).when(bright & falls, 7).when(bright & rises, 6)
         .when(bright, 5).when(F.col("sea"), 12).when(invalid, 13).otherwise(0)
     )
-    return cube.select("t", "lat_i", "lon_i", cls.cast("int").alias("cls"))
+    cube = cube.withColumn("cls", cls.cast("int"))
+    return (with_shades(cube) if shades else cube).select("t", "lat_i", "lon_i", "cls")
 
 
 def warm_ground(cube: DataFrame, cloudy: str, limit: float, minutes: int = 240, p: Profile = Profile()) -> DataFrame:

@@ -37,6 +37,18 @@ def local_min(df: DataFrame, x: str, out: str) -> DataFrame:
     return _passes(df, {out: F.col(x)}, lambda v: F.least(*v))
 
 
+def dilate_fixed(df: DataFrame, flag: str, out: str) -> DataFrame:
+    """Adds `out`: `flag`, which does not change over time, holds at a cell or one of its eight neighbours.
+
+    Dilates the cells once (one row each), not every slot of them; a cell's
+    missing flag does not hold.
+    """
+    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    cells = df.filter(F.col(flag)).select("lat_i", "lon_i").distinct()
+    near = cells.withColumn("_s", steps).select((F.col("lat_i") + F.col("_s.i")).alias("lat_i"), (F.col("lon_i") + F.col("_s.j")).alias("lon_i")).distinct()
+    return df.join(near.withColumn(out, F.lit(True)), ["lat_i", "lon_i"], "left").withColumn(out, F.coalesce(out, F.lit(False)))
+
+
 def dilate(df: DataFrame, flag: str, out: str) -> DataFrame:
     """3x3 binary dilation; outside counts as false."""
     return _passes(df, {out: F.col(flag).cast("int")}, lambda v: F.greatest(*v)).withColumn(out, F.col(out) == 1)

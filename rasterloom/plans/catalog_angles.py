@@ -10,7 +10,8 @@ from ..functions import geometry as G
 from ..functions import physics as P
 from ..operators import classify, models, stats, timeseries
 from ..sources import cube as source
-from .catalog import _DAY, _INDEXED, _PX, KEY, PROFILE, _cube, _test, query, r
+from . import catalog_grids  # noqa: F401  (its SQL is used here)
+from .catalog import _DAY, _INDEXED, _PX, KEY, ORACLE, PROFILE, _cube, _test, query, r
 from .catalog_more import _TEXTURE, _near_days
 
 
@@ -181,6 +182,17 @@ def static_classifier_broad(spark, sf_dir):
     return classify.classify_broad(_cube(spark, sf_dir))
 
 
+@query(f"""
+WITH codes AS ({ORACLE["segmentation_tree"]}),
+u AS (
+  SELECT t, lat_i, lon_i, cls, vis, cosz, median(CASE WHEN cls IN (0, 5) THEN vis END) OVER (PARTITION BY lat_i, lon_i, slot) AS usual
+  FROM cube JOIN codes USING (t, lat_i, lon_i)
+)
+SELECT t, lat_i, lon_i, CASE WHEN cls IN (0, 5) AND {_test("usual - vis > 0.2 * cosz")} THEN 11 ELSE cls END AS cls FROM u""")
+def segmentation_tree_shaded(spark, sf_dir):
+    return classify.segmentation_codes(_cube(spark, sf_dir), shades=True)
+
+
 @query()
 def point_codes(spark, sf_dir):
     """The codes of the point tree with shades; held against a plain version in the tests."""

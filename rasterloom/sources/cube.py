@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CHANNELS, Profile
+from ..operators.neighbourhood import dilate_fixed
 
 #: channel of each kind of event
 KINDS = {"error": "fir", "signup": "lir", "purchase": "mir", "view": "sir", "click": "vis"}
@@ -104,12 +105,13 @@ def cos_zenith(p: Profile = Profile()) -> Column:
 
 
 def load_cube(spark: SparkSession, sf_dir: str, p: Profile = Profile()) -> DataFrame:
-    """The complete cube with is_land, cosz, zen and the forecast temperature t2m (kelvin).
+    """The complete cube with is_land, near_land (it or a neighbour is), cosz, zen and the forecast temperature t2m (kelvin).
 
     is_land has one row per cell and t2m one per hour and latitude; both are
     joined by key, and Spark broadcasts them only under its size threshold.
     """
-    cube = complete_grid(scan_channels(spark, sf_dir, p), p).join(land_mask(spark, sf_dir, p), ["lat_i", "lon_i"])
+    land = dilate_fixed(land_mask(spark, sf_dir, p), "is_land", "near_land")
+    cube = complete_grid(scan_channels(spark, sf_dir, p), p).join(land, ["lat_i", "lon_i"])
     hour = (F.col("t") * p.hours_per_slot).alias("hour_idx")
     cube = cube.withColumn("hour_idx", hour).join(temperature(spark, sf_dir, p), ["hour_idx", "lat_i"]).drop("hour_idx")
     return cube.withColumn("cosz", cos_zenith(p)).withColumn("zen", F.acos("cosz")).withColumn("t2m", F.col("t2m") + 273.15)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from rasterloom.functions import geometry as G
 from rasterloom.functions import physics as P
-from rasterloom.operators import classify, tiles
+from rasterloom.operators import classify, neighbourhood, tiles
 from rasterloom.sources import cube as source
 
 from .conftest import SF
@@ -154,3 +154,13 @@ def test_point_codes_take_the_rim(spark):
     rim = tiles.watershed_volume(ndsi, "under").select(*KEY, F.col("rim").alias("bright"))
     a = {tuple(r) for r in classify.point_codes(cube).collect()}
     assert a == {tuple(r) for r in classify.point_codes(cube, bright=rim, size=(8, 3, 3)).collect()} and len(a) == cube.count()
+
+
+def test_fixed_flags_dilate_once(spark):
+    cube = source.load_cube(spark, SF)
+    want = neighbourhood.dilate(cube.drop("near_land"), "is_land", "wide").select(*KEY, "wide")
+    got = neighbourhood.dilate_fixed(cube.drop("near_land"), "is_land", "wide").select(*KEY, "wide")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} == {tuple(r) for r in cube.select(*KEY, "near_land").collect()}
+    none = spark.createDataFrame([(0, 0, 0, None), (0, 0, 1, False)], "t int, lat_i int, lon_i int, is_land boolean")
+    assert [r.wide for r in neighbourhood.dilate_fixed(none, "is_land", "wide").collect()] == [False, False]
+    assert neighbourhood.dilate_fixed(none.limit(0), "is_land", "wide").count() == 0
