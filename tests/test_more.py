@@ -1,6 +1,7 @@
 """Cube sink and source, models and filters against plain versions and invariants; a seven-day cube made by hand."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from rasterloom.config import Profile
@@ -112,6 +113,38 @@ def test_neighbours_in_blocks(spark):
     assert sorted(map(tuple, models.centroid_vote(v).collect())) == sorted(map(tuple, models.centroid_vote(v, limit=0).collect()))
 
 
+def test_neighbours_of_many_queries(spark):
+    """The plan and a task's memory do not grow with the queries; the rows are those of a plain sort, ties and copies included."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(600, 4)), 1).astype(np.float32)
+    x[100:400:3] = x[0]
+    label = rng.integers(0, 4, 600)
+    v = spark.createDataFrame([(i, a.tolist(), int(c)) for i, (a, c) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int").repartition(3)
+    found = models.knn_vote(v, v.filter("vec_id % 2 = 0"), block=10)
+    assert str(found._jdf.queryExecution().optimizedPlan()).count("MapInArrow") == 1
+    for r in found.collect():
+        d = np.round(((x.astype(float) - x[r.vec_id].astype(float)) ** 2).sum(axis=1), 6)
+        d[r.vec_id] = np.inf
+        n = np.bincount(label[np.lexsort((np.arange(600), d))[:7]], minlength=4)
+        assert (r.label, r.predicted) == (label[r.vec_id], n.argmax())
+
+
+def test_neighbours_hold_little():
+    """2,048 queries against 8 x 1,024 rows: less than 80 MB at once (150 before, with all distances and their order)."""
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    q, x = rng.normal(size=(2048, 64)), rng.normal(size=(8192, 64))
+    flat = pa.array(x.ravel())
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(8192)), pa.array(np.zeros(8192, np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(0, 8193 * 64, 64), pa.int32()), flat)], names=["vec_id", "label", "x"])
+    shared = type("Shared", (), {"value": [(np.arange(2048) + 10_000, q)]})
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in models._nearest(shared, 7)([batch]))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert rows == 2048 * 7 and peak < 80
+
+
 @pytest.mark.parametrize("kind", ["forest", "bayes", "perceptron", "tree"])
 def test_classifiers_learn(spark, kind):
     """Three groups of vectors apart from one another (the given tables' labels do not depend on the vectors)."""
