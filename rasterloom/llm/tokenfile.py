@@ -32,6 +32,7 @@ lost executor leaves no wrong file behind.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
@@ -292,6 +293,7 @@ _LOADED: dict[str, Encoder] = {}  # the encoder that a worker has loaded
 
 
 def _encoder(shared) -> Encoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core: the library's threads only wait for one another
     if (key := str(zlib.crc32(shared.value.encode()))) not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = Encoder(shared.value)

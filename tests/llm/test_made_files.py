@@ -1,8 +1,11 @@
 """Spelling variants, fill-in-middle and token files against plain versions."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -219,3 +222,18 @@ def test_other_tokenizers_get_whole_texts():
         encoder = tokenfile.Encoder(f.read())
     assert not encoder.by_match
     assert len(np.frombuffer(encoder.encode(["Two words"])[0], "<u4")) == 2
+
+
+def test_encoder_starts_no_threads():
+    """A worker's encoder stays on its task's core; in a process of its own, where no threads were started before."""
+    code = """
+import os
+from rasterloom.llm import tokenfile
+with open({!r}, encoding="utf-8") as f:
+    encoder = tokenfile._encoder(type("Shared", (), {{"value": f.read()}}))
+n = len(os.listdir("/proc/self/task"))
+encoder.encode([f"word{{i}} x{{i}}y" for i in range(20_000)])
+assert len(os.listdir("/proc/self/task")) == n
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    subprocess.run([sys.executable, "-c", code.format(P.path("byte_bpe_50k.json"))], check=True, env=env, timeout=60)
