@@ -220,12 +220,12 @@ def decontaminate(
     """
     spark = docs.sparkSession
     blocks = pattern_blocks(spark, benchmark, window, block_bytes, "item_id", "text")
-    kept = docs.select(*keep, F.col("text").alias("_rl_text"))
+    kept, name, at = B.with_text(docs, keep)
     extra = "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean"
     schema = ", ".join([*(f"`{n}` {t}" for n, t in kept.drop("_rl_text").dtypes), extra])
 
     def judged(parts):
-        found = _hits([B.byte_rows(p.column(p.num_columns - 1)) for p in parts], blocks)
+        found = _hits([B.byte_rows(p.column(at)) for p in parts], blocks)
         for part, rows in zip(parts, found, strict=True):
             out = defaultdict(list)
             for n, hit, items in rows:
@@ -237,15 +237,15 @@ def decontaminate(
                 out["items_sha256"].append(hashlib.sha256(",".join(names).encode()).hexdigest())
                 out["contaminated"].append(bool(hit.any()))
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-1], *(pa.array(v, t) for v, t in zip(out.values(), (pa.int64(),) * 3 + (pa.list_(pa.string()), pa.string(), pa.bool_()), strict=True))],
-                names=[*part.schema.names[:-1], *out],
+                [*part.columns[: len(keep)], *(pa.array(v, t) for v, t in zip(out.values(), (pa.int64(),) * 3 + (pa.list_(pa.string()), pa.string(), pa.bool_()), strict=True))],
+                names=[*part.schema.names[: len(keep)], *out],
             )
 
     def run(batches):
         held, size = [], 0
-        for part in B.pieces(batches, "_rl_text"):
+        for part in B.pieces(batches, name):
             held.append(part)
-            size += B.text_buffer(part.column(part.num_columns - 1))[0].nbytes
+            size += B.text_buffer(part.column(at))[0].nbytes
             if len(blocks) < 2 or size >= group_bytes:  # one block needs no waiting
                 yield from judged(held)
                 held, size = [], 0

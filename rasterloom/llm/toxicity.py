@@ -28,6 +28,8 @@ no rows.  Other columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,7 @@ PRIOR, CONFIDENCE, FLOOR = 0.5, 2.0, 0.3  # the best of eleven settings by log l
 LEAST_COUNT = 4
 FOLDS = 3
 STEMS = (4, 6, 8)
+SCAN_BYTES = 256 << 10  # of text that a task scans at once
 BINS_PER_UNIT = 10
 
 
@@ -147,22 +150,41 @@ def _counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "token long, fold int, bad long, good long").groupBy("token", "fold").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def _scoring_tokens(counts: DataFrame, prior: float, confidence: float, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens whose sign is told, by the counts given; at most those seen LEAST_COUNT times, n_all / LEAST_COUNT of the bounded sample."""
-    counts = counts.groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    n_bad, n_good = counts.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
-    if not n_bad or not n_good:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    pooled, pseudo = (F.col("bad") + F.col("good")) * prior, float(n_bad + n_good) * prior
-    odds = lambda y, n: F.log((F.col(y) + F.col("a")) / (float(n) + pseudo - F.col(y) - F.col("a")))
-    error = confidence * F.sqrt(1 / (F.col("bad") + F.col("a")) + 1 / (F.col("good") + F.col("a")))
-    rated = counts.withColumn("a", pooled).withColumn("z", odds("bad", n_bad) - odds("good", n_good)).withColumn("e", error)
-    up, down = (F.col("bad") >= LEAST_COUNT) & (F.col("z") > F.col("e")), (F.col("good") >= LEAST_COUNT) & (F.col("z") < -F.col("e"))
-    score = F.when(up, F.col("z") - F.col("e")).when(down, F.greatest(F.col("z") + F.col("e"), F.lit(-floor)))
-    picked = rated.select("token", score.alias("score")).filter("score is not null").toArrow()
+def _by_token(counts: DataFrame) -> DataFrame:
+    """A row a token: bad0, good0 and so on, its counts by fold."""
+    return counts.groupBy("token").agg(*[F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in range(FOLDS) for c in ("bad", "good")])
+
+
+def _told(by_token: DataFrame, prior: float, confidence: float, floor: float, left_out: tuple) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each fold left out (None: none is), the tokens whose sign is told by the counts of the others, and their scores.
+
+    All are found in one pass; at most those seen LEAST_COUNT times, n_all / LEAST_COUNT of the bounded sample.
+    """
+    total = by_token.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in by_token.columns[1:]]).first()
+    parts = []
+    for i, out in enumerate(left_out):
+        folds = [k for k in range(FOLDS) if k != out]
+        n_bad, n_good = (sum(total[f"{c}{k}"] for k in folds) for c in ("bad", "good"))
+        bad, good = (reduce(add, [F.col(f"{c}{k}") for k in folds]) for c in ("bad", "good"))
+        a, pseudo = F.nullif(bad + good, F.lit(0)) * prior, float(n_bad + n_good) * prior
+        odds = lambda y, n, a=a, pseudo=pseudo: F.log((y + a) / (float(n) + pseudo - y - a))
+        z, e = odds(bad, n_bad) - odds(good, n_good), confidence * F.sqrt(1 / (bad + a) + 1 / (good + a))
+        score = F.when((bad >= LEAST_COUNT) & (z > e), z - e).when((good >= LEAST_COUNT) & (z < -e), F.greatest(z + e, F.lit(-floor)))
+        parts.append((score if n_bad and n_good else F.lit(None).cast("double")).alias(f"score{i}"))
+    rated = by_token.select("token", *parts)
+    picked = rated.filter(" or ".join(f"{c} is not null" for c in rated.columns[1:])).toArrow()
     tokens = np.asarray(picked.column("token").combine_chunks()).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], np.asarray(picked.column("score").combine_chunks())[order]
+    order, found = np.argsort(tokens), []
+    for c in rated.columns[1:]:
+        scores = picked.column(c).combine_chunks()
+        own = order[scores.is_valid().to_numpy(zero_copy_only=False)[order]]
+        found.append((tokens[own], np.asarray(scores.take(pa.array(own)))))
+    return found
+
+
+def _scoring_tokens(counts: DataFrame, prior: float, confidence: float, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens whose sign is told, by all counts (token, fold, bad, good) given, and their scores."""
+    return _told(_by_token(counts), prior, confidence, floor, (None,))[0]
 
 
 def _by_fold(part: pa.RecordBatch, models: list[ToxicityModel]):
@@ -179,7 +201,7 @@ def _histogram(rows: DataFrame, models: list[ToxicityModel]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
-        for piece in B.pieces(batches, "text"):
+        for piece in B.pieces(batches, "text", SCAN_BYTES):
             for m, part in _by_fold(piece, shared.value):
                 *_, forms = _tokens(part.column(2))
                 bins, n = np.unique(np.ceil(m.score(forms) * BINS_PER_UNIT).astype(np.int32), return_counts=True)
@@ -188,13 +210,13 @@ def _histogram(rows: DataFrame, models: list[ToxicityModel]) -> DataFrame:
     return rows.mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
 
 
-def _scan(part: pa.RecordBatch, model: ToxicityModel):
+def _scan(texts: pa.Array, model: ToxicityModel):
     """Per text: tokens, starts and ends in bytes, segments."""
-    buf, off, starts, ends, bounds, forms = _tokens(part.column(part.num_columns - 1))
+    buf, off, starts, ends, bounds, forms = _tokens(texts)
     score = model.score(forms)
     total, at = np.cumsum(score), np.flatnonzero(score > 0)
     lo = np.searchsorted(at, bounds)
-    for d in range(part.num_rows):
+    for d in range(len(texts)):
         own = at[lo[d] : lo[d + 1]]
         n = int(bounds[d + 1] - bounds[d])
         found = maximal((own - bounds[d]).tolist(), (total[own] - score[own]).tolist(), total[own].tolist())
@@ -218,10 +240,10 @@ def _sample(docs: DataFrame, labels: DataFrame, sample_rows: int, label: str) ->
     return materialise(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", fold, "text"), "toxicity-sample", "few")
 
 
-def _calibrated(rows: DataFrame, counts: DataFrame, prior: float, confidence: float, floor: float) -> tuple[ToxicityModel, DataFrame, object]:
+def _calibrated(rows: DataFrame, by_token: DataFrame, prior: float, confidence: float, floor: float) -> tuple[ToxicityModel, DataFrame, object]:
     """(the model, evidence of the rows by the other folds' models, the calibration)."""
-    blank = lambda c: ToxicityModel(*_scoring_tokens(c, prior, confidence, floor), DRIFT, 1.0, 1.0, (0.0, 0.0), 0.0)
-    model, others = blank(counts), [blank(counts.filter(F.col("fold") != k)) for k in range(FOLDS)]
+    told = _told(by_token, prior, confidence, floor, (None, *range(FOLDS)))
+    model, *others = [ToxicityModel(*t, DRIFT, 1.0, 1.0, (0.0, 0.0), 0.0) for t in told]
     bins = {r.bin: r.n for r in _histogram(rows.filter("toxic = 0"), others).collect()}
     rates = np.array(list(bins.values()), dtype=float) / max(sum(bins.values()), 1)
     lam = _lambda(np.array(list(bins)) / BINS_PER_UNIT, rates)
@@ -245,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, prior: fl
     share = shares.get(1, 0) / n_rows if n_rows else 0.0
     if len(shares) < 2:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), DRIFT, 1.0, 1.0, (0.0, 0.0), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    counts = materialise(_counts(rows), "toxicity-counts", "fewer")
+    counts = materialise(_by_token(_counts(rows)), "toxicity-counts", "fewer")
     model, _, fitted = _calibrated(rows, counts, prior, confidence, floor)
     model.coefficients, model.intercept = tuple(map(float, fitted.coefficients)), fitted.intercept
     return model
@@ -254,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, prior: fl
 def tune(docs: DataFrame, labels: DataFrame, settings: list[tuple[float, float, float]], sample_rows: int = 16_000, label: str = "toxic") -> list[tuple]:
     """For each (prior, confidence, floor): log loss, share of toxic rows found, of clean rows rejected, each row by the other folds' model."""
     rows = _sample(docs, labels, sample_rows, label)
-    counts, out = materialise(_counts(rows), "toxicity-counts", "fewer"), []
+    counts, out = materialise(_by_token(_counts(rows)), "toxicity-counts", "fewer"), []
     for setting in settings:
         _, data, fitted = _calibrated(rows, counts, *setting)
         p = vector_to_array("probability")[1]
@@ -283,9 +305,9 @@ def statistics(rows: DataFrame, models: list[ToxicityModel]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
-        for piece in B.pieces(batches, "text"):
+        for piece in B.pieces(batches, "text", SCAN_BYTES):
             for m, part in _by_fold(piece, shared.value):
-                out = [(n, max((s for *_, s in found), default=0.0), *_evidence(m, n, found)) for n, found, *_ in _scan(part, m)]
+                out = [(n, max((s for *_, s in found), default=0.0), *_evidence(m, n, found)) for n, found, *_ in _scan(part.column(2), m)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in zip(*out, strict=True))], names=["toxic", "n", "best", "evidence", "total"])
 
     return rows.mapInArrow(run, "toxic int, n long, best double, evidence double, total double")
@@ -298,22 +320,22 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
     code points, end exclusive, and evidence).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*keep, F.col("text").alias("_rl_text"))
+    kept, name, at = B.with_text(docs, keep)
     spans = "passages array<struct<start:long,end:long,evidence:double>>"
     schema = ", ".join([*(f"`{n}` {t}" for n, t in kept.drop("_rl_text").dtypes), "score double, predicted int", *[spans] * passages])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("evidence", pa.float64())]))
 
     def run(batches):
         m = shared.value
-        for part in B.pieces(batches, "_rl_text"):
+        for part in B.pieces(batches, name, SCAN_BYTES):
             p, where = np.zeros(part.num_rows), []
-            for d, (n, found, buf, base, starts, ends) in enumerate(_scan(part, m)):
+            for d, (n, found, buf, base, starts, ends) in enumerate(_scan(part.column(at), m)):
                 best, total = _evidence(m, n, found)
                 p[d] = 1 / (1 + np.exp(-np.clip(m.coefficients[0] * best + m.coefficients[1] * total + m.intercept, -50, 50)))
                 if passages:
                     chars = lambda b, base=base: int(((buf[base:b] & 0xC0) != 0x80).sum())
                     where.append([{"start": chars(starts[a]), "end": chars(ends[b - 1]), "evidence": e} for a, b, s in found if (e := float(m.evidence(s, n))) > 0])
             cols = [pa.array(p), pa.array((p >= 0.5).astype(np.int32))] + [pa.array(where, span_type)] * passages
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cols], names=[*part.schema.names[:-1], "score", "predicted", *["passages"] * passages])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *cols], names=[*part.schema.names[: len(keep)], "score", "predicted", *["passages"] * passages])
 
     return kept.mapInArrow(run, schema)

@@ -170,3 +170,30 @@ def test_language_held_out_and_odd_rows(spark):
     assert langid.predict(_docs(spark, ["text"]), langid.fit(docs.limit(0))).first().lang_pred == "und"
     many = spark.createDataFrame([(i, f"{chr(0x4E00 + i)}{chr(0x5E00 + i)} " * 20, f"l{i:03d}") for i in range(70)], "doc_id long, text string, lang string")
     assert langid.predict(many.withColumn("want", F.col("lang")), langid.fit(many), keep=("want",)).filter("want = lang_pred").count() == 70
+
+
+def test_stages_get_the_text_once(spark):
+    """A kept text isn't sent beside itself, and the roller's tables exceed what is asked for by an eighth at most."""
+    docs = _docs(spark, ["calm text", None, "a vile word"])
+    model = toxicity.ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), 0.1, 1.0, 1.0, (0.0, 0.0), 0.0)
+    out = toxicity.score(docs, model, keep=("text", "doc_id"))
+    assert "_rl_text" not in str(out._jdf.queryExecution().optimizedPlan()) and out.columns == ["text", "doc_id", "score", "predicted"]
+    both = [sorted((r.doc_id, r.score) for r in toxicity.score(docs, model, keep=k).collect()) for k in (("doc_id",), ("text", "doc_id"))]
+    assert both[0] == both[1] and {r.text for r in out.collect()} == {"calm text", None, "a vile word"}
+    roller = quality.B.Roller(1)
+    for n in (1000, 1100, 1200):
+        roller.prefix(np.zeros(n, np.uint8))
+        assert n < len(roller.up) <= (n + 1) * 9 // 8
+
+
+def test_folds_are_told_in_one_pass(spark):
+    """Each fold left out gives the tokens and scores of the other folds' counts alone; a token of that fold only has none."""
+    rows = [("vile word text", 1, i % 3) for i in range(30)] + [("calm word text", 0, i % 3) for i in range(60)] + [("lonely vile", 1, 1)] * 9
+    counts = toxicity._counts(spark.createDataFrame([(t, f, x) for x, t, f in rows], "toxic int, fold int, text string"))
+    told = toxicity._told(toxicity._by_token(counts), 0.3, 0.5, 0.8, (None, 0, 1, 2))
+    assert len(told) == 4 and len(told[0][0]) > len(told[2][0]) > 0
+    for k, (tokens, scores) in zip((None, 0, 1, 2), told, strict=True):
+        plain = toxicity._scoring_tokens(counts if k is None else counts.filter(f"fold <> {k}"), 0.3, 0.5, 0.8)
+        assert np.array_equal(tokens, plain[0]) and np.array_equal(scores, plain[1]) and (np.diff(tokens.astype(float)) >= 0).all()
+    one = toxicity._told(toxicity._by_token(counts.filter("fold = 1")), 0.3, 0.5, 0.8, (None, 1))
+    assert len(one[0][0]) and not len(one[1][0])
