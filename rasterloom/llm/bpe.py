@@ -118,7 +118,7 @@ def _map(docs: DataFrame, keep: tuple[str, ...], vocab_path: str, pattern: str,
             cols = zip(*(row(codec, ids) for ids in coded), strict=True)
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*part.schema.names[:-1], *names])
 
-    return kept.mapInArrow(run, schema)
+    return B.bounded(kept).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, vocab_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -141,7 +141,7 @@ def decode(encoded: DataFrame, vocab_path: str, keep: tuple[str, ...] = ("doc_id
             out = [b"".join(map(get, row or ())) for row in part.column(part.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.binary())], names=[*part.schema.names[:-1], "decoded"])
 
-    return kept.mapInArrow(run, schema)
+    return B.bounded(kept).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, vocab_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

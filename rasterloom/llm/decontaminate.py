@@ -128,7 +128,7 @@ def _patterns(benchmark: DataFrame, window: int, item: str, text: str) -> DataFr
             take = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([p for f in found for p in f], pa.binary()), part.column(0).take(take)], names=["pattern", "item"])
 
-    return rows.mapInArrow(run, "pattern binary, item string").distinct()
+    return B.bounded(rows).mapInArrow(run, "pattern binary, item string").distinct()
 
 
 def _block(table: pa.Table) -> Block:
@@ -251,4 +251,4 @@ def decontaminate(
                 held, size = [], 0
         yield from judged(held)
 
-    return kept.mapInArrow(run, schema)
+    return B.bounded(kept).mapInArrow(run, schema)

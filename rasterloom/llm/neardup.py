@@ -121,7 +121,7 @@ def _fingerprints(docs: DataFrame, width: int, bands: int, rows: int) -> DataFra
                 names=["doc_id", "th", "n", "k1", "k2", "bands", "sig"],
             )
 
-    return kept.mapInArrow(run, "doc_id long, th long, n long, k1 long, k2 long, bands array<long>, sig binary")
+    return B.bounded(kept).mapInArrow(run, "doc_id long, th long, n long, k1 long, k2 long, bands array<long>, sig binary")
 
 
 def _promising(pairs: DataFrame, limits: list[int]) -> DataFrame:
@@ -137,7 +137,7 @@ def _promising(pairs: DataFrame, limits: list[int]) -> DataFrame:
                 alive = alive[seen[alive] >= least]
             yield batch.take(pa.array(alive)).select(["a", "b"])
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return B.bounded(pairs.select("a", "b", "sig_a", "sig_b")).mapInArrow(run, "a long, b long")
 
 
 def _exact(pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -163,7 +163,7 @@ def _exact(pairs: DataFrame, width: int, percent: int) -> DataFrame:
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(ok)).select(["a", "b"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return B.bounded(pairs.select("a", "b", "text_a", "text_b")).mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def _rare_partners(texts: DataFrame, width: int, percent: int, fits) -> DataFram
             take = pa.array(np.repeat(np.arange(part.num_rows), np.diff(bounds)))
             yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), *(part.column(i).take(take) for i in (0, 2, 3))], names=["token", "cid", "n", "comp"])
 
-    tokens = materialise(texts.select("cid", "text", "n", "comp").mapInArrow(run, "token long, cid long, n long, comp long"), "tokens")
+    tokens = materialise(B.bounded(texts.select("cid", "text", "n", "comp")).mapInArrow(run, "token long, cid long, n long, comp long"), "tokens")
     often = materialise(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared-tokens", "fewer")
     # of each class its shared shingles, rarest first; those of its own come before them and fill the prefix first
     own = tokens.join(often, "token").groupBy("cid", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))

@@ -355,4 +355,4 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), redacted: bool =
             cols = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*part.schema.names[:-1], *names])
 
-    return kept.mapInArrow(run, schema)
+    return B.bounded(kept).mapInArrow(run, schema)

@@ -147,7 +147,7 @@ def _counts(rows: DataFrame) -> DataFrame:
                 n_all = np.bincount(inv, minlength=len(kinds))
                 yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(np.full(len(kinds), k, np.int32)), pa.array(n_bad), pa.array(n_all - n_bad)], names=["token", "fold", "bad", "good"])
 
-    return rows.mapInArrow(run, "token long, fold int, bad long, good long").groupBy("token", "fold").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    return B.bounded(rows).mapInArrow(run, "token long, fold int, bad long, good long").groupBy("token", "fold").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
 def _by_token(counts: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def _histogram(rows: DataFrame, models: list[ToxicityModel]) -> DataFrame:
                 bins, n = np.unique(np.ceil(m.score(forms) * BINS_PER_UNIT).astype(np.int32), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n)], names=["bin", "n"])
 
-    return rows.mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    return B.bounded(rows).mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
 
 
 def _scan(texts: pa.Array, model: ToxicityModel):
@@ -310,7 +310,7 @@ def statistics(rows: DataFrame, models: list[ToxicityModel]) -> DataFrame:
                 out = [(n, max((s for *_, s in found), default=0.0), *_evidence(m, n, found)) for n, found, *_ in _scan(part.column(2), m)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in zip(*out, strict=True))], names=["toxic", "n", "best", "evidence", "total"])
 
-    return rows.mapInArrow(run, "toxic int, n long, best double, evidence double, total double")
+    return B.bounded(rows).mapInArrow(run, "toxic int, n long, best double, evidence double, total double")
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), passages: bool = False) -> DataFrame:
@@ -338,4 +338,4 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
             cols = [pa.array(p), pa.array((p >= 0.5).astype(np.int32))] + [pa.array(where, span_type)] * passages
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *cols], names=[*part.schema.names[: len(keep)], "score", "predicted", *["passages"] * passages])
 
-    return kept.mapInArrow(run, schema)
+    return B.bounded(kept).mapInArrow(run, schema)

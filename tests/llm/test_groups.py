@@ -8,6 +8,7 @@ from collections import Counter
 import corpus_pipeline
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -243,6 +244,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == set(at["byte_bpe"])
 
 
+@pytest.mark.parametrize("stage", [corpus_pipeline.remove_contaminated, corpus_pipeline.redact_secrets, corpus_pipeline.tokenize])
+def test_stages_bound_arrow_batches(spark, stage):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(limit)
+    rows = spark.range(0, 4000, 1, 1).selectExpr("id as doc_id", "repeat('many words ', 400) as text", "'en' as lang", "'s' as source", "4400L as n_chars")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).nbytes])], names=["n"])
+
+    try:
+        stage(spark, rows.limit(0), SF)  # 17.6 MB of text in one task; Spark alone makes one batch of it
+        found = [r.n for r in rows.select("text").mapInArrow(sizes, "n long").collect()]
+        assert sum(found) > 17_000_000 and max(found) < 5_000_000
+        spark.conf.set(limit, "1m")
+        stage(spark, rows.limit(0), SF)
+        assert spark.conf.get(limit) == "1m"  # the user's own limit holds
+    finally:
+        spark.conf.unset(limit)
+
+
 def test_pipeline_odd_rows(spark, tmp_path):
     rows = [(i, t, None, None, None) for i, t in enumerate(ODD)] + [(None, "a b c d e f", "en", "s", 11), (None, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
